@@ -6,6 +6,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,15 +50,19 @@ class HashEncoder:
         return bucket
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        cells: list[int] = []
-        for row, text in enumerate(texts):
-            offset = row * self.dimension
-            words = (text or "").replace("\n", " ").split(" ")
-            cells.extend(offset + self._bucket(word) for word in words if word)
-        counts = np.bincount(
-            np.asarray(cells, dtype=np.int64), minlength=len(texts) * self.dimension
-        ).reshape(len(texts), self.dimension)
-        return unit_rows(counts.astype(np.float64))
+        """Words are cut and numbered by Arrow; only distinct words are hashed."""
+        lines = pc.fill_null(pa.array(texts, pa.string()), "")
+        words = pc.split_pattern(pc.replace_substring(lines, "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        buckets = np.fromiter(
+            (self._bucket(word) if word else -1 for word in coded.dictionary.to_pylist()),
+            dtype=np.int64, count=len(coded.dictionary),
+        )
+        column = buckets[coded.indices.to_numpy()]
+        row = pc.list_parent_indices(words).to_numpy()
+        cells = (row * self.dimension + column)[column >= 0]
+        counts = np.bincount(cells, minlength=len(texts) * self.dimension)
+        return unit_rows(counts.reshape(len(texts), self.dimension).astype(np.float64))
 
 
 @dataclass(frozen=True)

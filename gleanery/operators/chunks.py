@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from gleanery.functions.text import chunk_id, fixed_windows
 from gleanery.operators.keys import unseen
 from gleanery.operators.running import running
+from gleanery.sources.tables import spread
 
 SLICE_CHARS = 2
+COPY_BLOCK = 100_000
 
 
 def chunk_documents(
@@ -30,7 +32,7 @@ def chunk_documents(
     if lexical:
         pieces = F.array_sort(pieces)
     return (
-        documents.where(F.length(text) > 0)
+        spread(documents.select(key, text).where(F.length(text) > 0))
         .select(key, F.posexplode(pieces).alias("chunk_index", "chunk"))
         .select(key, chunk_id(F.col(key), F.col("chunk_index")).alias("chunk_id"),
                 "chunk_index", "chunk")
@@ -40,23 +42,28 @@ def chunk_documents(
 def index_chunks(chunks: DataFrame, key: str, chunk: str = "chunk") -> DataFrame:
     """Number chunk rows of any origin by text order within each key, from 0.
 
-    Equal chunks of one key are counted before the exchange and numbered together,
-    and a key is cut into slices by the first characters of its chunks, so neither
-    copies nor a hot key end up in one task.
+    Equal chunks of one key are counted before the exchange and stay one row until
+    their numbers are known, and a key is cut into slices by the first characters of
+    its chunks, so neither copies nor a hot key end up in one task.
     """
     counted = chunks.groupBy(key, F.col(chunk).alias("chunk")).agg(
         F.count(F.lit(1)).alias("copies")
     )
-    copies = counted.select(
-        key, "chunk", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
-    )
     numbered = running(
-        copies, [key], ["chunk", "copy"], F.substring("chunk", 1, SLICE_CHARS), number="place"
+        counted, [key], ["chunk"], F.substring("chunk", 1, SLICE_CHARS),
+        number="end", weight=F.col("copies"),
     )
-    index = (F.col("place") - 1).cast("int")
-    return numbered.select(
-        key, chunk_id(F.col(key), index).alias("chunk_id"), index.alias("chunk_index"), "chunk"
+    # In two steps, so that no array grows with the number of copies.
+    blocks = numbered.select(
+        key, "chunk", "end",
+        F.explode(F.sequence(F.col("end") - F.col("copies"), F.col("end") - 1,
+                             F.lit(COPY_BLOCK).cast("long"))).alias("first"),
     )
+    last = F.least(F.col("end"), F.col("first") + COPY_BLOCK) - 1
+    index = F.col("chunk_index").cast("int")
+    return blocks.select(
+        key, "chunk", F.explode(F.sequence("first", last)).alias("chunk_index")
+    ).select(key, chunk_id(F.col(key), index).alias("chunk_id"), index.alias("chunk_index"), "chunk")
 
 
 def chunk_new_documents(
@@ -87,7 +94,7 @@ def chunk_counts(
 
     One pass; chunks are counted where the text is read, so only numbers are joined.
     """
-    sized = documents.select(key, F.size(splitter(F.col(text))).alias("pieces"))
+    sized = spread(documents.select(key, text)).select(key, F.size(splitter(F.col(text))).alias("pieces"))
     done = chunked.select(key).distinct().withColumn("done", F.lit(True))
     new = F.col("done").isNull()
     return (

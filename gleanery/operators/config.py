@@ -61,7 +61,8 @@ def carry_forward(
 
     Version n holds, per field, the last value set up to the n-th update of the slot.
     """
-    return running(updates, keys, order, slice_by, number=VERSION, carry=fields)
+    filled = running(updates, keys, order, slice_by, number=VERSION, carry=fields)
+    return filled.withColumn(VERSION, F.col(VERSION).cast("int"))
 
 
 def rollbacks(

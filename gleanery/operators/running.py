@@ -19,49 +19,46 @@ def running(
     order: Sequence[str],
     slice_by: Column,
     number: str | None = None,
+    weight: Column | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Add ``number`` (1, 2, ... per key in ``order``) and fill each ``carry`` column
-    with its last non-null value so far.
+    """Add ``number`` (1, 2, ... per key in ``order``, or the running sum of ``weight``)
+    and fill each ``carry`` column with its last non-null value so far.
 
-    ``slice_by`` must never decrease along ``order``, and ``order`` must be unique
-    within a key for the numbering to be stable. A null key or slice is an error.
+    ``slice_by`` must never decrease along ``order`` (nulls count as lowest in both),
+    and ``order`` must be unique within a key for the numbering to be stable.
     """
-    missing = slice_by.isNull()
-    for key in keys:
-        missing = missing | F.col(key).isNull()
-    no_place = F.raise_error(F.lit("running(): a row lacks its key or its slice"))
-    sliced = df.withColumn("_slice", F.when(missing, no_place).otherwise(slice_by))
+    sliced = df.withColumn("_slice", slice_by).withColumn(
+        "_weight", F.lit(1) if weight is None else weight
+    )
     position = F.struct(*order)
-    groups = [*keys, "_slice"]
-
-    summary = sliced.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_last_{c}") for c in carry],
+    summary = sliced.groupBy(*keys, "_slice").agg(
+        F.sum("_weight").alias("_weight"),
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in carry],
     )
     before = (
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    starts = summary.select(
-        *groups,
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
-        *[
-            F.last(f"_last_{c}", ignorenulls=True).over(before).alias(f"_start_{c}")
-            for c in carry
-        ],
+    heads = summary.select(
+        *keys,
+        "_slice",
+        F.lit(0).alias("_kind"),
+        F.coalesce(F.sum("_weight").over(before), F.lit(0)).alias("_weight"),
+        *[F.last(c, ignorenulls=True).over(before).alias(c) for c in carry],
     )
 
-    within = Window.partitionBy(*groups).orderBy(*order)
-    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = sliced.withColumn("_number", F.row_number().over(within))
-    for c in carry:
-        local = local.withColumn(c, F.last(c, ignorenulls=True).over(so_far))
-
-    joined = local.join(starts, groups)
+    # The head row comes first in its slice and brings what the slices before it left.
+    rows = sliced.withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    so_far = (
+        Window.partitionBy(*keys, "_slice")
+        .orderBy("_kind", *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     columns = [
-        F.coalesce(F.col(c), F.col(f"_start_{c}")).alias(c) if c in carry else F.col(c)
+        F.last(c, ignorenulls=True).over(so_far).alias(c) if c in carry else F.col(c)
         for c in df.columns
     ]
     if number:
-        columns.append((F.col("_start") + F.col("_number")).cast("int").alias(number))
-    return joined.select(*columns)
+        columns.append(F.sum("_weight").over(so_far).alias(number))
+    result = rows.select("_kind", *columns).where(F.col("_kind") == 1)
+    return result.drop("_kind")

@@ -18,13 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from gleanery import session
 from gleanery.functions.encoders import list_column, unit_rows
 
 # Similarities are compared after rounding, so equal vectors tie whatever the summation order.
 DECIMALS = 9
 QUESTION_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
-CORPUS_SLICE_ROWS = 2_000_000
+CORPUS_SLICE_BYTES = 256 << 20
+MAX_TILES = 200_000
 MAX_BUCKETS = 1 << 20
 
 
@@ -105,16 +107,17 @@ def cosine_topk(
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
     block_bytes: int = QUESTION_BLOCK_BYTES,
-    slice_rows: int = CORPUS_SLICE_ROWS,
+    slice_bytes: int = CORPUS_SLICE_BYTES,
 ) -> DataFrame:
     """Exact top-k: ``(question_id, chunk_id, similarity, rank)``.
 
-    The questions are measured first. While they fit ``block_bytes`` they are
+    The questions are written to the shared folder once and measured. While they fit ``block_bytes`` they are
     broadcast as one matrix and the corpus is read in place, with no shuffle of
     vectors. Larger question sets are cut into blocks, see :func:`_tiled`.
     Ids are keys: one row per id on either side.
     """
-    asked = questions.select(question_id, vector)
+    session.shared_root(questions.sparkSession)
+    asked = questions.select(question_id, vector).checkpoint()
     stored = corpus.select(chunk_id, vector)
     size = asked.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dimension")
@@ -127,7 +130,7 @@ def cosine_topk(
             asked.withColumn("bucket", one_bucket),
             stored.withColumn("bucket", one_bucket),
             k, question_id, chunk_id, vector,
-            max(1, block_bytes // (8 * max(1, size["dimension"] or 1))), slice_rows,
+            size["dimension"] or 1, block_bytes, slice_bytes,
         )
     return rank_hits(hits, [question_id], chunk_id, k)
 
@@ -177,7 +180,7 @@ def _hit_batch(asked: pa.Array, ids, similarity, schema: T.StructType) -> pa.Rec
 
 
 def _tiled(
-    questions, corpus, k, question_id, chunk_id, vector, block_rows, slice_rows
+    questions, corpus, k, question_id, chunk_id, vector, dimension, block_bytes, slice_bytes
 ) -> DataFrame:
     """Search within buckets by tiles of (question block, corpus slice).
 
@@ -187,14 +190,18 @@ def _tiled(
     sorted, questions first, so only the question block is held; corpus rows stream,
     however hot their bucket is.
     """
+    block_rows = max(1, block_bytes // (8 * dimension))
+    slice_rows = max(1, slice_bytes // (4 * dimension))
     asked = questions.groupBy("bucket").agg(F.count(F.lit(1)).alias("asked"))
     held = corpus.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"))
-    # At most MAX_BUCKETS rows of three integers, so the broadcast is bounded.
-    sizes = F.broadcast(asked.join(held, "bucket").select(
+    counted = asked.join(held, "bucket").select(
         "bucket",
         F.ceil(F.col("asked") / block_rows).cast("int").alias("blocks"),
         F.ceil(F.col("held") / slice_rows).cast("int").alias("slices"),
-    ))
+    ).checkpoint()
+    tiles = counted.agg(F.sum(F.col("blocks") * F.col("slices"))).head()[0] or 1
+    # At most MAX_BUCKETS rows of three integers, so the broadcast is bounded.
+    sizes = F.broadcast(counted)
 
     def upto(count: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), count - 1))
@@ -216,7 +223,12 @@ def _tiled(
                 F.col(chunk_id).alias("cid"), F.col(vector).alias("vector"))
     )
     tile = ["bucket", "block", "slice"]
-    rows = q.unionByName(c).repartition(*tile).sortWithinPartitions(*tile, "side")
+    rows = q.unionByName(c)
+    if tiles > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(min(tiles, MAX_TILES), *tile)
+    else:
+        rows = rows.repartition(*tile)
+    rows = rows.sortWithinPartitions(*tile, "side")
     schema = _hit_schema(questions, corpus, question_id, chunk_id)
     return rows.mapInArrow(_tile_search(k, schema), schema)
 
@@ -321,18 +333,19 @@ def approximate_topk(
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
     block_bytes: int = QUESTION_BLOCK_BYTES,
-    slice_rows: int = CORPUS_SLICE_ROWS,
+    slice_bytes: int = CORPUS_SLICE_BYTES,
 ) -> DataFrame:
     """Top-k among the chunks that share a bucket with the question in any table.
 
     Candidates are scored exactly and none is left out, so the answer is the exact
     top-k of the shared buckets. Hot buckets are tiled by their size.
     """
+    session.shared_root(questions.sparkSession)
     hits = _tiled(
         with_buckets(questions, question_id, vector, planes),
         with_buckets(corpus, chunk_id, vector, planes),
         k, question_id, chunk_id, vector,
-        max(1, block_bytes // (8 * planes.dimension)), slice_rows,
+        planes.dimension, block_bytes, slice_bytes,
     )
     once = hits.groupBy(question_id, chunk_id).agg(F.max("similarity").alias("similarity"))
     return rank_hits(once, [question_id], chunk_id, k)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery import fixed_values as fixed
+from gleanery import session
 from gleanery.functions.text import answer_prompt
 from gleanery.operators.topk import cosine_topk
 
@@ -22,6 +23,8 @@ def grounded_prompts(
     hits are broadcast to the chunk scan while questions x k is small, so the chunk
     table is not shuffled.
     """
+    session.shared_root(questions.sparkSession)
+    questions = questions.select("question_id", "question", "embedding").checkpoint()
     hits = cosine_topk(questions, embedded, k).select("question_id", "chunk_id", "rank")
     if questions.count() * k <= BROADCAST_HITS:
         hits = F.broadcast(hits)

@@ -17,7 +17,7 @@ def embed_chunks(
     if existing is not None:
         done = existing.where(F.col("model") == candidate.name).select("chunk_id")
         chunks = chunks.join(done, "chunk_id", "left_anti")
-    return chunks.withColumn("embedding", embed(candidate.factory)("chunk"))
+    return tables.spread(chunks).withColumn("embedding", embed(candidate.factory)("chunk"))
 
 
 def embed_table(

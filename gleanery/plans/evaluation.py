@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery import fixed_values as fixed
+from gleanery import session
 from gleanery.functions.encoders import Candidate, embed, unit_rows
 from gleanery.operators import judging, metrics, topk
 
@@ -31,6 +32,9 @@ def evaluate_candidates(
     vector leaves its task. Beyond that, each candidate is embedded and searched by
     tiles. A candidate that fails in any task is left out of the result.
     """
+    session.shared_root(questions.sparkSession)
+    # Sampling questions reads the whole corpus, so their rows are kept once they exist.
+    questions = questions.select("question_id", "question", "correct_chunk_id").checkpoint()
     ranked = rank_candidates(questions, chunks, candidates, max(k_values), question_bytes)
     models = F.array(*[F.lit(c.name) for c in candidates])
     labelled = questions.select(

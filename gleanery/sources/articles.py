@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import fixed_values as fixed
+from gleanery.sources.tables import spread
 
 # Element names of the public citation XML format.
 ROW_TAG = "PubmedArticle"
@@ -37,7 +38,7 @@ def read_article_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_articles(df: DataFrame, xml: str, *keep: str) -> DataFrame:
     """One flat row per XML string; unreadable XML gives a row with a null ``pmid``."""
-    records = df.select(*keep, F.from_xml(xml, RECORD_DDL, XML_OPTIONS).alias("record"))
+    records = spread(df.select(*keep, xml)).select(*keep, F.from_xml(xml, RECORD_DDL, XML_OPTIONS).alias("record"))
     return flatten_articles(records.select(*keep, "record.*"), *keep)
 
 

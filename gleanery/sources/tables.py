@@ -16,6 +16,21 @@ def scan(spark: SparkSession, name_or_path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input too small to give every core a split, before costly work per row.
+
+    The decision uses Spark's own size estimate. A large input already has more splits
+    than the cluster has cores, so it is never shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if df.isStreaming or estimate >= cores * split:
+        return df
+    return df.repartition(cores)
+
+
 def local_rows(spark: SparkSession, rows: Iterable, schema: T.StructType) -> DataFrame:
     """Rows the caller holds, with a stated schema, so that all-null columns keep their type."""
     return spark.createDataFrame(list(rows), schema)
