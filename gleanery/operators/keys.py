@@ -39,7 +39,7 @@ def absent_rows(
     columns = source.columns
     fresh = unseen(source, target, key)
     keyed = fresh.where(F.col(key).isNotNull())
-    once = first_per_key(keyed, [key], order or [F.col(c).asc() for c in columns if c != key])
+    once = first_per_key(keyed, [key], order or [F.col(c).asc() for c in columns])
     return once.unionByName(fresh.where(F.col(key).isNull())).select(*columns)
 
 

@@ -145,8 +145,9 @@ def _one_pass(
         for candidate in chosen:
             name = candidate.name
             if name in failed:
+                # Ranked above every hit, so that the error outlives the cut at k.
                 place = np.arange(len(question_texts))
-                found, similarity = [None] * len(place), [None] * len(place)
+                found, similarity = [None] * len(place), np.full(len(place), np.inf)
             elif name in states:
                 place, found, similarity = states[name][2].rows()
             else:
