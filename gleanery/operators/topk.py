@@ -27,6 +27,7 @@ QUESTION_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
 CORPUS_SLICE_BYTES = 256 << 20
 MAX_TILES = 200_000
+STREAMS_PER_CORE = 4
 MAX_BUCKETS = 1 << 20
 
 
@@ -161,7 +162,16 @@ def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector) -> Da
         place, ids, similarity = best.rows()
         yield _hit_batch(asked.take(pa.array(place)), ids, similarity, schema)
 
-    return corpus.mapInArrow(search, schema)
+    return few_streams(corpus).mapInArrow(search, schema)
+
+
+def few_streams(corpus: DataFrame) -> DataFrame:
+    """Join scan splits into a few streams per core, without a shuffle.
+
+    Every stream hands on k rows per question, so their number decides the size of
+    the last exchange. Inputs with fewer splits keep theirs.
+    """
+    return corpus.coalesce(STREAMS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism)
 
 
 def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
@@ -212,7 +222,8 @@ def _tiled(
         .select("bucket", "block", upto(F.col("slices")).alias("slice"),
                 F.lit(0).alias("side"), F.col(question_id).alias("qid"),
                 F.lit(None).cast(corpus.schema[chunk_id].dataType).alias("cid"),
-                F.col(vector).alias("vector"))
+                F.col(vector).alias("question"),
+                F.lit(None).cast(corpus.schema[vector].dataType).alias("stored"))
     )
     c = (
         corpus.join(sizes, "bucket")
@@ -220,7 +231,9 @@ def _tiled(
         .select("bucket", upto(F.col("blocks")).alias("block"), "slice",
                 F.lit(1).alias("side"),
                 F.lit(None).cast(questions.schema[question_id].dataType).alias("qid"),
-                F.col(chunk_id).alias("cid"), F.col(vector).alias("vector"))
+                F.col(chunk_id).alias("cid"),
+                F.lit(None).cast(questions.schema[vector].dataType).alias("question"),
+                F.col(vector).alias("stored"))
     )
     tile = ["bucket", "block", "slice"]
     rows = q.unionByName(c)
@@ -257,10 +270,9 @@ def _tile_search(k: int, schema: T.StructType) -> Callable:
                     yield from finish()
                     current, ids, vectors, best = tile, [], [], None
                 part = batch.slice(low, high - low)
-                matrix = vector_matrix(part.column(6)) if side == 0 else None
                 if side == 0:
                     ids.append(part.column(4))
-                    vectors.append(matrix)
+                    vectors.append(vector_matrix(part.column(6)))
                     continue
                 if not ids:
                     continue
@@ -270,7 +282,7 @@ def _tile_search(k: int, schema: T.StructType) -> Callable:
                     best = TopK(len(asked), k)
                 score_blocks(
                     best,
-                    vector_matrix(part.column(6), unit_questions.shape[1]),
+                    vector_matrix(part.column(7), unit_questions.shape[1]),
                     part.column(5).to_numpy(zero_copy_only=False),
                     unit_questions,
                 )
@@ -341,8 +353,9 @@ def approximate_topk(
     top-k of the shared buckets. Hot buckets are tiled by their size.
     """
     session.shared_root(questions.sparkSession)
+    asked = questions.select(question_id, vector).checkpoint()
     hits = _tiled(
-        with_buckets(questions, question_id, vector, planes),
+        with_buckets(asked, question_id, vector, planes),
         with_buckets(corpus, chunk_id, vector, planes),
         k, question_id, chunk_id, vector,
         planes.dimension, block_bytes, slice_bytes,

@@ -1,6 +1,7 @@
 """Evaluation of embedding candidates in one pass over the chunks, and of judge replies."""
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ def evaluate_candidates(
 
     While the question vectors of all candidates fit ``question_bytes``, every
     candidate encodes and ranks in the same pass over the chunk text and no chunk
-    vector leaves its task. Beyond that, each candidate is embedded and searched by
-    tiles. A candidate that fails in any task is left out of the result.
+    vector leaves its task. Beyond that, the candidates are searched one after the
+    other. A candidate that fails in any task is left out of the result.
     """
     session.shared_root(questions.sparkSession)
     # Sampling questions reads the whole corpus, so their rows are kept once they exist.
@@ -163,7 +164,7 @@ def _one_pass(
                 names=schema.names,
             )
 
-    return text.mapInArrow(search, schema)
+    return topk.few_streams(text).mapInArrow(search, schema)
 
 
 def _encoded(encoder, texts: list[str], candidate: Candidate) -> np.ndarray:
@@ -177,24 +178,27 @@ def _encoded(encoder, texts: list[str], candidate: Candidate) -> np.ndarray:
 def _apart(
     asked: DataFrame, text: DataFrame, candidates: Sequence[Candidate], k: int
 ) -> DataFrame:
+    """One search per candidate, each written to the shared folder before the next begins."""
     parts = []
     for candidate in candidates:
         encode = embed(candidate.factory)
-        hits = topk.cosine_topk(
-            asked.select("question_id", encode("question").alias("embedding")),
-            text.select("chunk_id", encode("chunk").alias("embedding")),
-            k,
-        )
-        parts.append(
-            hits.select(
-                F.lit(candidate.name).alias("model"), "question_id", "chunk_id", "similarity",
-                F.lit(None).cast("string").alias("error"),
+        columns = [F.lit(candidate.name).alias("model"), "question_id"]
+        try:
+            hits = topk.cosine_topk(
+                asked.select("question_id", encode("question").alias("embedding")),
+                text.select("chunk_id", encode("chunk").alias("embedding")),
+                k,
             )
-        )
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+            none = F.lit(None).cast("string").alias("error")
+            part = hits.select(*columns, "chunk_id", "similarity", none).checkpoint()
+        except Exception as problem:  # a failing candidate must not end the others
+            chunk_id = F.lit(None).cast(text.schema["chunk_id"].dataType).alias("chunk_id")
+            error = F.lit(type(problem).__name__).alias("error")
+            part = asked.select(
+                *columns, chunk_id, F.lit(float("inf")).alias("similarity"), error
+            )
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def evaluate_replies(replies: DataFrame, evaluated_at: Column | None = None) -> DataFrame:

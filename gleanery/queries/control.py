@@ -28,6 +28,11 @@ def _terms(spark, sf):
     )
 
 
+def _hour(ts):
+    """Date and hour as text: ordered like the time stamp, whatever the session's time zone."""
+    return F.substring(F.col(ts).cast("string"), 1, 13)
+
+
 def _today():
     return F.lit(TODAY).cast("date")
 
@@ -73,7 +78,7 @@ def _updates(spark, sf):
 
 def _history(spark, sf):
     return config.carry_forward(
-        _updates(spark, sf), ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts")
+        _updates(spark, sf), ["user_id"], ["ts", "event_id"], _hour("ts")
     )
 
 
@@ -114,7 +119,7 @@ def best_candidate(spark, sf):
 
 def best_of_batch(spark, sf):
     """Results of one user and hour form a batch; best of each user's newest batch."""
-    batches = _results(spark, sf).withColumn("evaluated_at", F.date_trunc("hour", "evaluated_at"))
+    batches = _results(spark, sf).withColumn("evaluated_at", _hour("evaluated_at"))
     newest = promotion.latest_batch(batches, ["user_id"])
     best = promotion.best_candidate(newest, "score", ["user_id"], tie="event_id")
     return best.select("user_id", "model", "score", "event_id")

@@ -171,9 +171,10 @@ def test_failing_candidate_is_left_out(spark):
         return encode
 
     questions, chunks = questions_and_chunks(spark)
-    rows = evaluate_candidates(
-        questions, chunks, [Candidate("bad", "p", 8, broken), hash_candidate("good", 8)])
-    assert values(rows, "model") == [("good",)]
+    both = [Candidate("bad", "p", 8, broken), hash_candidate("good", 8)]
+    assert values(evaluate_candidates(questions, chunks, both), "model") == [("good",)]
+    apart = evaluate_candidates(questions, chunks, both, question_bytes=1)
+    assert values(apart, "model") == [("good",)]
     none = evaluate_candidates(questions, chunks, [Candidate("bad", "p", 8, broken)])
     assert none.count() == 0
     assert none.columns[:3] == ["model", "model_path", "embedding_dim"]
