@@ -34,13 +34,15 @@ def absent_rows(
 ) -> DataFrame:
     """Source rows an insert-only merge would add: one per key the target lacks.
 
-    Null keys match nothing, so every null-key row is inserted, as a merge does.
+    Repeated keys are reduced before the join, so a hot key reaches its task as one
+    row per task of the scan, and the join reuses the exchange of that step. Null keys
+    match nothing, so every null-key row is inserted, as a merge does.
     """
     columns = source.columns
-    fresh = unseen(source, target, key)
-    keyed = fresh.where(F.col(key).isNotNull())
+    keyed = source.where(F.col(key).isNotNull())
     once = first_per_key(keyed, [key], order or [F.col(c).asc() for c in columns])
-    return once.unionByName(fresh.where(F.col(key).isNull())).select(*columns)
+    fresh = unseen(once, target, key)
+    return fresh.unionByName(source.where(F.col(key).isNull())).select(*columns)
 
 
 def merge_insert_only(

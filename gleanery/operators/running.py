@@ -1,17 +1,40 @@
 """Running counts and carried-forward values that do not put a hot key in one task.
 
-A plain window sends a whole key to one task. Here the key is cut into slices that
-follow the order (days of a log, first letters of a text). Slices are processed
-apart; only one summary row per slice meets in the per-key window that hands each
-slice its starting values.
+A window sends a whole key to one task. That is right for ordinary keys, so only keys
+that hold a large share of the rows are treated apart: they are cut into slices that
+follow the order (hours of a log, first letters of a text). The slices of a hot key are
+processed in different tasks; one summary row per slice meets in a per-key window that
+hands each slice its starting values.
 """
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gleanery import session
+
+# A key is hot above this many rows, and above this share of all rows; the share
+# bounds the number of hot keys, so they can be broadcast.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and more than 1/MAX_HOT_KEYS of all rows.
+
+    One aggregation over the key columns alone, written to the shared folder.
+    """
+    session.shared_root(df.sparkSession)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    large = counts.where(F.col("_rows") > hot_rows).checkpoint()
+    if large.isEmpty():
+        return large.select(*keys)
+    share = df.count() / MAX_HOT_KEYS
+    return large.where(F.col("_rows") > share).select(*keys)
+
 
 def running(
     df: DataFrame,
@@ -21,16 +44,52 @@ def running(
     number: str | None = None,
     weight: Column | None = None,
     carry: Sequence[str] = (),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``number`` (1, 2, ... per key in ``order``, or the running sum of ``weight``)
     and fill each ``carry`` column with its last non-null value so far.
 
     ``slice_by`` must never decrease along ``order`` (nulls count as lowest in both),
-    and ``order`` must be unique within a key for the numbering to be stable.
+    and ``order`` must be unique within a key for the numbering to be stable. ``hot``
+    lists the keys to slice; by default they are measured.
     """
-    sliced = df.withColumn("_slice", slice_by).withColumn(
-        "_weight", F.lit(1) if weight is None else weight
-    )
+    hot = hot_keys(df, keys) if hot is None else hot
+    rows = df.withColumn("_weight", F.lit(1) if weight is None else weight)
+
+    def filled(source: DataFrame, groups: Sequence[str], places: Sequence[str]) -> DataFrame:
+        so_far = (
+            Window.partitionBy(*groups)
+            .orderBy(*places)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        columns = [
+            F.last(c, ignorenulls=True).over(so_far).alias(c) if c in carry else F.col(c)
+            for c in df.columns
+        ]
+        if number:
+            columns.append(F.sum("_weight").over(so_far).alias(number))
+        kept = [c for c in ["_kind"] if c in source.columns]
+        return source.select(*kept, *columns)
+
+    if hot.isEmpty():
+        return filled(rows, keys, order)
+
+    few = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    ordinary = filled(rows.join(few, same, "left_anti"), keys, order)
+
+    sliced = rows.join(few, same, "left_semi").withColumn("_slice", slice_by)
+    heads = _heads(sliced, keys, order, carry)
+    # The head row comes first in its slice and brings what the slices before it left.
+    tagged = sliced.withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
+    apart = filled(tagged, [*keys, "_slice"], ["_kind", *order])
+    return ordinary.unionByName(apart.where(F.col("_kind") == 1).drop("_kind"))
+
+
+def _heads(
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]
+) -> DataFrame:
+    """One row per slice with the sums and last values of all slices before it."""
     position = F.struct(*order)
     summary = sliced.groupBy(*keys, "_slice").agg(
         F.sum("_weight").alias("_weight"),
@@ -39,26 +98,10 @@ def running(
     before = (
         Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
-    heads = summary.select(
+    return summary.select(
         *keys,
         "_slice",
         F.lit(0).alias("_kind"),
         F.coalesce(F.sum("_weight").over(before), F.lit(0)).alias("_weight"),
         *[F.last(c, ignorenulls=True).over(before).alias(c) for c in carry],
     )
-
-    # The head row comes first in its slice and brings what the slices before it left.
-    rows = sliced.withColumn("_kind", F.lit(1)).unionByName(heads, allowMissingColumns=True)
-    so_far = (
-        Window.partitionBy(*keys, "_slice")
-        .orderBy("_kind", *order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    columns = [
-        F.last(c, ignorenulls=True).over(so_far).alias(c) if c in carry else F.col(c)
-        for c in df.columns
-    ]
-    if number:
-        columns.append(F.sum("_weight").over(so_far).alias(number))
-    result = rows.select("_kind", *columns).where(F.col("_kind") == 1)
-    return result.drop("_kind")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import fixed_values as fixed
 from gleanery import session
-from gleanery.operators.keys import absent_rows, first_per_key, unseen
+from gleanery.operators.keys import absent_rows
 from gleanery.sources import tables
 
 META_COLUMNS = ["title", "authors", "journal", "year", "mesh_terms", "doi"]
@@ -17,19 +17,19 @@ def search_report(
     searched: DataFrame, registry: DataFrame, key: str, cap: int = fixed.MAX_SEARCH_RESULTS
 ) -> DataFrame:
     """One row: ids searched, ids not registered yet, and whether the search hit its cap."""
+    times = searched.groupBy(key).agg(F.count(F.lit(1)).alias("times"))
     known = registry.select(key).distinct().withColumn("known", F.lit(True))
-    return searched.select(key).join(known, key, "left").agg(
-        F.count(F.lit(1)).alias("searched"),
-        F.count_if(F.col("known").isNull()).alias("new"),
-        (F.count(F.lit(1)) >= cap).alias("truncated"),
+    total = F.coalesce(F.sum("times"), F.lit(0))
+    return times.join(known, key, "left").agg(
+        total.alias("searched"),
+        F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("times"))), F.lit(0)).alias("new"),
+        (total >= cap).alias("truncated"),
     )
 
 
 def new_articles(articles: DataFrame, registry: DataFrame, key: str = "pmid") -> DataFrame:
     """Parsed articles the registry lacks, one per key; rows without a key are unreadable."""
-    fresh = unseen(articles.where(F.col(key).isNotNull()), registry, key)
-    order = [F.col(c).asc() for c in articles.columns if c != key]
-    return first_per_key(fresh, [key], order)
+    return absent_rows(registry, articles.where(F.col(key).isNotNull()), key)
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from gleanery import schemas
 from gleanery.functions.splitter import RecursiveSplitter, recursive_chunks
 from gleanery.functions.text import fixed_windows, render, short_name, without_prompt
 from gleanery.operators.chunks import chunk_documents, chunk_new_documents, index_chunks
+from gleanery.operators.running import hot_keys
 from gleanery.plans.chunking import chunk_table
 from gleanery.sources import tables
 from tests.conftest import values
@@ -115,8 +116,12 @@ def test_index_chunks_equals_window_under_skew(spark):
     plain = df.withColumn(
         "chunk_index", F.row_number().over(Window.partitionBy("id").orderBy("chunk")) - 1
     )
-    assert values(index_chunks(df, "id"), "id", "chunk_index", "chunk") == values(
-        plain, "id", "chunk_index", "chunk")
+    expected = values(plain, "id", "chunk_index", "chunk")
+    hot = hot_keys(df, ["id"], hot_rows=100)
+    assert values(hot, "id") == [("hot",)]
+    for sliced in [hot, None]:
+        indexed = index_chunks(df, "id", hot=sliced)
+        assert values(indexed, "id", "chunk_index", "chunk") == expected
 
 
 def test_incremental_chunking_adds_nothing_twice(spark, database):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleanery import fixed_values as fixed
 from gleanery import schemas
 from gleanery.operators import config, promotion, rotation, sessions
-from gleanery.operators.running import running
+from gleanery.operators.running import hot_keys, running
 from gleanery.plans import promotion as jobs
 from gleanery.sources import tables
 from tests.conftest import values
@@ -92,15 +92,21 @@ def test_config_versions_and_rollback(spark):
 
 def test_running_equals_plain_windows_under_skew(spark):
     rng = random.Random(5)
-    rows = [("hot" if i % 3 == 0 else (None if i % 31 == 0 else f"k{i % 7}"), i,
+    rows = [("hot" if i % 3 == 0 else (None if i % 7 == 0 else f"k{i % 101}"), i,
              rng.choice([None, None, f"v{i}"]), rng.choice([None, i])) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, t int, a string, b int")
-    got = running(df, ["k"], ["t"], F.floor(F.col("t") / 50), number="n", carry=["a", "b"])
+    hot = hot_keys(df, ["k"], hot_rows=60)
+    assert {k for (k,) in values(hot, "k")} >= {"hot", None}
+    assert hot.count() < df.select("k").distinct().count()
     w = Window.partitionBy("k").orderBy("t")
     plain = df.select(
         "k", "t", F.last("a", True).over(w).alias("a"), F.last("b", True).over(w).alias("b"),
         F.row_number().over(w).cast("long").alias("n"))
-    assert values(got, "k", "t", "a", "b", "n") == values(plain, "k", "t", "a", "b", "n")
+    expected = values(plain, "k", "t", "a", "b", "n")
+    for sliced in [hot, hot.limit(0)]:
+        got = running(df, ["k"], ["t"], F.floor(F.col("t") / 50), number="n",
+                      carry=["a", "b"], hot=sliced)
+        assert values(got, "k", "t", "a", "b", "n") == expected
 
 
 def test_best_candidate_of_recent_results(spark):
