@@ -5,15 +5,16 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery import fixed_values as fixed
-from gleanery import session
+from gleanery import schemas, session
 from gleanery.functions.encoders import Candidate, embed, unit_rows
 from gleanery.operators import judging, metrics, topk
+from gleanery.sources import tables
 
 QUESTION_TEXT_BYTES = 64 << 20
 
@@ -205,3 +206,36 @@ def evaluate_replies(replies: DataFrame, evaluated_at: Column | None = None) ->
     """Rows for the generation results table from raw judge replies ``(model, reply)``."""
     stamp = F.current_timestamp() if evaluated_at is None else evaluated_at
     return judging.judge_scores(replies).withColumn("evaluated_at", stamp)
+
+
+def evaluate_embedding_tables(
+    spark: SparkSession,
+    chunks: str,
+    questions: str,
+    results: str,
+    candidates: Sequence[Candidate],
+) -> DataFrame:
+    """Score the candidates on the question table and append to the results table.
+
+    Returns this run's rows as a leaderboard.
+    """
+    asked = tables.scan(spark, questions, "question", "chunk_id").select(
+        F.xxhash64("chunk_id", "question").alias("question_id"),
+        "question",
+        F.col("chunk_id").alias("correct_chunk_id"),
+    )
+    text = tables.scan(spark, chunks, "chunk_id", "chunk")
+    scored = evaluate_candidates(asked.dropDuplicates(["question_id"]), text, candidates)
+    stamped = scored.withColumn("evaluated_at", F.current_timestamp()).checkpoint()
+    tables.ensure_table(spark, results, schemas.EMBEDDING_RESULTS)
+    tables.append(stamped, results)
+    return metrics.leaderboard(stamped)
+
+
+def evaluate_generation_table(spark: SparkSession, replies: DataFrame, results: str) -> DataFrame:
+    """Score judge replies ``(model, reply)`` and append to the results table."""
+    session.shared_root(spark)
+    scored = evaluate_replies(replies).checkpoint()
+    tables.ensure_table(spark, results, schemas.GENERATION_RESULTS)
+    tables.append(scored, results)
+    return scored
