@@ -38,27 +38,25 @@ class HashEncoder:
 
     def __init__(self, dimension: int):
         self.dimension = dimension
-        self._buckets: dict[str, int] = {}
-
-    def _bucket(self, word: str) -> int:
-        bucket = self._buckets.get(word)
-        if bucket is None:
-            if len(self._buckets) >= VOCABULARY_ENTRIES:
-                self._buckets.clear()
-            digest = md5(word.encode("utf-8"), usedforsecurity=False).hexdigest()
-            bucket = self._buckets[word] = int(digest[:8], 16) % self.dimension
-        return bucket
+        # The empty word, found between two blanks, has no bucket.
+        self._buckets: dict[str, int] = {"": -1}
+
+    def _hashed(self, words: list[str]) -> np.ndarray:
+        known = self._buckets
+        if len(known) >= VOCABULARY_ENTRIES:
+            known = self._buckets = {"": -1}
+        for word in words:
+            if word not in known:
+                digest = md5(word.encode("utf-8"), usedforsecurity=False).digest()
+                known[word] = int.from_bytes(digest[:4], "big") % self.dimension
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         """Words are cut and numbered by Arrow; only distinct words are hashed."""
         lines = pc.fill_null(pa.array(texts, pa.string()), "")
         words = pc.split_pattern(pc.replace_substring(lines, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
-        buckets = np.fromiter(
-            (self._bucket(word) if word else -1 for word in coded.dictionary.to_pylist()),
-            dtype=np.int64, count=len(coded.dictionary),
-        )
-        column = buckets[coded.indices.to_numpy()]
+        column = self._hashed(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         row = pc.list_parent_indices(words).to_numpy()
         cells = (row * self.dimension + column)[column >= 0]
         counts = np.bincount(cells, minlength=len(texts) * self.dimension)

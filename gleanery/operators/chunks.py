@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions.text import chunk_id, fixed_windows
-from gleanery.operators.keys import unseen
+from gleanery.operators.keys import unseen_wide
 from gleanery.operators.running import hot_keys, running
 from gleanery.sources.tables import spread
 
@@ -30,7 +30,7 @@ def chunk_documents(
     """
     pieces = splitter(F.col(text))
     if lexical:
-        pieces = F.array_sort(pieces)
+        pieces = F.sort_array(pieces)
     return (
         spread(documents.select(key, text).where(F.length(text) > 0))
         .select(key, F.posexplode(pieces).alias("chunk_index", "chunk"))
@@ -76,13 +76,15 @@ def chunk_new_documents(
     text: str,
     splitter: Callable[[Column], Column] = fixed_windows,
     lexical: bool = True,
+    co_bucketed: bool = False,
 ) -> DataFrame:
     """Chunks of the documents whose key is not among the ``chunked`` rows.
 
     Documents without text are dropped before the join: they never give a chunk, so
     they would come back in every run.
     """
-    pending = unseen(documents.select(key, text).where(F.length(text) > 0), chunked, key)
+    with_text = documents.select(key, text).where(F.length(text) > 0)
+    pending = unseen_wide(with_text, chunked, key, co_bucketed)
     return chunk_documents(pending, key, text, splitter, lexical)
 
 

@@ -7,16 +7,53 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleanery import session
+from gleanery.functions.vectors import has_dimension
+from gleanery.sources import tables
+
+
+# Keys of one join side are broadcast up to this many, counted before.
+BROADCAST_KEYS = 1_000_000
+
 
 def unseen(searched: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     """Rows whose key the registry lacks. Repeated rows survive; null keys are never seen.
 
-    The registry is cut to its key and partly de-duplicated before the exchange, so a
-    key held by many registry rows (all chunks of a document) travels once per task.
-    Spark broadcasts the keys only while their size is below its threshold; tables
-    bucketed on the key are joined without any shuffle.
+    Few searched rows against a large registry: the registry is read in place and cut to
+    the searched keys first, so it is not shuffled. Otherwise the registry's keys are
+    partly de-duplicated before the exchange, so a key held by many registry rows (all
+    chunks of a document) travels once per task. Tables bucketed on the key are joined
+    without any shuffle.
     """
-    return searched.join(registry.select(key).distinct(), key, "left_anti")
+    known = registry.select(key)
+    if tables.would_broadcast(searched) and not tables.would_broadcast(known):
+        known = known.join(searched.select(key), key, "left_semi")
+    return searched.join(known.distinct(), key, "left_anti")
+
+
+def unseen_wide(
+    rows: DataFrame, registry: DataFrame, key: str, co_bucketed: bool = False
+) -> DataFrame:
+    """:func:`unseen` for rows with a large payload, which should not be shuffled.
+
+    Unless one side is small or both are bucketed alike, the new keys are found by a join
+    of the key columns alone and counted. If they are few, as in an incremental run, they
+    are broadcast to the scan of the rows; else the rows are joined directly.
+    """
+    known = registry.select(key)
+    if co_bucketed or tables.would_broadcast(known) or tables.would_broadcast(rows):
+        return unseen(rows, registry, key)
+    session.shared_root(rows.sparkSession)
+    new = rows.select(key).join(known.distinct(), key, "left_anti").distinct()
+    if new.count() > BROADCAST_KEYS:
+        return unseen(rows, registry, key)
+    wanted = F.broadcast(new.withColumnRenamed(key, "_new").checkpoint())
+    return rows.join(wanted, F.col(key).eqNullSafe(F.col("_new")), "left_semi")
+
+
+def broadcast_if_few(keys: DataFrame) -> DataFrame:
+    """The keys, marked for broadcast when there are few; they should be checkpointed."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -135,9 +172,16 @@ def snapshot_diff(index: DataFrame, source: DataFrame, key: str) -> DataFrame:
 def apply_changes(
     index: DataFrame, source: DataFrame, changes: DataFrame, key: str
 ) -> DataFrame:
-    """Index after the changes; payloads are fetched for changed keys only."""
-    kept = index.join(changes.select(key), key, "left_anti")
-    written = changes.where(F.col("change") != "delete").select(key)
+    """Index after the changes; payloads are fetched for changed keys only.
+
+    The changed keys are written to the shared folder and counted: few ones are
+    broadcast, so neither table is shuffled for them.
+    """
+    session.shared_root(changes.sparkSession)
+    changes = changes.checkpoint()
+    changed = broadcast_if_few(changes.select(key))
+    written = broadcast_if_few(changes.where(F.col("change") != "delete").select(key))
+    kept = index.join(changed, key, "left_anti")
     return kept.unionByName(source.join(written, key, "left_semi").select(*index.columns))
 
 
@@ -145,7 +189,5 @@ def split_by_dimension(
     df: DataFrame, vector: str, dimension: int
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that fit an index of the dimension, and the rejected rest."""
-    from gleanery.functions.vectors import has_dimension
-
     fits = has_dimension(F.col(vector), dimension)
     return df.where(fits), df.where(~fits)

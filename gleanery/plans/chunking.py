@@ -29,6 +29,7 @@ def chunk_table(
         "abstract",
         splitter or recursive_chunks(),
         lexical,
+        co_bucketed=tables.bucketed_alike(spark, abstracts, chunks),
     )
     written = Observation()
     tables.append(rows, chunks, written)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions.encoders import Candidate, embed
+from gleanery.operators.keys import unseen_wide
 from gleanery.sources import tables
 
 
@@ -16,7 +17,7 @@ def embed_chunks(
     """
     if existing is not None:
         done = existing.where(F.col("model") == candidate.name).select("chunk_id")
-        chunks = chunks.join(done, "chunk_id", "left_anti")
+        chunks = unseen_wide(chunks, done, "chunk_id")
     return tables.spread(chunks).withColumn("embedding", embed(candidate.factory)("chunk"))
 
 

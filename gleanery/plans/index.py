@@ -33,7 +33,8 @@ def sync_index(
     if any(counts[kind] for kind in ["update", "delete"]):
         tables.swap(keys.apply_changes(current, fits, changes, KEY), index)
     elif counts["insert"]:
-        tables.append(fits.join(changes.select(KEY), KEY, "left_semi"), index)
+        fresh = keys.broadcast_if_few(changes.select(KEY))
+        tables.append(fits.join(fresh, KEY, "left_semi"), index)
     return counts
 
 

@@ -2,9 +2,11 @@
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def scan(spark: SparkSession, name_or_path: str, *columns: str) -> DataFrame:
@@ -25,15 +27,32 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if df.isStreaming or estimate >= cores * split:
+    if df.isStreaming or estimated_bytes(df) >= cores * split:
         return df
     return df.repartition(cores)
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Size estimate the optimizer works with; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def would_broadcast(df: DataFrame) -> bool:
+    """Whether Spark itself would broadcast this side of a join."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return not df.isStreaming and estimated_bytes(df) <= conf.autoBroadcastJoinThreshold()
+
+
 def local_rows(spark: SparkSession, rows: Iterable, schema: T.StructType) -> DataFrame:
-    """Rows the caller holds, with a stated schema, so that all-null columns keep their type."""
-    return spark.createDataFrame(list(rows), schema)
+    """Rows the caller holds, with a stated schema, so that all-null columns keep their type.
+
+    They enter through Arrow as a relation of known size, which joins can take into
+    account. Time stamps without a zone count as UTC.
+    """
+    columns = list(zip(*rows)) or [[] for _ in schema]
+    arrow = to_arrow_schema(schema)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema)
 
 
 def ensure_table(
@@ -91,7 +110,7 @@ def _writer(df: DataFrame, name: str, counts: Observation | None, like: str | No
     layout = None
     if spark.catalog.tableExists(existing):
         df = df.select(*spark.table(existing).columns)
-        layout = _bucket_layout(spark, existing)
+        layout = bucket_layout(spark, existing)
     if counts is not None:
         df = df.observe(counts, F.count(F.lit(1)).alias("rows"))
     writer = df.write.format("parquet")
@@ -100,7 +119,7 @@ def _writer(df: DataFrame, name: str, counts: Observation | None, like: str | No
     return writer
 
 
-def _bucket_layout(spark: SparkSession, name: str) -> tuple[int, str] | None:
+def bucket_layout(spark: SparkSession, name: str) -> tuple[int, str] | None:
     """Bucket count and column of a table, so that appends keep its layout."""
     keys = [c.name for c in spark.catalog.listColumns(name) if c.isBucket]
     if not keys:
@@ -108,3 +127,9 @@ def _bucket_layout(spark: SparkSession, name: str) -> tuple[int, str] | None:
     described = spark.sql(f"DESCRIBE TABLE EXTENDED {name}")
     count = described.where(F.col("col_name") == "Num Buckets").head()
     return int(count["data_type"]), keys[0]
+
+
+def bucketed_alike(spark: SparkSession, *names: str) -> bool:
+    """Whether all tables are bucketed with one count on one column."""
+    layouts = {bucket_layout(spark, name) for name in names}
+    return len(layouts) == 1 and None not in layouts

@@ -1,4 +1,5 @@
 import random
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,50 @@ def test_unseen_keeps_repeats_and_nulls(spark):
     assert keys.unseen(searched.limit(0), registry, "k").count() == 0
 
 
+@contextmanager
+def setting(spark, name, value):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
+
+
+def test_unseen_gives_the_same_rows_on_every_path(spark, monkeypatch):
+    rng = random.Random(2)
+    pick = lambda n: [(rng.choice([None, *map(str, range(60))]), "p" * 50) for _ in range(n)]
+    rows = spark.createDataFrame(pick(300), "k string, payload string")
+    registry = spark.createDataFrame(pick(80), "k string, payload string")
+    known = {k for (k,) in values(registry, "k") if k is not None}
+    expected = [r for r in values(rows, "k", "payload") if r[0] not in known]
+    assert values(keys.unseen(rows, registry, "k"), "k", "payload") == expected
+    with setting(spark, THRESHOLD, "-1"):
+        assert values(keys.unseen(rows, registry, "k"), "k", "payload") == expected
+        wide = keys.unseen_wide(rows, registry, "k")
+        assert values(wide, "k", "payload") == expected
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        monkeypatch.setattr(keys, "BROADCAST_KEYS", 3)
+        wide = keys.unseen_wide(rows, registry, "k")
+        assert values(wide, "k", "payload") == expected
+        plan = wide._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+
+
+def test_large_registry_is_not_shuffled_for_few_ids(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    ids = tables.local_rows(spark, [(1,), (10**9,)], lines.select("l_orderkey").schema)
+    with setting(spark, THRESHOLD, "100000"):
+        fresh = keys.unseen(ids, lines, "l_orderkey")
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in plan
+        assert values(fresh, "l_orderkey") == [(10**9,)]
+
+
 def test_insert_only_merge(spark):
     target = spark.createDataFrame([("a", 1)], "k string, v int")
     source = spark.createDataFrame(

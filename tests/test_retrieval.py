@@ -41,14 +41,16 @@ def brute_force(q, c, k, allowed=None):
     return sorted(found, key=repr)
 
 
-@pytest.mark.parametrize("copies", [0, 150])
-def test_exact_topk_both_ways(spark, copies):
+@pytest.mark.parametrize("copies,batch", [(0, 10000), (150, 10000), (150, 7)])
+def test_exact_topk_both_ways(spark, copies, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     asked, corpus, q, c = random_tables(spark, 30, 400, copies=copies)
     expected = brute_force(q, c, 5)
     together = topk.cosine_topk(asked, corpus, 5)
     assert values(together, "question_id", "chunk_id", "rank") == expected
     tiled = topk.cosine_topk(asked, corpus, 5, block_bytes=7 * 8 * DIM, slice_bytes=50 * 4 * DIM)
     assert values(tiled, "question_id", "chunk_id", "rank") == expected
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_no_join_pairs_rows_and_limits_come_before_the_exchange(spark):
