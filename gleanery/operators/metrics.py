@@ -37,11 +37,12 @@ def retrieval_metrics(
 ) -> DataFrame:
     """Hit rate and MRR at every k from one ranking, over all labelled questions.
 
-    ``labelled`` has one row per (``by``, question); without questions every metric is null.
+    ``labelled`` has one row per (``by``, question); without questions every metric is
+    null. A ``by`` column the ranking lacks belongs to the question alone.
     """
-    keys = [*by, question_id]
+    keys = [*[c for c in by if c in ranked.columns], question_id]
     found = ranked.select(*keys, F.col(chunk_id).alias(correct), "rank")
-    matched = labelled.select(*keys, correct).join(found, [*keys, correct], "left")
+    matched = labelled.select(*by, question_id, correct).join(found, [*keys, correct], "left")
     return matched.groupBy(*by).agg(*metric_columns(F.col("rank"), k_values))
 
 

@@ -135,25 +135,18 @@ def retrieval_metrics(spark, sf):
 
 def model_leaderboard(spark, sf):
     """How well quantity ranks an order's parts, the dearest part being the right answer."""
-    parts = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(
-        F.sum("l_quantity").alias("quantity"),
-        F.max("l_extendedprice").alias("price"),
-    )
-    orders = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"),
+    parts = table(spark, sf, "lineitem").groupBy(
+        F.col("l_orderkey").alias("question_id"), F.col("l_partkey").alias("chunk_id")
+    ).agg(F.sum("l_quantity").alias("similarity"), F.max("l_extendedprice").alias("price"))
+    models = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("question_id"),
         F.concat(F.lit("rankers/"), "o_orderpriority").alias("model"),
     )
-    rows = parts.join(orders, "l_orderkey").select(
-        "model",
-        F.col("l_orderkey").alias("question_id"),
-        F.col("l_partkey").alias("chunk_id"),
-        F.col("quantity").alias("similarity"),
-        "price",
-    )
-    labelled = rows.groupBy("model", "question_id").agg(
+    dearest = parts.groupBy("question_id").agg(
         F.max_by("chunk_id", F.struct("price", "chunk_id")).alias("correct_chunk_id")
     )
-    ranked = topk.rank_hits(rows.drop("price"), ["model", "question_id"], "chunk_id", 10)
+    labelled = dearest.join(models, "question_id")
+    ranked = topk.rank_hits(parts.drop("price"), ["question_id"], "chunk_id", 10)
     scored = metrics.retrieval_metrics(labelled, ranked, ["model"])
     board = metrics.leaderboard(scored)
     return board.withColumn("model", textual.short_name(F.col("model")))

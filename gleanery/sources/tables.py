@@ -81,8 +81,8 @@ def append(df: DataFrame, name: str, counts: Observation | None = None) -> None:
 
 
 def overwrite(df: DataFrame, name: str, counts: Observation | None = None) -> None:
-    """Replace a table that ``df`` does not read."""
-    _writer(df, name, counts).mode("overwrite").saveAsTable(name)
+    """Replace a table that ``df`` does not read; its columns may change."""
+    _writer(df, name, counts, keep_columns=False).mode("overwrite").saveAsTable(name)
 
 
 def swap(df: DataFrame, name: str) -> None:
@@ -104,19 +104,27 @@ def is_empty(df: DataFrame) -> bool:
     return df.limit(1).isEmpty()
 
 
-def _writer(df: DataFrame, name: str, counts: Observation | None, like: str | None = None):
+def _writer(
+    df: DataFrame,
+    name: str,
+    counts: Observation | None,
+    like: str | None = None,
+    keep_columns: bool = True,
+):
     spark = df.sparkSession
     existing = like or name
     layout = None
     if spark.catalog.tableExists(existing):
-        df = df.select(*spark.table(existing).columns)
+        if keep_columns:
+            df = df.select(*spark.table(existing).columns)
         layout = bucket_layout(spark, existing)
     if counts is not None:
         df = df.observe(counts, F.count(F.lit(1)).alias("rows"))
-    writer = df.write.format("parquet")
     if layout:
-        writer = writer.bucketBy(*layout)
-    return writer
+        # One task per bucket, so a write adds one file per bucket and not one per task and bucket.
+        df = df.repartition(*layout)
+    writer = df.write.format("parquet")
+    return writer.bucketBy(*layout) if layout else writer
 
 
 def bucket_layout(spark: SparkSession, name: str) -> tuple[int, str] | None:
