@@ -26,7 +26,7 @@ DECIMALS = 9
 QUESTION_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
 CORPUS_SLICE_BYTES = 256 << 20
-MAX_TILES = 200_000
+MAX_PARTITIONS = 200_000
 STREAMS_PER_CORE = 4
 MAX_BUCKETS = 1 << 20
 
@@ -208,9 +208,11 @@ def _tiled(
         "bucket",
         F.ceil(F.col("asked") / block_rows).cast("int").alias("blocks"),
         F.ceil(F.col("held") / slice_rows).cast("int").alias("slices"),
+        "held",
     ).checkpoint()
-    tiles = counted.agg(F.sum(F.col("blocks") * F.col("slices"))).head()[0] or 1
-    # At most MAX_BUCKETS rows of three integers, so the broadcast is bounded.
+    moved = counted.agg(F.sum(F.col("blocks") * F.col("held"))).head()[0] or 0
+    partitions = moved // slice_rows + 1
+    # At most MAX_BUCKETS rows of four numbers, so the broadcast is bounded.
     sizes = F.broadcast(counted)
 
     def upto(count: Column) -> Column:
@@ -237,8 +239,8 @@ def _tiled(
     )
     tile = ["bucket", "block", "slice"]
     rows = q.unionByName(c)
-    if tiles > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        rows = rows.repartition(min(tiles, MAX_TILES), *tile)
+    if partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(min(partitions, MAX_PARTITIONS), *tile)
     else:
         rows = rows.repartition(*tile)
     rows = rows.sortWithinPartitions(*tile, "side")
