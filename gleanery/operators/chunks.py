@@ -10,7 +10,7 @@ from gleanery.operators.keys import unseen_wide
 from gleanery.operators.running import hot_keys, running
 from gleanery.sources.tables import spread
 
-SLICE_CHARS = 2
+SLICE_CHARS = 4
 COPY_BLOCK = 100_000
 
 

@@ -21,12 +21,12 @@ def scan(spark: SparkSession, name_or_path: str, *columns: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Spread an input too small to give every core a split, before costly work per row.
 
-    The decision uses Spark's own size estimate. A large input already has more splits
-    than the cluster has cores, so it is never shuffled here.
+    The decision compares Spark's own size estimate with its smallest sensible split
+    (``spark.sql.files.openCostInBytes``) per core. A larger input is never shuffled here.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    split = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
     if df.isStreaming or estimated_bytes(df) >= cores * split:
         return df
     return df.repartition(cores)
@@ -88,7 +88,8 @@ def overwrite(df: DataFrame, name: str, counts: Observation | None = None) -> No
 def swap(df: DataFrame, name: str) -> None:
     """Replace a table with rows derived from itself: write aside, then rename.
 
-    One writer at a time is assumed.
+    One writer at a time is assumed. After a crash between the two renames
+    :func:`restore` brings the old table back.
     """
     spark = df.sparkSession
     following, previous = f"{name}__next", f"{name}__prev"
@@ -100,6 +101,14 @@ def swap(df: DataFrame, name: str) -> None:
     spark.sql(f"DROP TABLE {previous}")
 
 
+def restore(spark: SparkSession, name: str) -> bool:
+    """Undo an interrupted :func:`swap`; true when the old table was brought back."""
+    if spark.catalog.tableExists(name) or not spark.catalog.tableExists(f"{name}__prev"):
+        return False
+    spark.sql(f"ALTER TABLE {name}__prev RENAME TO {name}")
+    return True
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).isEmpty()
 

@@ -157,13 +157,13 @@ def test_bucketed_tables_are_anti_joined_without_a_shuffle(spark, database):
 
 def test_chunking_shuffles_no_text_of_large_inputs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
     try:
         plan = chunk_documents(docs, "doc_id", "text")._jdf.queryExecution().executedPlan()
         assert "Exchange" not in plan.toString()
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
 
 
 def test_new_documents_with_null_key_stay(spark):

@@ -105,12 +105,12 @@ def test_spread_leaves_large_inputs_alone(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" in plan(tables.spread(df))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
     try:
         assert "Exchange" not in plan(tables.spread(df))
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
 
 
 def test_local_rows_keep_types_of_empty_columns(spark):

@@ -105,6 +105,9 @@ def test_set_flag_and_swap(spark, database):
     tables.swap(paused, name)
     assert values(spark.table(name), "term", "active") == [("a", True), ("b", False)]
     assert spark.table(name).schema["run_count"].dataType.simpleString() == "int"
+    assert not tables.restore(spark, name)
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__prev")
+    assert tables.restore(spark, name) and spark.table(name).count() == 2
 
 
 def test_snapshot_diff_all_kinds(spark):
