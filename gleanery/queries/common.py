@@ -1,5 +1,7 @@
 """Table access and SQL pieces shared by the registered queries."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,3 +54,12 @@ def hashed_sql(name: str, source: str, key: str, text: str, dimension: int) -> s
     )
   )
 )"""
+
+
+def rendered_sql(template: str, **columns: str) -> str:
+    """SQL expression of a prompt template with columns at its ``{name}`` places."""
+    pieces = re.split("(" + "|".join(re.escape("{" + name + "}") for name in columns) + ")", template)
+    return " || ".join(
+        columns[piece[1:-1]] if piece[1:-1] in columns else "'" + piece.replace("'", "''") + "'"
+        for piece in pieces if piece
+    )

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gleanery import fixed_values as fixed
 from gleanery.functions import text as textual
 from gleanery.functions import vectors
 from gleanery.functions.encoders import embed, hash_candidate
@@ -10,7 +11,7 @@ from gleanery.operators.chunks import chunk_documents
 from gleanery.plans.answering import grounded_prompts
 from gleanery.plans.embedding import embed_chunks
 from gleanery.plans.evaluation import evaluate_candidates, evaluate_replies
-from gleanery.queries.common import LEXICAL_SQL, hashed_sql, table
+from gleanery.queries.common import LEXICAL_SQL, hashed_sql, rendered_sql, table
 from gleanery.sources.tables import spread
 
 DIMENSION = 64
@@ -324,34 +325,14 @@ FROM questions LEFT JOIN r{tag} ON question_id = chunk_id"""
 
 _RANKED = [_ranks(name, dimension) for name, dimension in CANDIDATES]
 
-_QUESTION_PROMPT_SQL = (
-    "'Read this excerpt from a research paper and write ONE specific factual question that this"
-    " excerpt directly answers. The question should be answerable using ONLY the information in"
-    " this excerpt.' || chr(10) || chr(10) || '    Excerpt:' || chr(10) || '    ' || text ||"
-    " chr(10) || chr(10) || '    Respond with ONLY the question, nothing else.'"
-)
+_SHORT_SQL = rendered_sql(fixed.SHORT_QUESTION_PROMPT, excerpt="substring(text, 1, 300)")
+_QUESTION_SQL = rendered_sql(fixed.QUESTION_PROMPT, chunk="text")
+_JUDGE_SQL = rendered_sql(fixed.JUDGE_PROMPT, question="source", context="text", answer="lang")
 
 
 def _answer_sql(question: str, context: str) -> str:
-    return (
-        "'Answer the question based on the context below.' || chr(10) || chr(10) ||"
-        f" 'Context:' || chr(10) || {context} || chr(10) || chr(10) || 'Question: ' ||"
-        f" {question} || chr(10) || 'Answer:'"
-    )
-
-
-_JUDGE_PROMPT_SQL = (
-    "'Rate this answer on a scale of 1-5 for each criterion. Respond with ONLY a JSON object,"
-    " no other text.' || chr(10) || chr(10) || 'Question: ' || source || chr(10) || 'Context: '"
-    " || text || chr(10) || 'Answer: ' || lang || chr(10) || chr(10) || 'Criteria:' || chr(10)"
-    " || '- faithfulness (1-5): Is the answer grounded in the context, with no hallucinated"
-    " facts?' || chr(10) || '- relevance (1-5): Does it directly answer the question asked?' ||"
-    " chr(10) || '- conciseness (1-5): Is it appropriately brief without unnecessary repetition?'"
-    " || chr(10) || chr(10) || 'JSON format: {\"faithfulness\": X, \"relevance\": X,"
-    " \"conciseness\": X}'"
-)
+    return rendered_sql(fixed.ANSWER_PROMPT, question=question, context=context)
 
-_SHORT_SQL = "'Generate one specific question that this text answers: ' || substring(text, 1, 300)"
 
 ORACLES = {
     "vector_normalize": f"""
@@ -418,9 +399,9 @@ ORACLES = {
         ORDER BY md5(doc_id || ':42'), doc_id LIMIT 100""",
     "prompt_render": f"""
         SELECT doc_id, {_SHORT_SQL} AS short_prompt, 'What is ' || source || '?' AS question,
-               md5({_QUESTION_PROMPT_SQL}) AS question_prompt_md5,
+               md5({_QUESTION_SQL}) AS question_prompt_md5,
                md5({_answer_sql('source', 'text')}) AS answer_prompt_md5,
-               md5({_JUDGE_PROMPT_SQL}) AS judge_prompt_md5
+               md5({_JUDGE_SQL}) AS judge_prompt_md5
         FROM documents""",
     "judge_scores": """
         WITH scored AS (
