@@ -66,20 +66,30 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
-def absent_rows(
+def new_per_key(
     target: DataFrame, source: DataFrame, key: str, order: Sequence[Column] | None = None
 ) -> DataFrame:
-    """Source rows an insert-only merge would add: one per key the target lacks.
+    """Source rows with a key the target lacks, one per key; rows without a key are left out.
 
     Repeated keys are reduced before the join, so a hot key reaches its task as one
-    row per task of the scan, and the join reuses the exchange of that step. Null keys
-    match nothing, so every null-key row is inserted, as a merge does.
+    row per task of the scan, and the join reuses the exchange of that step.
     """
-    columns = source.columns
     keyed = source.where(F.col(key).isNotNull())
-    once = first_per_key(keyed, [key], order or [F.col(c).asc() for c in columns])
-    fresh = unseen(once, target, key)
-    return fresh.unionByName(source.where(F.col(key).isNull())).select(*columns)
+    once = first_per_key(keyed, [key], order or [F.col(c).asc() for c in source.columns])
+    return unseen(once, target, key).select(*source.columns)
+
+
+def absent_rows(
+    target: DataFrame, source: DataFrame, key: str, order: Sequence[Column] | None = None
+) -> DataFrame:
+    """Source rows an insert-only merge would add.
+
+    These are the new rows per key, and every row with a null key: a null matches
+    nothing, so a merge inserts it.
+    """
+    return new_per_key(target, source, key, order).unionByName(
+        source.where(F.col(key).isNull())
+    )
 
 
 def merge_insert_only(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import fixed_values as fixed
 from gleanery import session
-from gleanery.operators.keys import absent_rows
+from gleanery.operators.keys import new_per_key
 from gleanery.sources import tables
 
 META_COLUMNS = ["title", "authors", "journal", "year", "mesh_terms", "doi"]
@@ -29,7 +29,7 @@ def search_report(
 
 def new_articles(articles: DataFrame, registry: DataFrame, key: str = "pmid") -> DataFrame:
     """Parsed articles the registry lacks, one per key; rows without a key are unreadable."""
-    return absent_rows(registry, articles.where(F.col(key).isNotNull()), key)
+    return new_per_key(registry, articles, key)
 
 
 @dataclass(frozen=True)
@@ -55,5 +55,5 @@ def ingest(spark: SparkSession, articles: DataFrame, names: IngestTables, key: s
     }
     for name, rows in parts.items():
         target = tables.scan(spark, name)
-        tables.append(absent_rows(target, rows, key), name)
+        tables.append(new_per_key(target, rows, key), name)
     return fresh.count()

@@ -38,8 +38,9 @@ def read_article_files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_articles(df: DataFrame, xml: str, *keep: str) -> DataFrame:
     """One flat row per XML string; unreadable XML gives a row with a null ``pmid``."""
-    records = spread(df.select(*keep, xml)).select(*keep, F.from_xml(xml, RECORD_DDL, XML_OPTIONS).alias("record"))
-    return flatten_articles(records.select(*keep, "record.*"), *keep)
+    # As a generated row the record is parsed once, whatever filters follow.
+    record = F.inline(F.array(F.from_xml(xml, RECORD_DDL, XML_OPTIONS)))
+    return flatten_articles(spread(df.select(*keep, xml)).select(*keep, record), *keep)
 
 
 def flatten_articles(records: DataFrame, *keep: str) -> DataFrame:
