@@ -58,12 +58,13 @@ def fingerprint(text: pa.Array) -> pa.Array:
 
 
 def _cell(fp: Column, segments: int) -> Column:
-    """The segments' population counts, eight bits each (segments of at most 64/4 bits)."""
+    """The segments' population counts, eight bits each."""
     width = 64 // segments
+    mask = -1 if segments == 1 else (1 << width) - 1
     parts = [
         F.shiftleft(
             F.bit_count(
-                F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit((1 << width) - 1))
+                F.shiftrightunsigned(fp, width * i).bitwiseAND(F.lit(mask))
             ).cast("long"),
             8 * i,
         )
@@ -133,7 +134,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int =
     """
     if segments is None:
         segments = 8 if prints.count() > FINE_ABOVE else 4
-    steps = [s for s in _steps(segments, radius)]
+    steps = _steps(segments, radius)
     placed = prints.select("fp", _cell(F.col("fp"), segments).alias("cell"))
     cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("subs"))
     tiles = kept(
