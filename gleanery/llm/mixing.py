@@ -83,7 +83,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED,
                 knapsack: int = KNAPSACK_BUDGET) -> np.ndarray:
-    """How many documents of each length to take, their sum the budget or just below.
+    """How many documents of each length to take, their sum the budget or as near as can be.
 
     A proportional part of every count comes first, then single documents of lengths in a
     seeded order until the dynamic programme can hold the rest, then its best fill.
@@ -115,20 +115,33 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int
 
 
 def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack: the counts whose sum comes closest to the budget from below."""
+    """Bounded knapsack: the counts whose sum comes closest to the budget, from below if two
+    are as close."""
+    chosen, total = _knapsack(lengths, counts, budget, budget)
+    if total < budget:
+        over, more = _knapsack(lengths, counts, 2 * budget - total - 1, budget)
+        if more > total:
+            return over
+    return chosen
+
+
+def _knapsack(lengths: np.ndarray, counts: np.ndarray, room: int,
+              budget: int) -> tuple[np.ndarray, int]:
+    """Counts and their sum: the one closest to ``budget`` of those up to ``room``."""
     chosen = np.zeros(len(lengths), np.int64)
-    if budget <= 0:
-        return chosen
-    reached = np.zeros(budget + 1, bool)
+    if room <= 0:
+        return chosen, 0
+    reached = np.zeros(room + 1, bool)
     reached[0] = True
-    by = np.full(budget + 1, -1, np.int32)
+    by = np.full(room + 1, -1, np.int32)
     items = []
-    for i in np.flatnonzero((counts > 0) & (lengths <= budget)):
-        size, most, many = int(lengths[i]), min(int(counts[i]), budget // int(lengths[i])), 1
+    for i in np.flatnonzero((counts > 0) & (lengths <= room)):
+        size, many = int(lengths[i]), 1
+        most = min(int(counts[i]), room // size)
         while most and not reached[budget]:
             many = min(many, most)
             step = size * many
-            fresh = np.flatnonzero(reached[: budget + 1 - step] & ~reached[step:]) + step
+            fresh = np.flatnonzero(reached[: room + 1 - step] & ~reached[step:]) + step
             reached[fresh] = True
             by[fresh] = len(items)
             items.append((i, many, step))
@@ -136,12 +149,13 @@ def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             many *= 2
         if reached[budget]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    sums = np.flatnonzero(reached)
+    total = at = int(sums[np.argmin(np.abs(sums - budget))])
     while at:
         i, many, step = items[by[at]]
         chosen[i] += many
         at -= step
-    return chosen
+    return chosen, total
 
 
 def _quotas(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:

@@ -24,7 +24,9 @@ BAGS = 3
 ROUNDS = 300
 CUT = 0.7
 SEED = 11
-_GRAMS = (3, 4, 5, 6)
+SPARSITY = 1e-3  # how fast weights that the risk does not need shrink to 0
+_GRAMS = (5, 6)
+_BEGINNINGS = range(4, 8)
 
 
 def word_features(word: bytes) -> tuple[int, ...]:
@@ -33,9 +35,15 @@ def word_features(word: bytes) -> tuple[int, ...]:
     grams = {marked}
     for size in _GRAMS:
         grams.update(marked[i : i + size] for i in range(len(marked) - size + 1))
+    grams.update(marked[:size] for size in _BEGINNINGS)
     return tuple(sorted({bucket(g, WIDTH) for g in grams}))
 
 
+def own_words(text: str | None) -> set[bytes]:
+    """The distinct words of a text in lower case."""
+    return set(plain_words(text.lower())) if text else set()
+
+
 @dataclass
 class Classifier:
     """Weights of the features that matter, and the bias."""
@@ -58,7 +66,8 @@ def _screen(features, starts, positive, width):
 
 
 def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, width: int = WIDTH,
-             rounds: int = ROUNDS, rate: float = 0.1, ridge: float = 1e-4) -> Classifier:
+             rounds: int = ROUNDS, rate: float = 0.1, ridge: float = 1e-4,
+             sparsity: float = SPARSITY) -> Classifier:
     """Logistic model with the least non-negative positive-unlabelled risk.
 
     ``rows`` hold feature numbers, ``positive`` marks the confirmed ones, the others are
@@ -89,6 +98,7 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, width:
                          slope.sum()]
         step = adam.step(gradient)
         weights -= step[:-1]
+        weights = np.sign(weights) * np.maximum(np.abs(weights) - rate * sparsity, 0.0)
         bias -= step[-1]
     return Classifier(chosen, weights, bias)
 
@@ -121,7 +131,7 @@ class Model:
             has = self.table.__contains__
             self._words = BoundedCache(lambda w: tuple(filter(has, word_features(w))))
         found = set()
-        for word in set(plain_words(text)):
+        for word in own_words(text):
             own = self._words[word]
             if own:
                 found.update(own)
@@ -150,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None,
     ``prior`` is the share of toxic texts; without it, that among the labelled texts of
     the fold. Without any confirmed toxic text the model scores everything 0.
     """
-    fold = labels.where(F.col(label).isNotNull() & ~held_out(F.col(doc_id)))
+    known = F.col(label).isNotNull() & F.col(doc_id).isNotNull()
+    fold = labels.where(known & ~held_out(F.col(doc_id)))
     share, count = fold.agg(F.avg((F.col(label) > 0).cast("double")),
                             F.sum((F.col(label) > 0).cast("long"))).first()
     if not count:

@@ -206,9 +206,15 @@ def check_mix(rows, documents):
 
 def test_mix_of_the_table(spark):
     documents = [(r.doc_id, r.text, r.source) for r in table(spark, "documents")]
+    s_of = {i: s for i, _, s in documents}
     rows = queries.op8_source_mix(spark, SF_DIR).collect()
-    for taken, target in check_mix(rows, documents).values():
-        assert abs(taken - target) <= max(1, 0.01 * target)
+    for source, (taken, target) in check_mix(rows, documents).items():
+        sizes = [r["size"] for r in rows if s_of[r.doc_id] == source]
+        passes = int(target // sum(sizes)) * sum(sizes)
+        sums = {passes}
+        for size in sizes:
+            sums |= {s + size for s in sums}
+        assert abs(taken - target) <= min(abs(s - target) for s in sums) + 1
     again = queries.op8_source_mix(spark, SF_DIR).repartition(3).collect()
     assert sorted(rows, key=repr) == sorted(again, key=repr)
 
@@ -237,7 +243,7 @@ def test_lengths_fill_the_budget():
         sums = {0}
         for size, n in zip(lengths.tolist(), counts.tolist()):
             sums = {s + size * m for s in sums for m in range(n + 1)}
-        assert (chosen * lengths).sum() == max(s for s in sums if s <= budget)
+        assert abs((chosen * lengths).sum() - budget) == min(abs(s - budget) for s in sums)
     lengths, counts = np.arange(1, 3000), np.full(2999, 400)
     fitted = mixing.fit_lengths(lengths, counts, 777_777_777)
     assert (fitted * lengths).sum() == 777_777_777 and (fitted <= counts).all()
