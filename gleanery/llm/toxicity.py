@@ -142,10 +142,9 @@ class Model:
 def _fit_bag(bag: int, texts: list[str], labels: pd.Series, prior: float) -> pd.DataFrame:
     words = BoundedCache(word_features)
     rows = [
-        np.fromiter(set().union(*(words[w] for w in set(plain_words(t)))), np.int64)
+        np.sort(np.fromiter(set().union(*(words[w] for w in own_words(t))), np.int64))
         for t in texts
     ]
-    rows = [np.sort(r) for r in rows]
     model = fit_nnpu(rows, labels.notna().to_numpy(), prior)
     return pd.DataFrame([{"bag": bag, "features": model.features.tolist(),
                           "weights": model.weights.tolist(), "bias": model.bias}])
