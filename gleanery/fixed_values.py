@@ -10,46 +10,20 @@ CHUNK_OVERLAP = 100
 SEPARATORS = ["\n\n", "\n", ". ", " ", ""]
 CHUNK_ID_INFIX = "_chunk_"
 
-# Evaluation: cut-offs, shortest usable chunk (exclusive), sample seed, prompt prefix length.
+# Evaluation: cut-offs, shortest usable chunk (exclusive), sample seed, length of the report of recent results.
 K_VALUES = [5, 10]
 MIN_QUESTION_CHUNK_CHARS = 200
-PRESAMPLE_FACTOR = 3
 SAMPLE_SEED = 42
-SHORT_PROMPT_CHARS = 300
 RECENT_RESULTS = 10
 CRITERIA = ["faithfulness", "relevance", "conciseness"]
 
 # Retrieval and chat.
 ANSWER_TOP_K = 5
-HISTORY_TURNS = 10
 PROMPT_HISTORY_TURNS = 5
 
 # Rotation of search terms.
 BACKFILL_START = "2020-01-01"
 SEARCH_WINDOW_FLOOR = "1900-01-01"
-BACKFILL_INCREMENT_DAYS = 30
-SCHEDULED_INCREMENT_DAYS = 90
-MAX_SEARCH_RESULTS = 5000
-DEFAULT_TERMS = [
-    "Viral Vectors",
-    "Protein Aggregation",
-    "mRNA Stability",
-    "Purification",
-    "Filtration",
-    "MediaAnalytical Techniques",
-    "Federal Regulations",
-    "Titer",
-]
-
-# First configuration row.
-DEFAULT_CONFIG = {
-    "config_version": 1,
-    "updated_by": "initial_setup",
-    "generation_model_name": "google/flan-t5-base",
-    "embedding_model_name": "all-MiniLM-L6-v2",
-    "embedding_model_path": "/Volumes/models/all-MiniLM-L6-v2",
-    "embedding_dimension": 384,
-}
 
 # Missing-value texts of parsed article records.
 UNKNOWN_YEAR = "Unknown"

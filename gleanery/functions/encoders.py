@@ -17,6 +17,7 @@ Encoder = Callable[[list[str]], np.ndarray]
 EncoderFactory = Callable[[], Encoder]
 
 VOCABULARY_ENTRIES = 1_000_000
+ENCODER_ROWS = 1024
 
 
 @dataclass(frozen=True)
@@ -75,6 +76,32 @@ def hash_candidate(name: str, dimension: int) -> Candidate:
     return Candidate(name, f"hash://{dimension}", dimension, HashEncoderFactory(dimension))
 
 
+@dataclass(frozen=True)
+class CheckedFactory:
+    """An encoder that gets ``ENCODER_ROWS`` texts at a time and must keep to its width."""
+
+    candidate: Candidate
+
+    def __call__(self) -> Encoder:
+        encoder, name, width = self.candidate.factory(), self.candidate.name, self.candidate.dimension
+
+        def encode(texts: list[str]) -> np.ndarray:
+            parts = [np.empty((0, width), np.float32)]
+            for at in range(0, len(texts), ENCODER_ROWS):
+                some = texts[at : at + ENCODER_ROWS]
+                vectors = np.asarray(encoder(some), dtype=np.float32)
+                if vectors.shape != (len(some), width):
+                    raise ValueError(f"{name} gave {vectors.shape}, not {width} wide")
+                parts.append(vectors)
+            return np.concatenate(parts)
+
+        return encode
+
+
+def checked(candidate: Candidate) -> EncoderFactory:
+    return CheckedFactory(candidate)
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
     """Rows scaled to length one; zero rows stay zero."""
     lengths = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))

@@ -55,9 +55,8 @@ def render(template: str, **columns: Column) -> Column:
 
 
 def short_question_prompt(chunk: Column) -> Column:
-    return render(
-        fixed.SHORT_QUESTION_PROMPT, excerpt=F.substring(chunk, 1, fixed.SHORT_PROMPT_CHARS)
-    )
+    """Prompt over a whole chunk, which is short as it is."""
+    return render(fixed.SHORT_QUESTION_PROMPT, excerpt=chunk)
 
 
 def question_prompt(chunk: Column) -> Column:

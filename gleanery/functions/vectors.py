@@ -30,5 +30,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def has_dimension(a: Column, dimension: int) -> Column:
-    """True for a vector that fits an index of this dimension; null vectors do not."""
-    return F.coalesce(F.size(a) == dimension, F.lit(False)) & ~F.exists(a, lambda x: x.isNull())
+    """True for a vector of finite numbers that fits an index of this dimension; null does not."""
+    return F.coalesce(F.size(a) == dimension, F.lit(False)) & all_finite(a)
+
+
+def all_finite(a: Column) -> Column:
+    """True unless the vector is null or holds a null, NaN or infinite component."""
+    return F.coalesce(
+        F.forall(a, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
+        F.lit(False),
+    )

@@ -7,9 +7,12 @@ from gleanery import fixed_values as fixed
 
 
 def parse_scores(reply: Column) -> Column:
-    """Struct of the criteria; anything that is not such JSON gives nulls, per criterion."""
+    """Struct of the criteria. A reply that is not one whole JSON object gives nulls, and so
+    does a score that is no number from 1 to 5."""
     fields = ", ".join(f"{c} double" for c in fixed.CRITERIA)
-    return F.from_json(F.trim(reply), fields)
+    whole = F.when(F.trim(reply).rlike(r"^\{[^{}]*\}$"), F.trim(reply))
+    read = F.from_json(whole, fields)
+    return F.struct(*[F.when(read[c].between(1, 5), read[c]).alias(c) for c in fixed.CRITERIA])
 
 
 def judge_scores(replies: DataFrame, by: str = "model", reply: str = "reply") -> DataFrame:

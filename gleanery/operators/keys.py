@@ -45,9 +45,9 @@ def unseen_wide(
         return unseen(rows, registry, key)
     session.shared_root(rows.sparkSession)
     new = rows.select(key).join(known.distinct(), key, "left_anti").distinct()
-    if new.count() > BROADCAST_KEYS:
-        return unseen(rows, registry, key)
-    wanted = F.broadcast(new.withColumnRenamed(key, "_new").checkpoint())
+    wanted = new.withColumnRenamed(key, "_new").checkpoint()
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
     return rows.join(wanted, F.col(key).eqNullSafe(F.col("_new")), "left_semi")
 
 
@@ -148,14 +148,21 @@ def content_hash(df: DataFrame, key: str) -> DataFrame:
     """Key and a 64-bit digest of all other columns.
 
     Rows are hashed where they are read, so payloads (texts, vectors) are not joined.
-    The hash function passes over nulls, so null flags are hashed along.
+    The hash function passes over nulls, so null flags are hashed along; structs, maps and
+    nested arrays are hashed as JSON that spells nulls out.
     """
     parts = []
     for field in df.schema:
-        if field.name != key:
-            parts += [F.col(field.name), F.col(field.name).isNull()]
-            if isinstance(field.dataType, T.ArrayType):
-                parts.append(F.transform(field.name, lambda x: x.isNull()))
+        if field.name == key:
+            continue
+        value, kind = F.col(field.name), field.dataType
+        inner = kind.elementType if isinstance(kind, T.ArrayType) else None
+        if isinstance(inner or kind, (T.StructType, T.MapType, T.ArrayType)):
+            parts.append(F.to_json(F.struct(value), {"ignoreNullFields": "false"}))
+            continue
+        parts += [value, value.isNull()]
+        if inner is not None:
+            parts.append(F.transform(field.name, lambda x: x.isNull()))
     return df.select(key, F.xxhash64(*parts).alias("digest"))
 
 

@@ -33,9 +33,10 @@ def latest_batch(history: DataFrame, slot: Sequence[str] = ()) -> DataFrame:
 def best_candidate(
     results: DataFrame, score: str, slot: Sequence[str] = (), tie: str = "model"
 ) -> DataFrame:
-    """The row with the highest score; null scores lose, ties go to the first by ``tie``."""
+    """The row with the highest score; one without a number for it never wins, ties go to the
+    first by ``tie``."""
     columns = [c for c in results.columns if c not in slot]
-    scored = results.where(F.col(score).isNotNull())
+    scored = results.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
     order = [F.desc(score), F.desc("evaluated_at"), F.asc(tie)]
     if not slot:
         return scored.orderBy(*order).limit(1)

@@ -16,24 +16,20 @@ from pyspark.sql import functions as F
 
 from gleanery import session
 
-# A key is hot above this many rows, and above this share of all rows; the share
-# bounds the number of hot keys, so they can be broadcast.
+# A key is hot above this many rows, in tables of any size. The hot keys are broadcast up
+# to the second number and joined like any others beyond it.
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
+BROADCAST_HOT_KEYS = 100_000
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows and more than 1/MAX_HOT_KEYS of all rows.
+    """Keys with more than ``hot_rows`` rows.
 
     One aggregation over the key columns alone, written to the shared folder.
     """
     session.shared_root(df.sparkSession)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    large = counts.where(F.col("_rows") > hot_rows).checkpoint()
-    if large.isEmpty():
-        return large.select(*keys)
-    share = df.count() / MAX_HOT_KEYS
-    return large.where(F.col("_rows") > share).select(*keys)
+    return counts.where(F.col("_rows") > hot_rows).checkpoint().select(*keys)
 
 
 def running(
@@ -74,7 +70,9 @@ def running(
     if hot.isEmpty():
         return filled(rows, keys, order)
 
-    few = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    few = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    if few.count() <= BROADCAST_HOT_KEYS:
+        few = F.broadcast(few)
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
     ordinary = filled(rows.join(few, same, "left_anti"), keys, order)
 

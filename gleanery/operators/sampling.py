@@ -20,17 +20,10 @@ def long_enough(chunk: Column, floor: int = fixed.MIN_QUESTION_CHUNK_CHARS) -> C
 
 
 def question_chunks(
-    chunks: DataFrame, n: int, presample: bool = True, seed: int = fixed.SAMPLE_SEED
+    chunks: DataFrame, n: int, seed: int = fixed.SAMPLE_SEED
 ) -> DataFrame:
-    """Chunks to write questions for: long ones, sampled.
-
-    With ``presample`` the draw is made from the first 3n chunk ids only, before the
-    length filter; without it, from the whole table.
-    """
-    drawn = chunks
-    if presample:
-        drawn = drawn.orderBy("chunk_id").limit(fixed.PRESAMPLE_FACTOR * n)
-    return seeded_sample(drawn.where(long_enough(F.col("chunk"))), "chunk_id", n, seed)
+    """Chunks to write questions for: long ones, sampled from the whole table."""
+    return seeded_sample(chunks.where(long_enough(F.col("chunk"))), "chunk_id", n, seed)
 
 
 def evaluation_set(

@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery import session
 from gleanery.functions.encoders import list_column, unit_rows
+from gleanery.functions.vectors import all_finite
 
 # Similarities are compared after rounding, so equal vectors tie whatever the summation order.
 DECIMALS = 9
@@ -27,7 +28,6 @@ QUESTION_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
 CORPUS_SLICE_BYTES = 256 << 20
 MAX_PARTITIONS = 200_000
-STREAMS_PER_CORE = 4
 MAX_BUCKETS = 1 << 20
 
 
@@ -115,11 +115,13 @@ def cosine_topk(
     The questions are written to the shared folder once and measured. While they fit ``block_bytes`` they are
     broadcast as one matrix and the corpus is read in place, with no shuffle of
     vectors. Larger question sets are cut into blocks, see :func:`_tiled`.
-    Ids are keys: one row per id on either side.
+    The corpus keeps the splits it is read in; a task hands on k rows per question. Ids are
+    keys: one row per id on either side. Vectors that are null or hold a null, NaN or
+    infinite component are left out, :func:`unusable` counts them.
     """
     session.shared_root(questions.sparkSession)
-    asked = questions.select(question_id, vector).checkpoint()
-    stored = corpus.select(chunk_id, vector)
+    asked = questions.where(all_finite(F.col(vector))).select(question_id, vector).checkpoint()
+    stored = corpus.where(all_finite(F.col(vector))).select(chunk_id, vector)
     size = asked.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dimension")
     ).head()
@@ -136,6 +138,11 @@ def cosine_topk(
     return rank_hits(hits, [question_id], chunk_id, k)
 
 
+def unusable(vectors: DataFrame, vector: str = "embedding") -> int:
+    """Vectors that a search leaves out."""
+    return vectors.where(~all_finite(F.col(vector))).count()
+
+
 def _hit_schema(questions: DataFrame, corpus: DataFrame, question_id: str, chunk_id: str):
     return T.StructType([
         T.StructField(question_id, questions.schema[question_id].dataType),
@@ -162,16 +169,7 @@ def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector) -> Da
         place, ids, similarity = best.rows()
         yield _hit_batch(asked.take(pa.array(place)), ids, similarity, schema)
 
-    return few_streams(corpus).mapInArrow(search, schema)
-
-
-def few_streams(corpus: DataFrame) -> DataFrame:
-    """Join scan splits into a few streams per core, without a shuffle.
-
-    Every stream hands on k rows per question, so their number decides the size of
-    the last exchange. Inputs with fewer splits keep theirs.
-    """
-    return corpus.coalesce(STREAMS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism)
+    return corpus.mapInArrow(search, schema)
 
 
 def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
@@ -355,10 +353,11 @@ def approximate_topk(
     top-k of the shared buckets. Hot buckets are tiled by their size.
     """
     session.shared_root(questions.sparkSession)
-    asked = questions.select(question_id, vector).checkpoint()
+    asked = questions.where(all_finite(F.col(vector))).select(question_id, vector).checkpoint()
+    stored = corpus.where(all_finite(F.col(vector)))
     hits = _tiled(
         with_buckets(asked, question_id, vector, planes),
-        with_buckets(corpus, chunk_id, vector, planes),
+        with_buckets(stored, chunk_id, vector, planes),
         k, question_id, chunk_id, vector,
         planes.dimension, block_bytes, slice_bytes,
     )

@@ -1,18 +1,20 @@
 """Evaluation of embedding candidates in one pass over the chunks, and of judge replies."""
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery import fixed_values as fixed
 from gleanery import schemas, session
-from gleanery.functions.encoders import Candidate, embed, unit_rows
+from gleanery.functions.encoders import Candidate, checked, embed, unit_rows
 from gleanery.operators import judging, metrics, topk
 from gleanery.sources import tables
 
@@ -32,8 +34,20 @@ def evaluate_candidates(
     While the question vectors of all candidates fit ``question_bytes``, every
     candidate encodes and ranks in the same pass over the chunk text and no chunk
     vector leaves its task. Beyond that, the candidates are searched one after the
-    other. A candidate that fails in any task is left out of the result.
+    other. A candidate whose encoder fails in any task, or gives vectors of another width
+    than it states, is left out of the result; :func:`evaluate_with_failures` names it.
     """
+    return evaluate_with_failures(questions, chunks, candidates, k_values, question_bytes)[0]
+
+
+def evaluate_with_failures(
+    questions: DataFrame,
+    chunks: DataFrame,
+    candidates: Sequence[Candidate],
+    k_values: Sequence[int] = tuple(fixed.K_VALUES),
+    question_bytes: int = QUESTION_TEXT_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`evaluate_candidates`, and ``(model, error)`` of the candidates that failed."""
     session.shared_root(questions.sparkSession)
     # Sampling questions reads the whole corpus, so their rows are kept once they exist.
     questions = questions.select("question_id", "question", "correct_chunk_id").checkpoint()
@@ -56,9 +70,10 @@ def evaluate_candidates(
         labelled.join(per_question, ["model", "question_id"], "left")
         .groupBy("model")
         .agg(*metrics.metric_columns(F.col("rank"), k_values), F.max("error").alias("error"))
-        .where(F.col("error").isNull())
-        .drop("error")
+        .checkpoint()
     )
+    failures = scored.where(F.col("error").isNotNull()).select("model", "error")
+    scored = scored.where(F.col("error").isNull()).drop("error")
     described = F.create_map(
         *[
             part
@@ -69,12 +84,13 @@ def evaluate_candidates(
             )
         ]
     )[F.col("model")]
-    return scored.select(
+    described_scores = scored.select(
         "model",
         described["path"].alias("model_path"),
         described["dim"].cast("long").alias("embedding_dim"),
         *[c for c in scored.columns if c != "model"],
     )
+    return described_scores, failures
 
 
 def rank_candidates(
@@ -165,7 +181,7 @@ def _one_pass(
                 names=schema.names,
             )
 
-    return topk.few_streams(text).mapInArrow(search, schema)
+    return text.mapInArrow(search, schema)
 
 
 def _encoded(encoder, texts: list[str], candidate: Candidate) -> np.ndarray:
@@ -182,7 +198,7 @@ def _apart(
     """One search per candidate, each written to the shared folder before the next begins."""
     parts = []
     for candidate in candidates:
-        encode = embed(candidate.factory)
+        encode = embed(checked(candidate))
         columns = [F.lit(candidate.name).alias("model"), "question_id"]
         try:
             hits = topk.cosine_topk(
@@ -192,9 +208,9 @@ def _apart(
             )
             none = F.lit(None).cast("string").alias("error")
             part = hits.select(*columns, "chunk_id", "similarity", none).checkpoint()
-        except Exception as problem:  # a failing candidate must not end the others
+        except PythonException as problem:  # the encoder's own error must not end the others
             chunk_id = F.lit(None).cast(text.schema["chunk_id"].dataType).alias("chunk_id")
-            error = F.lit(type(problem).__name__).alias("error")
+            error = F.lit(_last_line(problem)).alias("error")
             part = asked.select(
                 *columns, chunk_id, F.lit(float("inf")).alias("similarity"), error
             )
@@ -202,6 +218,13 @@ def _apart(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _last_line(problem: PythonException) -> str:
+    """The line of a Python worker's trace that names the error."""
+    lines = [line.strip() for line in str(problem).splitlines() if line.strip()]
+    named = [line for line in lines if re.match(r"[A-Za-z_.]+(Error|Exception)\b", line)]
+    return (named or lines or ["failed"])[-1]
+
+
 def evaluate_replies(replies: DataFrame, evaluated_at: Column | None = None) -> DataFrame:
     """Rows for the generation results table from raw judge replies ``(model, reply)``."""
     stamp = F.current_timestamp() if evaluated_at is None else evaluated_at
@@ -214,18 +237,26 @@ def evaluate_embedding_tables(
     questions: str,
     results: str,
     candidates: Sequence[Candidate],
+    failures: str | None = None,
 ) -> DataFrame:
     """Score the candidates on the question table and append to the results table.
 
-    Returns this run's rows as a leaderboard.
+    Every row of the question table counts, repeated ones as often as they stand there.
+    Returns this run's rows as a leaderboard; failed candidates go to the ``failures``
+    table, if one is named.
     """
+    alike = Window.partitionBy("chunk_id", "question").orderBy("chunk_id")
     asked = tables.scan(spark, questions, "question", "chunk_id").select(
-        F.xxhash64("chunk_id", "question").alias("question_id"),
+        F.sha2(F.to_json(F.struct("chunk_id", "question", F.row_number().over(alike))), 256)
+        .alias("question_id"),
         "question",
         F.col("chunk_id").alias("correct_chunk_id"),
     )
     text = tables.scan(spark, chunks, "chunk_id", "chunk")
-    scored = evaluate_candidates(asked.dropDuplicates(["question_id"]), text, candidates)
+    scored, failed = evaluate_with_failures(asked, text, candidates)
+    if failures is not None:
+        tables.ensure_table(spark, failures, schemas.FAILURES)
+        tables.append(failed.withColumn("evaluated_at", F.current_timestamp()), failures)
     stamped = scored.withColumn("evaluated_at", F.current_timestamp()).checkpoint()
     tables.ensure_table(spark, results, schemas.EMBEDDING_RESULTS)
     tables.append(stamped, results)

@@ -11,16 +11,21 @@ KEY = "chunk_id"
 
 
 def sync_index(
-    spark: SparkSession, embeddings: str, index: str, dimension: int
+    spark: SparkSession, embeddings: str, index: str, dimension: int, model: str | None = None
 ) -> dict[str, int]:
     """Bring the index to the state of the embeddings; returns rows per kind of change.
 
+    With ``model`` only its vectors are indexed; a table that holds several needs it.
+
     Vectors of another dimension are rejected and counted, they never enter the index.
     An index whose stored dimension differs is rebuilt. Only keys and digests are
     compared; the changes are written to the shared folder before they are applied.
     """
     session.shared_root(spark)
-    fits, rejected = keys.split_by_dimension(tables.scan(spark, embeddings), "embedding", dimension)
+    stored = tables.scan(spark, embeddings)
+    if model is not None:
+        stored = stored.where(F.col("model") == model)
+    fits, rejected = keys.split_by_dimension(stored, "embedding", dimension)
     counts = {"insert": 0, "update": 0, "delete": 0, "rejected": rejected.count()}
     current = _current(spark, index, dimension)
     if current is None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gleanery import schemas
 from gleanery.operators import config
-from gleanery.operators.promotion import best_candidate, recent_results
+from gleanery.operators.promotion import best_candidate, latest_batch
 from gleanery.sources import tables
 
 NO_ACTION = "no_action"
@@ -24,9 +24,10 @@ def seed_config(spark: SparkSession, name: str, default: dict) -> bool:
 
 
 def promote_embedding(
-    spark: SparkSession, results: str, config_table: str, current_score: float
+    spark: SparkSession, results: str, config_table: str, current_score: float,
+    updated_by: str = "embedding promotion",
 ) -> tuple[str, float]:
-    """Write a new configuration when the best recent hit rate beats the current one.
+    """Write a new configuration when the newest batch's best hit rate beats the current one.
 
     Returns the outcome and the score in force afterwards.
     """
@@ -34,23 +35,24 @@ def promote_embedding(
         spark, results, config_table, current_score, "hit_rate_at_5",
         {"model": "embedding_model_name", "model_path": "embedding_model_path",
          "embedding_dim": "embedding_dimension"},
-        "embedding_model_evaluation_and_promotion",
+        updated_by,
     )
 
 
 def promote_generation(
-    spark: SparkSession, results: str, config_table: str, current_score: float
+    spark: SparkSession, results: str, config_table: str, current_score: float,
+    updated_by: str = "generation promotion",
 ) -> tuple[str, float]:
     """The same for generation models, by composite score."""
     return _promote(
         spark, results, config_table, current_score, "composite_score",
-        {"model": "generation_model_name"}, "generation_model_evaluation_and_promotion",
+        {"model": "generation_model_name"}, updated_by,
     )
 
 
 def _promote(spark, results, config_table, current_score, score, fields, updated_by):
-    recent = recent_results(tables.scan(spark, results))
-    best = best_candidate(recent, score).select(*fields, score).head()
+    newest = latest_batch(tables.scan(spark, results))
+    best = best_candidate(newest, score).select(*fields, score).head()
     if best is None or not best[score] > current_score:
         return NO_ACTION, current_score
     updates = {target: best[column] for column, target in fields.items()}

@@ -13,9 +13,9 @@ from gleanery.operators import sampling
 from gleanery.sources import tables
 
 
-def question_requests(chunks: DataFrame, n: int, presample: bool = True) -> DataFrame:
+def question_requests(chunks: DataFrame, n: int) -> DataFrame:
     """Sampled chunks with the prompt that asks for a question on each."""
-    sampled = sampling.question_chunks(chunks, n, presample)
+    sampled = sampling.question_chunks(chunks, n)
     return sampled.withColumn("prompt", text.question_prompt(F.col("chunk")))
 
 

@@ -5,8 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery import fixed_values as fixed
-from gleanery import schemas
+from gleanery import schemas, session
 from gleanery.operators import keys, rotation
 from gleanery.sources import tables
 
@@ -16,9 +15,7 @@ def _fresh_terms(spark: SparkSession, terms: Sequence[str], active: bool) -> Dat
     return tables.local_rows(spark, rows, schemas.SEARCH_TERMS)
 
 
-def seed_terms(
-    spark: SparkSession, name: str, defaults: Sequence[str] = tuple(fixed.DEFAULT_TERMS)
-) -> bool:
+def seed_terms(spark: SparkSession, name: str, defaults: Sequence[str]) -> bool:
     """Create the table and its default terms if missing or empty; true when it seeded."""
     tables.ensure_table(spark, name, schemas.SEARCH_TERMS)
     if not tables.is_empty(tables.scan(spark, name)):
@@ -44,15 +41,20 @@ def set_active(spark: SparkSession, name: str, terms: Sequence[str], active: boo
 def plan_runs(
     spark: SparkSession,
     name: str,
-    n: int = 1,
-    increment_days: int = fixed.BACKFILL_INCREMENT_DAYS,
+    n: int,
+    increment_days: int,
     today: Column | None = None,
 ) -> DataFrame:
-    """The next n terms with the date window each has to search."""
+    """The next n terms with the date window each has to search.
+
+    The plan is written to the shared folder, so what is searched and what
+    :func:`record_runs` marks are the same rows, whatever happens to the table between.
+    """
+    session.shared_root(spark)
     day = F.current_date() if today is None else today
     due = rotation.next_terms(tables.scan(spark, name), n)
     windows = rotation.backfill_window(due, day, increment_days)
-    return windows.select("term", "mindate", "maxdate", "maxdate_iso", "caught_up")
+    return windows.select("term", "mindate", "maxdate", "maxdate_iso", "caught_up").checkpoint()
 
 
 def record_runs(

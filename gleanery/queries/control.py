@@ -110,10 +110,16 @@ def _results(spark, sf):
     )
 
 
+def recent_results(spark, sf):
+    """The ten newest results of every user, a report."""
+    recent = promotion.recent_results(_results(spark, sf), slot=["user_id"], tie="event_id")
+    return recent.select("user_id", "model", "score", "event_id")
+
+
 def best_candidate(spark, sf):
-    """Best of the ten newest results, and best of each user's newest hour."""
-    recent = promotion.recent_results(_results(spark, sf), tie="event_id")
-    best = promotion.best_candidate(recent, "score", tie="event_id")
+    """Results of one day form a batch; the best of the newest one, over all users."""
+    batches = _results(spark, sf).withColumn("evaluated_at", F.date_trunc("day", "evaluated_at"))
+    best = promotion.best_candidate(promotion.latest_batch(batches), "score", tie="event_id")
     return best.select("user_id", "model", "score", "event_id")
 
 
@@ -126,8 +132,10 @@ def best_of_batch(spark, sf):
 
 
 def promotion_decision(spark, sf):
-    recent = promotion.recent_results(_results(spark, sf), slot=["user_id"], tie="event_id")
-    best = promotion.best_candidate(recent, "score", ["user_id"], tie="event_id")
+    """The best of each user's newest batch (an hour) against the score in force."""
+    batches = _results(spark, sf).withColumn("evaluated_at", _hour("evaluated_at"))
+    newest = promotion.latest_batch(batches, ["user_id"])
+    best = promotion.best_candidate(newest, "score", ["user_id"], tie="event_id")
     current = table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"),
         F.col("c_mktsegment").alias("current_model"),
@@ -157,6 +165,7 @@ QUERIES = {
     "config_carry_forward": config_carry_forward,
     "config_latest": config_latest,
     "config_rollback": config_rollback,
+    "recent_results": recent_results,
     "best_candidate": best_candidate,
     "best_of_batch": best_of_batch,
     "promotion_decision": promotion_decision,
@@ -196,12 +205,11 @@ history AS (
 _BEST_SQL = """
 best AS (
   SELECT user_id, model, score FROM (
-    SELECT user_id, event_type AS model, value AS score,
-           row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts DESC, event_id) AS best
-    FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS newest
-      FROM events
-    ) WHERE newest <= 10
+    SELECT e.user_id, event_type AS model, value AS score,
+           row_number() OVER (PARTITION BY e.user_id ORDER BY value DESC, event_id) AS best
+    FROM events e JOIN (
+      SELECT user_id, date_trunc('hour', max(ts)) AS newest FROM events GROUP BY user_id
+    ) n ON e.user_id = n.user_id AND date_trunc('hour', e.ts) = n.newest
   ) WHERE best = 1
 )"""
 
@@ -254,10 +262,15 @@ ORACLES = {
                h.embedding_model_path, h.embedding_dimension
         FROM requests r JOIN newest n ON r.user_id = n.user_id
         LEFT JOIN history h ON h.user_id = r.user_id AND h.config_version = r.to_version""",
-    "best_candidate": """
+    "recent_results": """
         SELECT user_id, event_type AS model, value AS score, event_id FROM (
-          SELECT * FROM events ORDER BY ts DESC, event_id LIMIT 10
-        ) ORDER BY value DESC, ts DESC, event_id LIMIT 1""",
+          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place
+          FROM events
+        ) WHERE place <= 10""",
+    "best_candidate": """
+        SELECT user_id, event_type AS model, value AS score, event_id FROM events
+        WHERE date_trunc('day', ts) = (SELECT date_trunc('day', max(ts)) FROM events)
+        ORDER BY value DESC, event_id LIMIT 1""",
     "best_of_batch": """
         SELECT user_id, event_type AS model, value AS score, event_id FROM (
           SELECT e.*, row_number() OVER (PARTITION BY e.user_id ORDER BY value DESC, event_id)

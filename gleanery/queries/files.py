@@ -1,5 +1,6 @@
 """Registered queries: CSV dump and load, streams. They write below the shared folder."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -7,11 +8,12 @@ from pyspark.sql import functions as F
 from gleanery import session
 from gleanery.operators.keys import unseen
 from gleanery.queries.common import stream_table, table
+from gleanery.sources import tables
 from gleanery.sources.csv import dump_csv, dump_tables, list_csv, read_csv
 from gleanery.streaming.ingest import read_store, start_dedup_ingest
 from gleanery.streaming.sync import read_index, start_index_sync
 
-# Table and its key, for the dump of a whole database.
+# Table and its key, for the dump of every table without arrays.
 DATABASE = {
     "region": "r_regionkey",
     "nation": "n_nationkey",
@@ -20,25 +22,61 @@ DATABASE = {
     "part": "p_partkey",
     "orders": "o_orderkey",
     "lineitem": "l_orderkey",
+    "events": "event_id",
+    "documents": "doc_id",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "labels": "doc_id",
+    "conversations": "conv_id",
 }
 
 
 def csv_roundtrip(spark, sf):
-    """All tables dumped, then found and read back with their schemas: rows and key sums."""
+    """Tables dumped, then found and read back with their schemas: rows, key sums, and whether
+    digests over all columns of all rows add up to the same before and after."""
     folder = session.scratch_path(spark, "csv-dump")
     dump_tables(list(DATABASE), lambda name: table(spark, sf, name), folder)
     loaded = []
     for name, path in list_csv(spark, folder).items():
-        rows = read_csv(spark, path, table(spark, sf, name).schema)
+        source = table(spark, sf, name)
+        rows = read_csv(spark, path, source.schema)
+        before = source.agg(_digest(source).alias("digest"))
         loaded.append(
             rows.agg(
                 F.count(F.lit(1)).alias("row_count"),
                 F.sum(F.col(DATABASE[name]).cast("long")).alias("key_sum"),
-            ).select(F.lit(name).alias("table_name"), "row_count", "key_sum")
+                _digest(rows).alias("digest"),
+            ).select(
+                F.lit(name).alias("table_name"), "row_count", "key_sum",
+                F.col("digest").eqNullSafe(before.scalar()).alias("same_rows"),
+            )
         )
     return reduce(lambda a, b: a.unionByName(b), loaded)
 
 
+def _digest(df):
+    """A number that depends on every value of every row, not on their order."""
+    parts = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
+    return F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))
+
+
+def table_roundtrip(spark, sf):
+    """A table made twice over, replaced, appended to and read back, with rows of our own."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {name} LOCATION '{session.scratch_path(spark, 'tables')}'")
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    for _ in range(2):
+        tables.ensure_table(spark, f"{name}.nations", nations.schema, "n_nationkey", 2)
+    for _ in range(2):
+        tables.overwrite(nations, f"{name}.nations")
+    own = tables.local_rows(spark, [(100, "Atlantis"), (101, None)], nations.schema)
+    tables.append(own, f"{name}.nations")
+    tables.swap(tables.scan(spark, f"{name}.nations").where("n_nationkey <> 0"), f"{name}.nations")
+    rows = tables.scan(spark, f"{name}.nations").checkpoint()
+    spark.sql(f"DROP SCHEMA {name} CASCADE")
+    return rows
+
+
 def csv_load(spark, sf):
     """Customers through CSV with inferred types; another file type beside it is left out."""
     folder = session.scratch_path(spark, "csv-load")
@@ -87,6 +125,7 @@ def stream_index_sync(spark, sf):
 
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
+    "table_roundtrip": table_roundtrip,
     "csv_load": csv_load,
     "stream_dedup_ingest": stream_dedup_ingest,
     "stream_new_documents": stream_new_documents,
@@ -96,9 +135,12 @@ QUERIES = {
 ORACLES = {
     "csv_roundtrip": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count,"
-        f" CAST(sum({key}) AS BIGINT) AS key_sum FROM {name}"
+        f" CAST(sum({key}) AS BIGINT) AS key_sum, true AS same_rows FROM {name}"
         for name, key in DATABASE.items()
     ),
+    "table_roundtrip": """
+        SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 0
+        UNION ALL VALUES (100, 'Atlantis'), (101, NULL)""",
     "csv_load": "SELECT * FROM customer",
     "stream_dedup_ingest": """
         SELECT event_id, ts, user_id, event_type, value, props FROM (

@@ -79,7 +79,7 @@ def embed_batch(spark, sf):
     chunks, done = _chunks(spark, sf), table(spark, sf, "labels").select("doc_id")
     existing = chunks.join(done, "doc_id", "left_semi").select(
         "chunk_id", F.lit("hash").alias("model")
-    )
+    ).union(chunks.select("chunk_id", F.lit("another model")))
     embedded = embed_chunks(chunks, hash_candidate("hash", DIMENSION), existing)
     weights = F.filter("embedding", lambda x: x != 0)
     return embedded.select(
@@ -91,7 +91,9 @@ def embed_batch(spark, sf):
 
 
 def cosine_topk(spark, sf):
-    hits = topk.cosine_topk(_centroids(spark, sf), _vectors(spark, sf), 10)
+    """Nearest vectors of every vector, itself among them."""
+    questions = _vectors(spark, sf).withColumnRenamed("chunk_id", "question_id")
+    hits = topk.cosine_topk(questions, _vectors(spark, sf), 10)
     return _rounded(hits)
 
 
@@ -109,6 +111,17 @@ def ann_topk(spark, sf):
     return _rounded(hits)
 
 
+def ann_recall(spark, sf):
+    """How many of the exact neighbours the approximate search finds."""
+    exact = topk.cosine_topk(_centroids(spark, sf), _vectors(spark, sf), 10)
+    near = topk.approximate_topk(_centroids(spark, sf), _vectors(spark, sf), 10, PLANES)
+    found = near.select("question_id", "chunk_id", F.lit(1).alias("met"))
+    return exact.join(found, ["question_id", "chunk_id"], "left").agg(
+        F.count(F.lit(1)).alias("wanted"), F.count("met").alias("found"),
+        F.round(F.count("met") / F.count(F.lit(1)), 6).alias("recall"),
+    )
+
+
 def _rounded(hits):
     return hits.select(
         "question_id", "chunk_id", F.round("similarity", 6).alias("similarity"), "rank"
@@ -116,7 +129,7 @@ def _rounded(hits):
 
 
 def _labelled_questions(spark, sf):
-    sampled = sampling.question_chunks(_chunks(spark, sf), QUESTIONS, presample=False)
+    sampled = sampling.question_chunks(_chunks(spark, sf), QUESTIONS)
     pairs = sampling.evaluation_set(sampled, "doc_id", _keywords())
     return pairs.select(
         F.col("chunk_id").alias("question_id"), "question",
@@ -164,18 +177,19 @@ def seeded_sample(spark, sf):
 
 
 def prompt_render(spark, sf):
-    """Prompts over whole texts; the generated text echoes its prompt before an answer."""
-    docs = table(spark, sf, "documents")
-    short = textual.short_question_prompt(F.col("text"))
+    """Prompts over chunks; the generated text echoes its prompt before an answer."""
+    about = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    docs = _chunks(spark, sf).join(about, "doc_id")
+    short = textual.short_question_prompt(F.col("chunk"))
     echoed = F.concat(short, F.lit("\n  What is "), F.col("source"), F.lit("? "))
     return docs.select(
-        "doc_id",
+        "chunk_id",
         short.alias("short_prompt"),
         textual.without_prompt(echoed, short).alias("question"),
-        F.md5(textual.question_prompt(F.col("text"))).alias("question_prompt_md5"),
-        F.md5(textual.answer_prompt(F.col("source"), F.col("text"))).alias("answer_prompt_md5"),
+        F.md5(textual.question_prompt(F.col("chunk"))).alias("question_prompt_md5"),
+        F.md5(textual.answer_prompt(F.col("source"), F.col("chunk"))).alias("answer_prompt_md5"),
         F.md5(
-            textual.judge_prompt(F.col("source"), F.col("text"), F.col("lang"))
+            textual.judge_prompt(F.col("source"), F.col("chunk"), F.col("lang"))
         ).alias("judge_prompt_md5"),
     )
 
@@ -220,6 +234,7 @@ QUERIES = {
     "cosine_topk": cosine_topk,
     "cosine_topk_tiled": cosine_topk_tiled,
     "ann_topk": ann_topk,
+    "ann_recall": ann_recall,
     "retrieval_metrics": retrieval_metrics,
     "model_leaderboard": model_leaderboard,
     "eval_set": eval_set,
@@ -325,9 +340,9 @@ FROM questions LEFT JOIN r{tag} ON question_id = chunk_id"""
 
 _RANKED = [_ranks(name, dimension) for name, dimension in CANDIDATES]
 
-_SHORT_SQL = rendered_sql(fixed.SHORT_QUESTION_PROMPT, excerpt="substring(text, 1, 300)")
-_QUESTION_SQL = rendered_sql(fixed.QUESTION_PROMPT, chunk="text")
-_JUDGE_SQL = rendered_sql(fixed.JUDGE_PROMPT, question="source", context="text", answer="lang")
+_SHORT_SQL = rendered_sql(fixed.SHORT_QUESTION_PROMPT, excerpt="chunk")
+_QUESTION_SQL = rendered_sql(fixed.QUESTION_PROMPT, chunk="chunk")
+_JUDGE_SQL = rendered_sql(fixed.JUDGE_PROMPT, question="source", context="chunk", answer="lang")
 
 
 def _answer_sql(question: str, context: str) -> str:
@@ -356,10 +371,26 @@ ORACLES = {
                CAST(count(b) AS INTEGER) AS nonzero, round(coalesce(max(raw), 0), 5) AS largest
         FROM chunks LEFT JOIN d USING (chunk_id)
         WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY chunk_id""",
-    "cosine_topk": f"WITH {_COMPONENTS}, {_PAIRS} {_TOP10.format(scores='scores')}",
+    "cosine_topk": f"""
+        WITH {_COMPONENTS},
+        unit_lists AS (SELECT vec_id, list(x ORDER BY i) AS v FROM unit GROUP BY vec_id),
+        scores AS (
+          SELECT a.vec_id AS question_id, u.vec_id AS chunk_id,
+                 round(list_inner_product(a.v, u.v), 9) AS similarity
+          FROM unit_lists a, unit_lists u
+        )
+        {_TOP10.format(scores='scores')}""",
     "cosine_topk_tiled": f"WITH {_COMPONENTS}, {_PAIRS} {_TOP10.format(scores='scores')}",
     "ann_topk": f"""
         WITH {_COMPONENTS}, {_PAIRS}, {_BUCKETS} {_TOP10.format(scores='near_scores')}""",
+    "ann_recall": f"""
+        WITH {_COMPONENTS}, {_PAIRS}, {_BUCKETS},
+        exact AS ({_TOP10.format(scores='scores')}),
+        approximate AS ({_TOP10.format(scores='near_scores')})
+        SELECT count(*) AS wanted, count(a.chunk_id) AS found,
+               round(count(a.chunk_id) / CAST(count(*) AS DOUBLE), 6) AS recall
+        FROM exact e LEFT JOIN approximate a
+          ON e.question_id = a.question_id AND e.chunk_id = a.chunk_id""",
     "retrieval_metrics": f"""
         WITH {LEXICAL_SQL}, {_SAMPLED}, {", ".join(ctes for ctes, _ in _RANKED)}
         {" UNION ALL ".join(final for _, final in _RANKED)}""",
@@ -390,7 +421,7 @@ ORACLES = {
         WITH {LEXICAL_SQL}
         SELECT * FROM (
           SELECT {_KEYWORDS} AS question, chunk_id, doc_id, chunk AS source_chunk FROM (
-            SELECT * FROM (SELECT * FROM chunks ORDER BY chunk_id LIMIT 300)
+            SELECT * FROM chunks
             WHERE length(chunk) > 200 ORDER BY md5(chunk_id || ':42'), chunk_id LIMIT 100
           )
         ) WHERE length(question) > 0""",
@@ -398,11 +429,12 @@ ORACLES = {
         SELECT doc_id, lang, source FROM documents
         ORDER BY md5(doc_id || ':42'), doc_id LIMIT 100""",
     "prompt_render": f"""
-        SELECT doc_id, {_SHORT_SQL} AS short_prompt, 'What is ' || source || '?' AS question,
+        WITH {LEXICAL_SQL}
+        SELECT chunk_id, {_SHORT_SQL} AS short_prompt, 'What is ' || source || '?' AS question,
                md5({_QUESTION_SQL}) AS question_prompt_md5,
-               md5({_answer_sql('source', 'text')}) AS answer_prompt_md5,
+               md5({_answer_sql('source', 'chunk')}) AS answer_prompt_md5,
                md5({_JUDGE_SQL}) AS judge_prompt_md5
-        FROM documents""",
+        FROM chunks JOIN documents USING (doc_id)""",
     "judge_scores": """
         WITH scored AS (
           SELECT source AS model,

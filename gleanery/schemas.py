@@ -17,7 +17,9 @@ CHUNKS = T.StructType([
     T.StructField("chunk", T.StringType()),
 ])
 EMBEDDINGS = T.StructType(
-    CHUNKS.fields + [T.StructField("embedding", T.ArrayType(T.FloatType()))]
+    CHUNKS.fields
+    + [T.StructField("embedding", T.ArrayType(T.FloatType())),
+       T.StructField("model", T.StringType())]
 )
 EVAL_QUESTIONS = T.StructType(
     [T.StructField(c, T.StringType()) for c in ["question", "chunk_id", "pmid", "source_chunk"]]
@@ -41,6 +43,11 @@ GENERATION_RESULTS = T.StructType([
     T.StructField("composite_score", T.DoubleType()),
     T.StructField("evaluated_at", T.TimestampType()),
 ])
+FAILURES = T.StructType([
+    T.StructField("model", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("evaluated_at", T.TimestampType()),
+])
 SEARCH_TERMS = T.StructType([
     T.StructField("term", T.StringType()),
     T.StructField("active", T.BooleanType()),

@@ -1,5 +1,6 @@
 """Session defaults and the shared scratch folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,9 @@ def shared_root(spark: SparkSession) -> str:
     """
     context = spark.sparkContext
     root = spark.conf.get(CHECKPOINT_KEY, None)
+    on_cluster = not context.master.startswith("local")
+    if root and on_cluster and re.match(r"(file:/*)?/tmp(/|$)", root):
+        raise RuntimeError(f"{CHECKPOINT_KEY} is {root}, a folder of one machine")
     option = context._jsc.sc().getCheckpointDir()
     if root:
         if not option.isDefined():

@@ -43,6 +43,12 @@ def parse_articles(df: DataFrame, xml: str, *keep: str) -> DataFrame:
     return flatten_articles(spread(df.select(*keep, xml)).select(*keep, record), *keep)
 
 
+def article_key(xml: Column) -> Column:
+    """The record's key alone; null where there is none or the XML cannot be read."""
+    record = F.from_xml(xml, "MedlineCitation struct<PMID: struct<_VALUE: string>>", XML_OPTIONS)
+    return F.trim(record["MedlineCitation"]["PMID"]["_VALUE"])
+
+
 def flatten_articles(records: DataFrame, *keep: str) -> DataFrame:
     """Nested records to the columns of the article table plus ``abstract``."""
     article = F.col("MedlineCitation.Article")

@@ -6,25 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 SUFFIX = ".csv"
+# Time stamps keep their microseconds.
+FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+}
 
 
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | None = None,
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Header row, UTF-8, quoted fields.
 
     Without a schema the types are inferred, which reads the files twice; give one
     for large loads. ``multi_line`` allows line feeds inside quotes, at the price that
-    a file is no longer split between tasks.
+    a file is no longer split between tasks; turn it off for files known to have none.
     """
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("encoding", "UTF-8")
+        .options(**FORMATS)
     )
     if schema is not None:
         return reader.schema(schema).csv(path)
@@ -45,14 +51,18 @@ def list_csv(spark: SparkSession, folder: str) -> dict[str, str]:
 
 
 def load_csv_folder(
-    spark: SparkSession, folder: str, database: str, schemas: dict[str, T.StructType] | None = None
+    spark: SparkSession,
+    folder: str,
+    database: str,
+    schemas: dict[str, T.StructType] | None = None,
+    multi_line: bool = True,
 ) -> list[str]:
     """Create or replace one table per CSV in ``folder``, named after the file."""
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {database}")
     created = []
     for table, path in list_csv(spark, folder).items():
         name = f"{database}.{table}"
-        df = read_csv(spark, path, (schemas or {}).get(table))
+        df = read_csv(spark, path, (schemas or {}).get(table), multi_line)
         df.write.format("parquet").mode("overwrite").saveAsTable(name)
         created.append(name)
     return created
@@ -61,14 +71,18 @@ def load_csv_folder(
 def dump_csv(df: DataFrame, folder: str, table: str) -> str:
     """Write one table as ``<folder>/<table>.csv`` with a header row.
 
-    The entry is a folder of part files, written in parallel.
+    The entry is a folder of part files, written in parallel. Line feeds, quotes, padding,
+    and the difference between empty and missing texts survive.
     """
     path = f"{folder}/{table}{SUFFIX}"
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("escape", '"')
         .option("encoding", "UTF-8")
+        .options(**FORMATS)
         .csv(path)
     )
     return path

@@ -14,6 +14,7 @@ def scan(spark: SparkSession, name_or_path: str, *columns: str) -> DataFrame:
     if "/" in name_or_path:
         df = spark.read.parquet(name_or_path)
     else:
+        restore(spark, name_or_path)
         df = spark.table(name_or_path)
     return df.select(*columns) if columns else df
 
@@ -66,8 +67,10 @@ def ensure_table(
 
     Tables that are joined on one key for ever (articles, registry, chunks) should be
     bucketed on it with one bucket count: anti-joins and merges between them then
-    read their buckets side by side, without a shuffle of the text.
+    read their buckets side by side, without a shuffle of the text. A table that an
+    interrupted :func:`swap` left aside is brought back first.
     """
+    restore(spark, name)
     if "." in name:
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name.rsplit('.', 1)[0]}")
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
@@ -88,13 +91,16 @@ def overwrite(df: DataFrame, name: str, counts: Observation | None = None) -> No
 def swap(df: DataFrame, name: str) -> None:
     """Replace a table with rows derived from itself: write aside, then rename.
 
-    One writer at a time is assumed. After a crash between the two renames
-    :func:`restore` brings the old table back.
+    One writer at a time is assumed. Every use of the table by name goes through
+    :func:`restore`, so after a crash between the two renames the old rows are back; the
+    old table is dropped only while one of its name exists.
     """
     spark = df.sparkSession
+    restore(spark, name)
     following, previous = f"{name}__next", f"{name}__prev"
     spark.sql(f"DROP TABLE IF EXISTS {following}")
-    spark.sql(f"DROP TABLE IF EXISTS {previous}")
+    if spark.catalog.tableExists(name):
+        spark.sql(f"DROP TABLE IF EXISTS {previous}")
     _writer(df, following, None, like=name).mode("overwrite").saveAsTable(following)
     spark.sql(f"ALTER TABLE {name} RENAME TO {previous}")
     spark.sql(f"ALTER TABLE {following} RENAME TO {name}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from gleanery.operators.keys import absent_rows
+from gleanery.operators.keys import new_per_key
 
 
 def read_store(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -31,7 +31,8 @@ def start_dedup_ingest(
 
     Every micro-batch has a folder of its own, named after the checkpoint and the
     batch, and overwrites it: a repeated batch leaves the same rows. Keys are compared
-    with all other folders, so a new checkpoint over an old store adds nothing twice.
+    with all other folders, so a new checkpoint over an old store adds nothing twice. Rows
+    without a key are not stored, as nothing tells them apart from those of another run.
     """
     schema = stream.schema
     run = md5(checkpoint.encode(), usedforsecurity=False).hexdigest()
@@ -39,7 +40,7 @@ def start_dedup_ingest(
     def store_batch(batch: DataFrame, number: int) -> None:
         own = (F.col("run") == run) & (F.col("batch") == number)
         stored = read_store(batch.sparkSession, store, schema).where(~own)
-        fresh = absent_rows(stored, batch, key, order)
+        fresh = new_per_key(stored, batch, key, order)
         fresh.write.mode("overwrite").parquet(f"{store}/run={run}/batch={number}")
 
     return (

@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from gleanery import fixed_values as fixed
 from gleanery import schemas
 from gleanery.operators import config, promotion, rotation, sessions
 from gleanery.operators.running import hot_keys, running
@@ -14,6 +13,9 @@ from gleanery.sources import tables
 from tests.conftest import values
 
 T0 = dt.datetime(2026, 1, 1)
+FIRST_CONFIG = {"config_version": 1, "updated_by": "setup", "generation_model_name": "gen",
+                "embedding_model_name": "emb", "embedding_model_path": "models/emb",
+                "embedding_dimension": 384}
 
 
 def terms(spark, rows):
@@ -120,6 +122,17 @@ def test_best_candidate_of_recent_results(spark):
     assert promotion.best_candidate(df.limit(0), "score").count() == 0
 
 
+def test_the_whole_newest_batch_competes(spark, database):
+    results, configs = f"{database}.results", f"{database}.config"
+    jobs.seed_config(spark, configs, FIRST_CONFIG)
+    rows = [(f"m{m:02}", "p", 8, 10, 0.3 if m < 11 else 0.8, 0.4, 0.6, 0.4, T0) for m in range(12)]
+    rows += [("late", "p", 8, 10, float("nan"), 0.4, 0.6, 0.4, T0),
+             ("earlier", "p", 8, 10, 0.9, 0.4, 0.6, 0.4, T0 - dt.timedelta(1))]
+    tables.overwrite(tables.local_rows(spark, rows, schemas.EMBEDDING_RESULTS), results)
+    assert jobs.promote_embedding(spark, results, configs, 0.5) == ("promoted", 0.8)
+    assert config.latest(spark.table(configs)).head()["embedding_model_name"] == "m11"
+
+
 def test_promotion_is_strict(spark):
     best = spark.createDataFrame([("s1", "m", 0.5), ("s2", "m", 0.6), ("s4", "m", 0.1)],
                                  "slot string, model string, score double")
@@ -133,8 +146,8 @@ def test_promotion_is_strict(spark):
 
 def test_promotion_job(spark, database):
     results, configs = f"{database}.results", f"{database}.config"
-    assert jobs.seed_config(spark, configs, fixed.DEFAULT_CONFIG)
-    assert not jobs.seed_config(spark, configs, fixed.DEFAULT_CONFIG)
+    assert jobs.seed_config(spark, configs, FIRST_CONFIG)
+    assert not jobs.seed_config(spark, configs, FIRST_CONFIG)
     tables.ensure_table(spark, results, schemas.EMBEDDING_RESULTS)
     assert jobs.promote_embedding(spark, results, configs, 0.0) == ("no_action", 0.0)
     tables.append(tables.local_rows(
@@ -145,7 +158,7 @@ def test_promotion_job(spark, database):
     latest = config.latest(spark.table(configs)).head()
     assert (latest["config_version"], latest["embedding_model_name"],
             latest["embedding_dimension"], latest["generation_model_name"]) == (
-        2, "m2", 768, fixed.DEFAULT_CONFIG["generation_model_name"])
+        2, "m2", 768, FIRST_CONFIG["generation_model_name"])
     assert jobs.rollback(spark, configs, 1) == 3
     assert config.latest(spark.table(configs)).head()["embedding_dimension"] == 384
 
