@@ -72,4 +72,50 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS_SQL = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# The other operators are beyond SQL: trained models, hashes it lacks, vocabularies, cuts of
+# graphs, and patterns with conditions on their surroundings. They are tested by brute force.
+ORACLES = {
+    "op6_exact_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scores AS (
+          SELECT q.vec_id AS query_id, c.vec_id,
+                 CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+          WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place
+          FROM scores
+        ) WHERE place <= 10""",
+    "op9_contamination": f"""
+        WITH items AS (
+          SELECT item_id, words, least(5, len(words)) AS n
+          FROM (SELECT item_id, {_WORDS_SQL} AS words FROM benchmark) WHERE len(words) > 0
+        ),
+        item_shingles AS (
+          SELECT DISTINCT item_id, n, array_to_string(words[i : i + n - 1], ' ') AS s
+          FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM items)
+        ),
+        totals AS (SELECT item_id, count(*) AS total FROM item_shingles GROUP BY item_id),
+        texts AS (
+          SELECT doc_id, {_WORDS_SQL} AS words FROM documents
+        ),
+        doc_shingles AS (
+          SELECT DISTINCT doc_id, n, array_to_string(words[i : i + n - 1], ' ') AS s
+          FROM (
+            SELECT *, unnest(range(1, len(words) - n + 2)) AS i
+            FROM texts, (SELECT DISTINCT n FROM items)
+          )
+        )
+        SELECT doc_id, item_id, count(*) AS shared, total AS item_shingles,
+               count(*) / CAST(total AS DOUBLE) AS containment
+        FROM doc_shingles JOIN item_shingles USING (n, s) JOIN totals USING (item_id)
+        GROUP BY doc_id, item_id, total HAVING count(*) >= 0.8 * total - 1e-9""",
+}
