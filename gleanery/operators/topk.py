@@ -6,8 +6,10 @@ best per question. What leaves a task is bounded by questions x k, and the final
 ranking is an ordinary window over those rows.
 """
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from hashlib import md5
 
 import numpy as np
@@ -108,13 +110,13 @@ def cosine_topk(
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
     block_bytes: int = QUESTION_BLOCK_BYTES,
-    slice_bytes: int = CORPUS_SLICE_BYTES,
 ) -> DataFrame:
     """Exact top-k: ``(question_id, chunk_id, similarity, rank)``.
 
-    The questions are written to the shared folder once and measured. While they fit ``block_bytes`` they are
-    broadcast as one matrix and the corpus is read in place, with no shuffle of
-    vectors. Larger question sets are cut into blocks, see :func:`_tiled`.
+    The questions are written to the shared folder once and measured. Blocks of them that
+    fit ``block_bytes`` are broadcast as a matrix, one after the other, and the corpus is
+    read in place for each, with no shuffle of vectors. With several blocks the winners
+    of each are written before the next one begins.
     The corpus keeps the splits it is read in; a task hands on k rows per question. Ids are
     keys: one row per id on either side. Vectors that are null or hold a null, NaN or
     infinite component are left out, :func:`unusable` counts them.
@@ -125,17 +127,25 @@ def cosine_topk(
     size = asked.agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size(vector)).alias("dimension")
     ).head()
-    if size["n"] and size["n"] * size["dimension"] * 8 <= block_bytes:
-        hits = _broadcast_search(asked, stored, k, question_id, chunk_id, vector)
-    else:
-        one_bucket = F.lit(0).cast("long")
-        hits = _tiled(
-            asked.withColumn("bucket", one_bucket),
-            stored.withColumn("bucket", one_bucket),
-            k, question_id, chunk_id, vector,
-            size["dimension"] or 1, block_bytes, slice_bytes,
-        )
-    return rank_hits(hits, [question_id], chunk_id, k)
+    if not size["n"]:
+        none = asked.sparkSession.createDataFrame(
+            [], _hit_schema(asked, stored, question_id, chunk_id))
+        return rank_hits(none, [question_id], chunk_id, k)
+    blocks = math.ceil(size["n"] * size["dimension"] * 8 / block_bytes)
+    parts = []
+    for b in range(blocks):
+        part = asked
+        if blocks > 1:
+            part = asked.where(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == b)
+            if part.isEmpty():
+                continue
+        hits, shared = _broadcast_search(part, stored, k, question_id, chunk_id, vector)
+        ranked = rank_hits(hits, [question_id], chunk_id, k)
+        if blocks > 1:
+            ranked = ranked.checkpoint()
+            shared.unpersist()
+        parts.append(ranked)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unusable(vectors: DataFrame, vector: str = "embedding") -> int:
@@ -151,7 +161,8 @@ def _hit_schema(questions: DataFrame, corpus: DataFrame, question_id: str, chunk
     ])
 
 
-def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector) -> DataFrame:
+def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector):
+    """Hits per task for a block of questions, and the broadcast block."""
     table = questions.toArrow().combine_chunks()
     dimension = len(table[vector][0])
     matrix = vector_matrix(_one_chunk(table[vector]), dimension)
@@ -169,7 +180,7 @@ def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector) -> Da
         place, ids, similarity = best.rows()
         yield _hit_batch(asked.take(pa.array(place)), ids, similarity, schema)
 
-    return corpus.mapInArrow(search, schema)
+    return corpus.mapInArrow(search, schema), shared
 
 
 def _one_chunk(column: pa.ChunkedArray) -> pa.Array:

@@ -128,17 +128,28 @@ def _hits_schema(asked: DataFrame, text: DataFrame) -> T.StructType:
 def _one_pass(
     asked: DataFrame, text: DataFrame, candidates: Sequence[Candidate], k: int
 ) -> DataFrame:
+    """All candidates in one pass over the chunk text.
+
+    The questions are encoded once per candidate, on the executors, and their measured
+    vectors are broadcast; tasks encode chunks only.
+    """
     schema = _hits_schema(asked, text)
-    # The measured question texts; each task encodes them with the model it has loaded anyway.
-    table = asked.toArrow()
-    ids = pa.concat_arrays(table["question_id"].chunks) if len(table) else pa.array([])
-    shared = asked.sparkSession.sparkContext.broadcast((ids, table["question"].to_pylist()))
-    chosen = list(candidates)
+    wanted: dict[str, tuple] = {}
+    failed = []
+    for candidate in candidates:
+        encode = embed(checked(candidate))
+        try:
+            table = asked.select("question_id", encode("question").alias("v")).toArrow()
+        except PythonException as problem:  # the encoder's own error must not end the others
+            failed.append(_failed(asked, text, candidate, problem))
+            continue
+        vectors = topk.vector_matrix(table["v"].combine_chunks(), candidate.dimension)
+        ids = table["question_id"].combine_chunks()
+        wanted[candidate.name] = ids, unit_rows(vectors)
+    shared = asked.sparkSession.sparkContext.broadcast(wanted)
+    chosen = [c for c in candidates if c.name in wanted]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, question_texts = shared.value
-        if not question_texts:
-            return
         states: dict[str, tuple] = {}
         failed: dict[str, str] = {}
         for batch in batches:
@@ -147,33 +158,32 @@ def _one_pass(
             chunk_ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
             for candidate in chosen:
-                if candidate.name in failed:
+                ids, questions = shared.value[candidate.name]
+                if candidate.name in failed or not len(ids):
                     continue
                 try:
                     if candidate.name not in states:
-                        encoder = candidate.factory()
-                        wanted = unit_rows(_encoded(encoder, question_texts, candidate))
-                        states[candidate.name] = (
-                            encoder, wanted, topk.TopK(len(question_texts), k)
-                        )
-                    encoder, wanted, best = states[candidate.name]
-                    topk.score_blocks(best, _encoded(encoder, texts, candidate), chunk_ids, wanted)
-                except Exception as problem:  # a failing candidate must not end the others
+                        states[candidate.name] = checked(candidate)(), topk.TopK(len(ids), k)
+                    encode, best = states[candidate.name]
+                    vectors = encode(texts).astype(np.float64)
+                    topk.score_blocks(best, vectors, chunk_ids, questions)
+                except Exception as problem:  # reported in the result, for this candidate
                     failed[candidate.name] = f"{type(problem).__name__}: {problem}"
         for candidate in chosen:
             name = candidate.name
+            ids, _ = shared.value[name]
             if name in failed:
                 # Ranked above every hit, so that the error outlives the cut at k.
-                place = np.arange(len(question_texts))
+                place = np.arange(len(ids))
                 found, similarity = [None] * len(place), np.full(len(place), np.inf)
             elif name in states:
-                place, found, similarity = states[name][2].rows()
+                place, found, similarity = states[name][1].rows()
             else:
                 continue
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([name] * len(place), pa.string()),
-                    question_ids.take(pa.array(place)),
+                    ids.take(pa.array(place)),
                     pa.array(found, to_arrow_type(schema["chunk_id"].dataType)),
                     pa.array(similarity, pa.float64()),
                     pa.array([failed.get(name)] * len(place), pa.string()),
@@ -181,15 +191,7 @@ def _one_pass(
                 names=schema.names,
             )
 
-    return text.mapInArrow(search, schema)
-
-
-def _encoded(encoder, texts: list[str], candidate: Candidate) -> np.ndarray:
-    # Vectors are stored as 32-bit floats, so they are compared as such.
-    vectors = np.asarray(encoder(texts), dtype=np.float32).astype(np.float64)
-    if vectors.shape != (len(texts), candidate.dimension):
-        raise ValueError(f"{candidate.name} gave {vectors.shape}, not {candidate.dimension} wide")
-    return vectors
+    return reduce(DataFrame.unionByName, failed, text.mapInArrow(search, schema))
 
 
 def _apart(
@@ -199,7 +201,6 @@ def _apart(
     parts = []
     for candidate in candidates:
         encode = embed(checked(candidate))
-        columns = [F.lit(candidate.name).alias("model"), "question_id"]
         try:
             hits = topk.cosine_topk(
                 asked.select("question_id", encode("question").alias("embedding")),
@@ -207,17 +208,28 @@ def _apart(
                 k,
             )
             none = F.lit(None).cast("string").alias("error")
-            part = hits.select(*columns, "chunk_id", "similarity", none).checkpoint()
+            part = hits.select(
+                F.lit(candidate.name).alias("model"), "question_id", "chunk_id", "similarity", none
+            ).checkpoint()
         except PythonException as problem:  # the encoder's own error must not end the others
-            chunk_id = F.lit(None).cast(text.schema["chunk_id"].dataType).alias("chunk_id")
-            error = F.lit(_last_line(problem)).alias("error")
-            part = asked.select(
-                *columns, chunk_id, F.lit(float("inf")).alias("similarity"), error
-            )
+            part = _failed(asked, text, candidate, problem)
         parts.append(part)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _failed(
+    asked: DataFrame, text: DataFrame, candidate: Candidate, problem: PythonException
+) -> DataFrame:
+    """A row per question that carries the error of a candidate."""
+    return asked.select(
+        F.lit(candidate.name).alias("model"),
+        "question_id",
+        F.lit(None).cast(text.schema["chunk_id"].dataType).alias("chunk_id"),
+        F.lit(float("inf")).alias("similarity"),
+        F.lit(_last_line(problem)).alias("error"),
+    )
+
+
 def _last_line(problem: PythonException) -> str:
     """The line of a Python worker's trace that names the error."""
     lines = [line.strip() for line in str(problem).splitlines() if line.strip()]

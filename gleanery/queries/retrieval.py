@@ -98,10 +98,10 @@ def cosine_topk(spark, sf):
 
 
 def cosine_topk_tiled(spark, sf):
-    """The same search with the questions cut into blocks and the corpus into slices."""
+    """A search with the questions cut into blocks."""
     hits = topk.cosine_topk(
         _centroids(spark, sf), _vectors(spark, sf), 10,
-        block_bytes=4 * 8 * VECTOR_DIMENSION, slice_bytes=100 * 4 * VECTOR_DIMENSION,
+        block_bytes=4 * 8 * VECTOR_DIMENSION,
     )
     return _rounded(hits)
 
