@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import held_out, share_below
 
 
+BAG_BYTES = 128 << 20  # text that one classifier is trained on, about
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: int, others: int,
                     bags: int, seed: int, doc_id: str = "doc_id", text: str = "text",
                     only_labelled: bool = False) -> DataFrame:
@@ -18,8 +21,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: i
     About ``positives`` rows labelled 1 or more go to every bag and about ``others`` rows
     of the rest to each one. The rest are documents of any or no label, with a null label;
     with ``only_labelled`` they are those labelled 0, and all labels are kept. The bounds
-    hold on average: rows are drawn by a hash of their id. An id labelled twice has its highest label.
+    hold on average: rows are drawn by a hash of their id. Where texts are so long that a
+    bag of that many would exceed ``BAG_BYTES``, all bounds shrink alike. An id labelled
+    twice has its highest label.
     """
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    fold = rows.where(~held_out(F.col("id")))
+    size = fold.agg(F.count("*"), F.avg(F.octet_length("text"))).first()
+    shrink = min(1.0, BAG_BYTES / max(1.0, (size[1] or 0.0) * (positives + others)))
+    positives, others = max(1, int(positives * shrink)), max(1, int(others * shrink))
     marks = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("id")))
@@ -34,15 +44,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: i
         drawn = drawn.union(zero)
     # At most about positives + bags * others pairs of numbers.
     few = F.broadcast(drawn)
-    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
     every = F.sequence(F.lit(0), F.lit(bags - 1))
     one = F.array(F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(bags)).cast("int"))
     known = rows.join(few, "id").select(
         F.explode(F.when(F.col("label") > 0, every).otherwise(one)).alias("bag"), "text", "label")
     if only_labelled:
         return known
-    fold = rows.where(~held_out(F.col("id")))
-    free = fold.where(share_below(fold.count(), rest, F.lit(seed + 2), F.col("id"), F.col("text")))
+    free = fold.where(share_below(size[0], rest, F.lit(seed + 2), F.col("id"), F.col("text")))
     return known.union(free.select(F.explode(one).alias("bag"), "text",
                                    F.lit(None).cast("int").alias("label")))
 
