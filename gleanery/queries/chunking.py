@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gleanery import fixed_values as fixed
 from gleanery.functions import splitter as splitting
 from gleanery.functions.text import fixed_windows
 from gleanery.operators import chunks as ops
@@ -71,7 +72,83 @@ QUERIES = {
     "recursive_chunks": recursive_chunks,
 }
 
+def _recursive_sql() -> str:
+    """The recursive splitter level by level.
+
+    ``t`` holds the texts a level has to cut, ``p`` their pieces, ``r`` the runs of short
+    pieces; long pieces, and texts without the separator, go to the next level. A run is
+    packed by its running lengths: a window ends where the next piece would pass the size,
+    and the next one starts where what is carried over fits the overlap and the size.
+    """
+    size, overlap = fixed.CHUNK_SIZE, fixed.CHUNK_OVERLAP
+    levels = ["t0 AS (SELECT doc_id, [0] AS path, text FROM documents WHERE length(text) > 0)"]
+    separators = fixed.SEPARATORS[:-1]
+    for n, separator in enumerate(separators):
+        mark = "'" + separator.replace("\n", "' || chr(10) || '") + "'"
+        levels.append(f"""
+p{n} AS (
+  SELECT doc_id, path, i, piece FROM (
+    SELECT doc_id, path, unnest(range(1, len(parts) + 1)) AS i,
+           unnest(list_transform(parts, lambda x, k: CASE WHEN k = 1 THEN x ELSE {mark} || x END))
+             AS piece
+    FROM (SELECT doc_id, path, string_split(text, {mark}) AS parts FROM t{n}
+          WHERE contains(text, {mark}))
+  ) WHERE piece <> ''
+),
+r{n} AS (
+  SELECT doc_id, list_append(path, CAST(min(i) AS INTEGER)) AS place, list(piece ORDER BY i) AS pieces
+  FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, path ORDER BY i) AS run
+    FROM p{n} WHERE length(piece) < {size}
+  ) GROUP BY doc_id, path, run
+),
+t{n + 1} AS (
+  SELECT doc_id, list_append(path, 0) AS path, text FROM t{n} WHERE NOT contains(text, {mark})
+  UNION ALL
+  SELECT doc_id, list_append(path, CAST(i AS INTEGER)), piece FROM p{n} WHERE length(piece) >= {size}
+)""")
+    runs = " UNION ALL ".join(f"SELECT * FROM r{n}" for n in range(len(separators)))
+    return f"""
+        WITH RECURSIVE {",".join(levels)},
+        runs AS (
+          SELECT *, list_transform(range(0, len(pieces) + 1),
+                      lambda k: length(array_to_string(pieces[1 : k], ''))) AS upto
+          FROM ({runs})
+        ),
+        packed AS (
+          SELECT *, len(list_filter(upto, lambda v: v <= {size})) - 1 AS stop, 0 AS start FROM runs
+          UNION ALL
+          SELECT doc_id, place, pieces, upto,
+                 len(list_filter(upto, lambda v: v <= upto[fresh + 1] + {size})) - 1, fresh
+          FROM (
+            SELECT *, len(list_filter(upto, lambda v:
+                        v < greatest(upto[stop + 1] - {overlap}, upto[stop + 2] - {size}))) AS fresh
+            FROM packed WHERE stop < len(pieces)
+          )
+        ),
+        cut AS (
+          SELECT doc_id, place, start, array_to_string(pieces[start + 1 : stop], '') AS chunk
+          FROM packed
+          UNION ALL
+          SELECT doc_id, path, start, substring(text, start + 1, {size}) FROM (
+            SELECT *, unnest(range(0, greatest(1, length(text) - {overlap}), {size - overlap}))
+                     AS start
+            FROM t{len(separators)}
+          )
+        ),
+        numbered AS (
+          SELECT doc_id, chunk, CAST(row_number() OVER (
+                   PARTITION BY doc_id ORDER BY place, start) - 1 AS INTEGER) AS chunk_index
+          FROM (SELECT doc_id, place, start,
+                       trim(chunk, ' ' || chr(9) || chr(10) || chr(13)) AS chunk FROM cut)
+          WHERE chunk <> ''
+        )
+        SELECT doc_id, doc_id || '_chunk_' || chunk_index AS chunk_id, chunk_index, chunk
+        FROM numbered"""
+
+
 ORACLES = {
+    "recursive_chunks": _recursive_sql(),
     "scan_project": "SELECT doc_id, lang, source FROM documents",
     "length_filter": """
         SELECT doc_id, CAST(length(text) AS INTEGER) AS chars
