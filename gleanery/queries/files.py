@@ -11,7 +11,7 @@ from gleanery.queries.common import stream_table, table
 from gleanery.sources import tables
 from gleanery.sources.csv import dump_csv, dump_tables, list_csv, read_csv
 from gleanery.streaming.ingest import read_store, start_dedup_ingest
-from gleanery.streaming.sync import read_index, start_index_sync
+from gleanery.streaming.sync import compact_index, read_index, start_index_sync
 
 # Table and its key, for the dump of every table without arrays.
 DATABASE = {
@@ -111,7 +111,10 @@ def stream_new_documents(spark, sf):
 
 
 def stream_index_sync(spark, sf):
-    """Events as changes of a per-user index entry; an error event deletes the entry."""
+    """Events as changes of a per-user index entry; an error event deletes the entry.
+
+    All changes arrive twice, and the log is folded before it is read.
+    """
     stream = stream_table(spark, sf, "events")
     changes = stream.select(
         "user_id", "event_id", (F.col("event_type") == "error").alias("deleted"), "value"
@@ -119,6 +122,9 @@ def stream_index_sync(spark, sf):
     log = session.scratch_path(spark, "index-log")
     checkpoint = session.scratch_path(spark, "index-run")
     start_index_sync(changes, log, "user_id", "event_id", checkpoint).awaitTermination()
+    again = session.scratch_path(spark, "index-run")
+    start_index_sync(changes, log, "user_id", "event_id", again).awaitTermination()
+    compact_index(spark, log, changes.schema, "user_id", "event_id")
     index = read_index(spark, log, changes.schema, "user_id", "event_id")
     return index.select("user_id", "event_id", "value")
 

@@ -1,8 +1,10 @@
 """Triggered synchronisation of a derived index from a stream of changed rows."""
 
+from functools import reduce
 from hashlib import md5
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -39,3 +41,26 @@ def read_index(
     """Current index: the newest row of every key that is not deleted."""
     rows = read_store(spark, log, schema).select(*schema.names)
     return first_per_key(rows, [key], [F.desc(version)]).where(~F.col("deleted"))
+
+
+def compact_index(
+    spark: SparkSession, log: str, schema: T.StructType, key: str, version: str
+) -> int:
+    """Fold the log into one row per key, deletions included; returns the folders removed.
+
+    The snapshot is complete before the folders it was made of go, and a key's newest row
+    stays the same throughout, so a crash at any point loses nothing. Folders that a stream
+    adds meanwhile are left alone.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(log).getFileSystem(spark._jsc.hadoopConfiguration())
+    rows = read_store(spark, log, schema)
+    held = rows.select("run", "batch").distinct().collect()
+    if len(held) < 2:
+        return 0
+    folded = reduce(Column.__or__, [(F.col("run") == r) & (F.col("batch") == b) for r, b in held])
+    newest = first_per_key(rows.where(folded).select(*schema.names), [key], [F.desc(version)])
+    newest.write.parquet(f"{log}/run=snapshot-{uuid4().hex}/batch=0")
+    for run, batch in held:
+        files.delete(path(f"{log}/run={run}/batch={batch}"), True)
+    return len(held)
