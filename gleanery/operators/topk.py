@@ -7,29 +7,27 @@ ranking is an ordinary window over those rows.
 """
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gleanery import session
-from gleanery.functions.encoders import list_column, unit_rows
+from gleanery.functions.encoders import unit_rows
 from gleanery.functions.vectors import all_finite
 
 # Similarities are compared after rounding, so equal vectors tie whatever the summation order.
 DECIMALS = 9
 QUESTION_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
-CORPUS_SLICE_BYTES = 256 << 20
-MAX_PARTITIONS = 200_000
 MAX_BUCKETS = 1 << 20
 
 
@@ -55,7 +53,8 @@ class TopK:
             floor = np.maximum(
                 floor, np.partition(similarity, rows - self.k, axis=0)[rows - self.k]
             )
-        hit_rows, hit_questions = np.nonzero(similarity >= floor)
+        # Minus infinity marks what is no candidate.
+        hit_rows, hit_questions = np.nonzero((similarity >= floor) & (similarity > -np.inf))
         question = np.concatenate([self.question, hit_questions])
         score = np.concatenate([self.similarity, similarity[hit_rows, hit_questions]])
         found = ids[hit_rows]
@@ -110,6 +109,7 @@ def cosine_topk(
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
     block_bytes: int = QUESTION_BLOCK_BYTES,
+    planes: "HashPlanes | None" = None,
 ) -> DataFrame:
     """Exact top-k: ``(question_id, chunk_id, similarity, rank)``.
 
@@ -119,7 +119,8 @@ def cosine_topk(
     of each are written before the next one begins.
     The corpus keeps the splits it is read in; a task hands on k rows per question. Ids are
     keys: one row per id on either side. Vectors that are null or hold a null, NaN or
-    infinite component are left out, :func:`unusable` counts them.
+    infinite component are left out, :func:`unusable` counts them. With ``planes`` only rows
+    in a question's buckets are candidates, see :func:`approximate_topk`.
     """
     session.shared_root(questions.sparkSession)
     asked = questions.where(all_finite(F.col(vector))).select(question_id, vector).checkpoint()
@@ -139,7 +140,8 @@ def cosine_topk(
             part = asked.where(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == b)
             if part.isEmpty():
                 continue
-        hits, shared = _broadcast_search(part, stored, k, question_id, chunk_id, vector)
+        hits, shared = _broadcast_search(
+            part, stored, k, question_id, chunk_id, vector, planes)
         ranked = rank_hits(hits, [question_id], chunk_id, k)
         if blocks > 1:
             ranked = ranked.checkpoint()
@@ -161,22 +163,33 @@ def _hit_schema(questions: DataFrame, corpus: DataFrame, question_id: str, chunk
     ])
 
 
-def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector):
+def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector, planes):
     """Hits per task for a block of questions, and the broadcast block."""
     table = questions.toArrow().combine_chunks()
     dimension = len(table[vector][0])
     matrix = vector_matrix(_one_chunk(table[vector]), dimension)
+    buckets = None
+    if planes is not None:
+        codes = planes.codes(matrix)
+        buckets = [
+            {code: np.flatnonzero(codes[:, t] == code) for code in np.unique(codes[:, t]).tolist()}
+            for t in range(planes.tables)
+        ]
     shared = questions.sparkSession.sparkContext.broadcast(
-        (_one_chunk(table[question_id]), unit_rows(matrix))
+        (_one_chunk(table[question_id]), unit_rows(matrix), buckets)
     )
     schema = _hit_schema(questions, corpus, question_id, chunk_id)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, unit_questions = shared.value
+        asked, unit_questions, buckets = shared.value
         best = TopK(len(unit_questions), k)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            score_blocks(best, vector_matrix(batch.column(1), dimension), ids, unit_questions)
+            vectors = vector_matrix(batch.column(1), dimension)
+            if buckets is None:
+                score_blocks(best, vectors, ids, unit_questions)
+            else:
+                score_buckets(best, vectors, ids, unit_questions, planes, buckets)
         place, ids, similarity = best.rows()
         yield _hit_batch(asked.take(pa.array(place)), ids, similarity, schema)
 
@@ -198,110 +211,6 @@ def _hit_batch(asked: pa.Array, ids, similarity, schema: T.StructType) -> pa.Rec
     )
 
 
-def _tiled(
-    questions, corpus, k, question_id, chunk_id, vector, dimension, block_bytes, slice_bytes
-) -> DataFrame:
-    """Search within buckets by tiles of (question block, corpus slice).
-
-    A bucket is cut into tiles by its measured size: its questions into blocks that
-    fit a task as a matrix, its corpus rows into slices. A question visits every
-    slice of its bucket and a corpus row every question block. A tile's rows arrive
-    sorted, questions first, so only the question block is held; corpus rows stream,
-    however hot their bucket is.
-    """
-    block_rows = max(1, block_bytes // (8 * dimension))
-    slice_rows = max(1, slice_bytes // (4 * dimension))
-    asked = questions.groupBy("bucket").agg(F.count(F.lit(1)).alias("asked"))
-    held = corpus.groupBy("bucket").agg(F.count(F.lit(1)).alias("held"))
-    counted = asked.join(held, "bucket").select(
-        "bucket",
-        F.ceil(F.col("asked") / block_rows).cast("int").alias("blocks"),
-        F.ceil(F.col("held") / slice_rows).cast("int").alias("slices"),
-        "held",
-    ).checkpoint()
-    moved = counted.agg(F.sum(F.col("blocks") * F.col("held"))).head()[0] or 0
-    partitions = moved // slice_rows + 1
-    # At most MAX_BUCKETS rows of four numbers, so the broadcast is bounded.
-    sizes = F.broadcast(counted)
-
-    def upto(count: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), count - 1))
-
-    q = (
-        questions.join(sizes, "bucket")
-        .withColumn("block", F.pmod(F.xxhash64(question_id), "blocks").cast("int"))
-        .select("bucket", "block", upto(F.col("slices")).alias("slice"),
-                F.lit(0).alias("side"), F.col(question_id).alias("qid"),
-                F.lit(None).cast(corpus.schema[chunk_id].dataType).alias("cid"),
-                F.col(vector).alias("question"),
-                F.lit(None).cast(corpus.schema[vector].dataType).alias("stored"))
-    )
-    c = (
-        corpus.join(sizes, "bucket")
-        .withColumn("slice", F.pmod(F.xxhash64(chunk_id), "slices").cast("int"))
-        .select("bucket", upto(F.col("blocks")).alias("block"), "slice",
-                F.lit(1).alias("side"),
-                F.lit(None).cast(questions.schema[question_id].dataType).alias("qid"),
-                F.col(chunk_id).alias("cid"),
-                F.lit(None).cast(questions.schema[vector].dataType).alias("question"),
-                F.col(vector).alias("stored"))
-    )
-    tile = ["bucket", "block", "slice"]
-    rows = q.unionByName(c)
-    if partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        rows = rows.repartition(min(partitions, MAX_PARTITIONS), *tile)
-    else:
-        rows = rows.repartition(*tile)
-    rows = rows.sortWithinPartitions(*tile, "side")
-    schema = _hit_schema(questions, corpus, question_id, chunk_id)
-    return rows.mapInArrow(_tile_search(k, schema), schema)
-
-
-def _tile_search(k: int, schema: T.StructType) -> Callable:
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = None
-        ids: list[pa.Array] = []
-        vectors: list[np.ndarray] = []
-        asked, unit_questions, best = None, None, None
-
-        def finish():
-            if best is not None:
-                place, found, similarity = best.rows()
-                if len(place):
-                    yield _hit_batch(asked.take(pa.array(place)), found, similarity, schema)
-
-        for batch in batches:
-            marks = np.stack([batch.column(i).to_numpy() for i in range(4)], axis=1)
-            cuts = np.flatnonzero(np.any(np.diff(marks, axis=0) != 0, axis=1)) + 1
-            for low, high in zip([0, *cuts], [*cuts, len(marks)]):
-                if low == high:
-                    continue
-                *tile, side = marks[low]
-                if tile != current:
-                    yield from finish()
-                    current, ids, vectors, best = tile, [], [], None
-                part = batch.slice(low, high - low)
-                if side == 0:
-                    ids.append(part.column(4))
-                    vectors.append(vector_matrix(part.column(6)))
-                    continue
-                if not ids:
-                    continue
-                if best is None:
-                    asked = pa.concat_arrays(ids)
-                    unit_questions = unit_rows(np.concatenate(vectors))
-                    best = TopK(len(asked), k)
-                score_blocks(
-                    best,
-                    vector_matrix(part.column(7), unit_questions.shape[1]),
-                    part.column(5).to_numpy(zero_copy_only=False),
-                    unit_questions,
-                )
-        yield from finish()
-
-    return search
-
-
 @dataclass(frozen=True)
 class HashPlanes:
     """Sign random projections: ``tables`` independent codes of ``bits`` signs each.
@@ -316,7 +225,7 @@ class HashPlanes:
 
     def __post_init__(self):
         if self.tables << self.bits > MAX_BUCKETS:
-            raise ValueError(f"at most {MAX_BUCKETS} buckets: bucket sizes are broadcast")
+            raise ValueError(f"at most {MAX_BUCKETS} buckets")
 
     def signs(self, table: int, bit: int) -> list[float]:
         digits = (
@@ -330,21 +239,38 @@ class HashPlanes:
             [self.signs(t, b) for t in range(self.tables) for b in range(self.bits)]
         )
 
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """The bucket of every vector in every table."""
+        signs = vectors @ _directions(self).T >= 0
+        weights = 1 << np.arange(self.bits, dtype=np.int64)
+        return signs.reshape(-1, self.tables, self.bits) @ weights
 
-def with_buckets(df: DataFrame, row_id: str, vector: str, planes: HashPlanes) -> DataFrame:
-    """One row per table: ``bucket`` = table number and sign code in one integer."""
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        directions = planes.matrix().T
-        weights = 1 << np.arange(planes.bits, dtype=np.int64)
-        tables = np.arange(planes.tables, dtype=np.int64) << planes.bits
-        for column in batches:
-            vectors = vector_matrix(column, planes.dimension)
-            signs = (vectors @ directions >= 0).reshape(-1, planes.tables, planes.bits)
-            yield list_column(signs @ weights + tables)
+@cache
+def _directions(planes: HashPlanes) -> np.ndarray:
+    return planes.matrix()
 
-    return df.select(row_id, vector, F.explode(codes(F.col(vector))).alias("bucket"))
+
+def score_buckets(
+    best: TopK, vectors: np.ndarray, ids: np.ndarray, unit_questions: np.ndarray,
+    planes: HashPlanes, asked: list[dict[int, np.ndarray]],
+) -> None:
+    """Offer rows to the questions they share a bucket with in any table; ``asked`` has the
+    questions of every code, per table."""
+    step = max(1, SCORE_CELLS // max(1, len(unit_questions)))
+    for low in range(0, len(ids), step):
+        block = unit_rows(vectors[low : low + step])
+        codes = planes.codes(vectors[low : low + step])
+        similarity = np.full((len(block), len(unit_questions)), -np.inf)
+        for table, questions_of in enumerate(asked):
+            order = np.argsort(codes[:, table], kind="stable")
+            found, starts = np.unique(codes[order, table], return_index=True)
+            for code, rows in zip(found.tolist(), np.split(order, starts[1:])):
+                questions = questions_of.get(code)
+                if questions is not None:
+                    near = block[rows] @ unit_questions[questions].T
+                    similarity[np.ix_(rows, questions)] = near
+        best.offer(similarity, ids[low : low + step])
 
 
 def approximate_topk(
@@ -356,21 +282,13 @@ def approximate_topk(
     chunk_id: str = "chunk_id",
     vector: str = "embedding",
     block_bytes: int = QUESTION_BLOCK_BYTES,
-    slice_bytes: int = CORPUS_SLICE_BYTES,
 ) -> DataFrame:
     """Top-k among the chunks that share a bucket with the question in any table.
 
-    Candidates are scored exactly and none is left out, so the answer is the exact
-    top-k of the shared buckets. Hot buckets are tiled by their size.
+    The corpus is read in place, as in :func:`cosine_topk`; a task scores each row exactly,
+    against the questions of its buckets only. No candidate is left out, so the answer is
+    the exact top-k of the shared buckets, however hot a bucket is.
     """
-    session.shared_root(questions.sparkSession)
-    asked = questions.where(all_finite(F.col(vector))).select(question_id, vector).checkpoint()
-    stored = corpus.where(all_finite(F.col(vector)))
-    hits = _tiled(
-        with_buckets(asked, question_id, vector, planes),
-        with_buckets(stored, chunk_id, vector, planes),
-        k, question_id, chunk_id, vector,
-        planes.dimension, block_bytes, slice_bytes,
+    return cosine_topk(
+        questions, corpus, k, question_id, chunk_id, vector, block_bytes, planes
     )
-    once = hits.groupBy(question_id, chunk_id).agg(F.max("similarity").alias("similarity"))
-    return rank_hits(once, [question_id], chunk_id, k)

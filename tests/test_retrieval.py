@@ -80,6 +80,20 @@ def test_zero_vectors_and_ties(spark):
         (1, "a", 1.0), (2, "b", 1.0), (3, "z", 0.0), (4, "n", -1.0)]
 
 
+def test_vectors_that_are_no_numbers_are_left_out(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(f"c{i}", [1.0, float(i)]) for i in range(10)]
+    odd = [("x", [nan, 1.0]), ("y", [inf, 1.0]), ("z", None), ("n", [None, 1.0])]
+    corpus = spark.createDataFrame(rows + odd, "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, [0.0, 1.0]), (2, [nan, 0.0])],
+                                  "question_id long, embedding array<float>")
+    for parts in [1, 4]:
+        got = topk.cosine_topk(asked, corpus.repartition(parts), 3)
+        assert values(got, "question_id", "rank", "chunk_id") == [
+            (1, 1, "c9"), (1, 2, "c8"), (1, 3, "c7")]
+    assert topk.unusable(corpus) == 4
+
+
 def test_approximate_topk_is_exact_within_buckets(spark):
     asked, corpus, q, c = random_tables(spark, 20, 300, copies=100)
     planes = topk.HashPlanes(DIM, bits=3, tables=2)
@@ -91,7 +105,7 @@ def test_approximate_topk_is_exact_within_buckets(spark):
     qc, cc = codes(q), codes(c)
     near = lambda i, j: bool(np.any(np.all(qc[i] == cc[j], axis=1)))
     got = topk.approximate_topk(
-        asked, corpus, 5, planes, block_bytes=4 * 8 * DIM, slice_bytes=40 * 4 * DIM)
+        asked, corpus, 5, planes, block_bytes=4 * 8 * DIM)
     assert values(got, "question_id", "chunk_id", "rank") == brute_force(q, c, 5, near)
 
 
