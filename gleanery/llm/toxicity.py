@@ -53,15 +53,14 @@ class Classifier:
     bias: float
 
 
-def _screen(features, starts, positive, width):
+def _screen(rows: list[np.ndarray], positive: np.ndarray, width: int) -> np.ndarray:
     """Features that are clearly more, or less, usual among positives than elsewhere."""
-    flags = positive.astype(float)
-    n_p, n_u = max(1.0, flags.sum()), max(1.0, (1 - flags).sum())
-    in_p = column_sums(flags, features, starts, width)
-    in_u = column_sums(1 - flags, features, starts, width)
-    share_p, share_u = in_p / n_p, in_u / n_u
+    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
+    in_p, in_u = np.zeros(width, np.int32), np.zeros(width, np.int32)
+    for row, flag in zip(rows, positive):
+        (in_p if flag else in_u)[row] += 1  # a row has a feature once
     pooled = (in_p + in_u + 1) / (n_p + n_u + 2)
-    z = (share_p - share_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
+    z = (in_p / n_p - in_u / n_u) / np.sqrt(pooled * (1 - pooled) * (1 / n_p + 1 / n_u))
     return np.flatnonzero((np.abs(z) > 3.5) & (in_p + in_u >= 3))
 
 
@@ -73,14 +72,11 @@ def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, prior: float, width:
     ``rows`` hold feature numbers, ``positive`` marks the confirmed ones, the others are
     unlabelled; ``prior`` is the share of positives among those.
     """
-    features, starts = sparse(rows)
-    chosen = _screen(features, starts, positive, width)
-    place = np.full(width, -1)
+    chosen = _screen(rows, positive, width)
+    place = np.full(width, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    keep = place[features] >= 0
-    sizes = np.add.reduceat(np.r_[keep, False].astype(np.int64), starts[:-1]) if len(rows) else []
-    sizes = np.where(np.diff(starts) > 0, sizes, 0)
-    features, starts = place[features[keep]], np.cumsum(np.r_[0, sizes]).astype(np.int64)
+    found = (place[row] for row in rows)
+    features, starts = sparse([own[own >= 0] for own in found])
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
     weights, bias = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
     adam = Adam(len(chosen) + 1, rate)
@@ -129,7 +125,7 @@ class Model:
             return 0.0
         if self._words is None:
             has = self.table.__contains__
-            self._words = BoundedCache(lambda w: tuple(filter(has, word_features(w))))
+            self._words = BoundedCache(lambda w: tuple(filter(has, word_features(w))), 200_000)
         found = set()
         for word in own_words(text):
             own = self._words[word]
@@ -140,11 +136,9 @@ class Model:
 
 
 def _fit_bag(bag: int, texts: list[str], labels: pd.Series, prior: float) -> pd.DataFrame:
-    words = BoundedCache(word_features)
-    rows = [
-        np.sort(np.fromiter(set().union(*(words[w] for w in own_words(t))), np.int64))
-        for t in texts
-    ]
+    words = BoundedCache(lambda w: np.array(word_features(w), np.int32), 100_000)
+    none = np.empty(0, np.int32)
+    rows = [np.unique(np.concatenate([none, *(words[w] for w in own_words(t))])) for t in texts]
     model = fit_nnpu(rows, labels.notna().to_numpy(), prior)
     return pd.DataFrame([{"bag": bag, "features": model.features.tolist(),
                           "weights": model.weights.tolist(), "bias": model.bias}])
