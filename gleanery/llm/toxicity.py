@@ -136,9 +136,10 @@ class Model:
 
 
 def _fit_bag(bag: int, texts: list[str], labels: pd.Series, prior: float) -> pd.DataFrame:
-    words = BoundedCache(lambda w: np.array(word_features(w), np.int32), 100_000)
-    none = np.empty(0, np.int32)
-    rows = [np.unique(np.concatenate([none, *(words[w] for w in own_words(t))])) for t in texts]
+    # As bytes, features take little memory and are joined quickly.
+    words = BoundedCache(lambda w: np.array(word_features(w), np.int32).tobytes(), 200_000)
+    joined = (b"".join(map(words.__getitem__, own_words(t))) for t in texts)
+    rows = [np.unique(np.frombuffer(own, np.int32)) for own in joined]
     model = fit_nnpu(rows, labels.notna().to_numpy(), prior)
     return pd.DataFrame([{"bag": bag, "features": model.features.tolist(),
                           "weights": model.weights.tolist(), "bias": model.bias}])
