@@ -169,7 +169,8 @@ class Scanner:
             else:
                 self.always.append(i)
         self.words = frozenset(self.by_keyword)
-        self.gate = re.compile(rb"licen[cs]|rail|unauthori[sz]ed")
+        # What the default rules without keywords need all the same.
+        self.gate = re.compile(rb"licen[cs]|rail|unauthori[sz]ed" if rules is None else b"")
 
     def scan(self, text: str | None) -> dict:
         words = plain_words(text)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import BoundedCache, held_out
-from gleanery.llm.features import Adam, bucket, column_sums, labelled_sample, row_sums, sparse, trained
+from gleanery.llm.features import Adam, bucket, labelled_sample, sparse, trained
 
 WIDTH = 1 << 18
 HIGHER = 6000  # rated texts above the lowest grade that are learnt from, about

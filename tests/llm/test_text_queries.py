@@ -166,6 +166,8 @@ def test_contained_detections_are_suppressed():
     found = scanner.scan("zero one two three four")
     assert [(d["label"], d["first"], d["last"]) for d in found["detections"]] == [("outer", 1, 3)]
     assert scanner.scan("three four two")["labels"] == "crossing,inner"
+    ungated = licenses.Scanner([licenses._rule("own", "foo (?:bar|baz)", "", 0.5)])
+    assert ungated.scan("a Foo, baz")["labels"] == "own"
 
 
 def library_counts(texts):
