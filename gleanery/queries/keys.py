@@ -164,9 +164,11 @@ def article_parse(spark, sf):
 
 
 def ingest_dedup(spark, sf):
-    """Parsed articles that are not registered, as they go into the abstract table."""
+    """Articles that are not registered, as they go into the abstract table; registered ones
+    are left out before they are parsed."""
     registry = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("pmid"))
-    fresh = new_articles(article_parse(spark, sf), registry)
+    records = new_records(article_xml(spark, sf), "xml", registry)
+    fresh = new_articles(parse_articles(records, "xml"), registry)
     return fresh.select("pmid", "title", "abstract", "year", "doi")
 
 

@@ -9,7 +9,7 @@ from gleanery import schemas
 from gleanery.functions.encoders import Candidate, embed, hash_candidate
 from gleanery.operators import config
 from gleanery.plans import answering, chunking, embedding, evaluation, index, promotion, questions
-from gleanery.plans import rotation
+from gleanery.plans import rotation, sessions
 from gleanery.plans.ingest import IngestTables, ingest, ingest_records
 from gleanery.sources import tables
 from gleanery.sources.articles import parse_articles
@@ -204,3 +204,19 @@ def test_known_and_unreadable_records(spark, database):
     more = raw.union(spark.createDataFrame([(record.format(9),)], "x string"))
     assert ingest_records(spark, more, "x", names) == 1
     assert values(spark.table(names.registry), "pmid") == [("0",), ("1",), ("2",), ("9",)]
+
+
+def test_session_tables(spark, database):
+    history, states = f"{database}.history", f"{database}.states"
+    turns = spark.createDataFrame(
+        [(s, i, "user", f"text {i}", None, None) for s in ["a", "b"] for i in range(8)],
+        "session_id string, turn_number int, role string, content string, query_used string, "
+        "chunks_retrieved string")
+    sessions.record_turns(spark, turns, history, F.lit(dt.datetime(2026, 1, 1)))
+    assert values(sessions.recent_turns(spark, history, "a"), "session_id", "turn_number") == [
+        ("a", i) for i in range(3, 8)]
+    for day, state in [(1, "{}"), (3, "{1}"), (2, "{2}")]:
+        new = spark.createDataFrame([("a", state)], "session_id string, state_json string")
+        sessions.save_states(spark, new, states, F.lit(dt.datetime(2026, 1, day)))
+    assert values(sessions.current_states(spark, states), "session_id", "state_json") == [("a", "{1}")]
+    assert spark.table(states).select("created_at").distinct().count() == 1
