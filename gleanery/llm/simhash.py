@@ -29,22 +29,27 @@ FINE_ABOVE = 20_000_000  # distinct fingerprints from which cells of eight segme
 _BLOCK = 1 << 16
 
 
-def simhash(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
-    """Majority bits of the shingles' hashes, as a signed 64-bit number.
-
-    A text of fewer words has one shingle, all its words; one without words has 0.
-    """
+def shingle_hashes(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """Hashes of a text's shingles in order; a text of fewer words has one, all its words."""
     words = spaced_words(text)
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = list(accumulate(map((1).__add__, map(len, words))))
     span = min(words_per_shingle, len(words)) - 1
     starts = itertools.chain((0,), ends)
     shingles = [joined[a : b - 1] for a, b in zip(starts, ends[span:])]
-    hashes = np.fromiter(
+    return np.fromiter(
         map(xxhash.xxh64_intdigest, shingles, repeat(HASH_SEED)), np.uint64, len(shingles)
     )
+
+
+def simhash(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
+    """Majority bits of the shingles' hashes, as a signed 64-bit number.
+
+    A text of fewer words has one shingle, all its words; one without words has 0.
+    """
+    hashes = shingle_hashes(text, words_per_shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _BLOCK):
         block = hashes[at : at + _BLOCK].view(np.uint8).reshape(-1, 8)

@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleanery.llm import components, decontam, mixing, queries, simhash, topk
+import corpus_pipeline
+from gleanery.llm import components, decontam, minhash, mixing, queries, simhash, topk
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, fp string, copies int"
@@ -122,6 +123,41 @@ def test_no_documents(spark):
     assert mixing.take_mix(none).collect() == []
 
 
+def five_words(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_near_copies(spark, monkeypatch):
+    """Copies of similarity 0.8 and more go, others stay, also where a bucket has many tiles."""
+    monkeypatch.setattr(minhash, "TILE_ROWS", 3)
+    draw = random.Random(4)
+    texts = {}
+    for _ in range(40):
+        words = [f"w{draw.randrange(4000)}" for _ in range(300)]
+        for copy in range(8):
+            changed = list(words)
+            for _ in range(copy * 2):
+                changed[draw.randrange(300)] = "other"
+            texts[len(texts)] = " ".join(changed)
+    texts |= {len(texts) + i: t for i, t in enumerate(["", " ", "one two", "One  two", "two one"])}
+    sets = {i: five_words(t) for i, t in texts.items()}
+    label = {i: i for i in texts}
+    pairs = 0
+    for i, j in itertools.combinations(texts, 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
+            pairs += len(sets[i] & sets[j]) < len(sets[i] | sets[j])
+            low, high = sorted((label[i], label[j]))
+            label = {k: low if v == high else v for k, v in label.items()}
+    assert pairs > 100
+    rows = [(i, t, "s") for i, t in texts.items()]
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    left = sorted(r.doc_id for r in stage(spark, docs(spark, rows), SF_DIR).collect())
+    assert left == sorted(set(label.values()))
+    assert len(simhash.drop_near_duplicates(docs(spark, rows)).collect()) > len(left)
+    assert stage(spark, docs(spark, []), SF_DIR).collect() == []
+
+
 # Exact search
 
 
