@@ -22,6 +22,7 @@ SHARE = 1.5
 MOST = 2.0
 SEED = 17
 KNAPSACK_BUDGET = 1 << 16  # words left to the dynamic programme
+SUMS = 1 << 16  # sums of long documents that are told apart
 RANKED_ROWS = 512  # rows of one length that are ranked together
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,7 +87,8 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int
     """How many documents of each length to take, their sum the budget or as near as can be.
 
     A proportional part of every count comes first, then single documents of lengths in a
-    seeded order until the dynamic programme can hold the rest, then its best fill.
+    seeded order until the dynamic programme can hold the rest, then its best fill. Where
+    that misses the budget, as with few or long documents, sums of all of them are tried.
     """
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
@@ -111,7 +113,71 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int
         more = min(int(counts[i] - taken[i]), left // int(lengths[i]))
         taken[i] += more
         left -= more * int(lengths[i])
-    return taken + _fill(lengths, counts - taken, min(left, knapsack))
+    if left <= knapsack:
+        more = _fill(lengths, counts - taken, left)
+        taken = taken + more
+        left -= int((more * lengths).sum())
+    return _closer(lengths, counts, budget, taken, left)
+
+
+def _closer(lengths: np.ndarray, counts: np.ndarray, budget: int, taken: np.ndarray,
+            left: int) -> np.ndarray:
+    """``taken``, ``left`` words below the budget, or counts whose sum is closer to it.
+
+    Sums are built up from long documents to short ones. All of them are kept up to
+    ``SUMS``, beyond that one in each cell of a width that doubles as needed, so the sums
+    are true ones of any size and few documents are fitted exactly.
+    """
+    step = int(np.gcd.reduce(lengths[counts > 0]))
+    least = min(budget % step, -budget % step)  # no sum is closer
+    best, node = left, -1
+    if abs(best) <= least:
+        return taken
+    values, items_of, parents = [0], [-1], [-1]
+    sums, nodes, width = np.zeros(1, np.int64), np.zeros(1, np.int64), 1
+    items = []
+    for i in np.argsort(-lengths, kind="stable"):
+        size, many = int(lengths[i]), 1
+        most = min(int(counts[i]), (budget + abs(best)) // size)
+        while most > 0 and abs(best) > least:
+            many = min(many, most)
+            more = sums + size * many
+            fits = more <= budget + abs(best)
+            more, before = more[fits], nodes[fits]
+            fresh = ~np.isin(more // width, sums // width)
+            # The closest one counts even if another sum stands for its cell.
+            if len(more):
+                at = int(np.argmin(np.abs(more - budget)))
+                fresh[at] |= abs(int(more[at]) - budget) < abs(best)
+            more, before = more[fresh], before[fresh]
+            if len(more):
+                first = len(values)
+                values += more.tolist()
+                items_of += [len(items)] * len(more)
+                parents += before.tolist()
+                at = int(np.argmin(np.abs(more - budget)))
+                gap = budget - int(more[at])
+                if abs(gap) < abs(best) or abs(gap) == abs(best) and gap > best:
+                    best, node = gap, first + at
+                sums = np.concatenate([sums, more])
+                nodes = np.concatenate([nodes, np.arange(first, len(values))])
+                order = np.argsort(sums, kind="stable")
+                sums, nodes = sums[order], nodes[order]
+                while len(sums) > SUMS:
+                    width *= 2
+                    _, one = np.unique(sums // width, return_index=True)
+                    sums, nodes = sums[one], nodes[one]
+            items.append((i, many))
+            most -= many
+            many *= 2
+    if node < 0:
+        return taken
+    chosen = np.zeros(len(lengths), np.int64)
+    while node:
+        i, many = items[items_of[node]]
+        chosen[i] += many
+        node = parents[node]
+    return chosen
 
 
 def _fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:

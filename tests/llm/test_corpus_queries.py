@@ -285,6 +285,42 @@ def test_lengths_fill_the_budget():
     assert (fitted * lengths).sum() == 777_777_777 and (fitted <= counts).all()
 
 
+def test_few_long_documents_are_fitted():
+    def taken(sizes, budget):
+        lengths, counts = np.unique(sizes, return_counts=True)
+        chosen = mixing.fit_lengths(lengths, counts, budget)
+        assert (chosen >= 0).all() and (chosen <= counts).all()
+        return int((chosen * lengths).sum())
+
+    assert taken([200_000], 150_000) == 200_000
+    assert taken([20_000], 15_000) == 20_000
+    assert taken([200_000], 90_000) == 0
+    assert taken([200_000, 200_000], 350_000) == 400_000
+    assert taken([100_000] * 3 + [150_000] * 2, 300_000) == 300_000
+    assert taken([3_000_000_000, 5_000_000_000], 4_900_000_000) == 5_000_000_000
+    draw = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = draw.integers(131_072, 900_000, draw.integers(1, 10)).tolist()
+        sizes += draw.choice(sizes, draw.integers(0, 3)).tolist()
+        budget = int(draw.integers(1, sum(sizes)))
+        sums = {0}
+        for size in sizes:
+            sums |= {s + size for s in sums}
+        assert abs(taken(sizes, budget) - budget) == min(abs(s - budget) for s in sums)
+    sizes = draw.integers(131_072, 900_000, 3000)
+    budget = int(sizes.sum()) * 3 // 7
+    assert abs(taken(sizes, budget) - budget) <= 100
+
+
+def test_mix_takes_a_long_document(spark):
+    long = "w " * 200_000
+    rows = mixing.mix(docs(spark, [(0, long, "a"), (1, "v " * 1_000_000, "b")]), weights=(1.0, 9.0),
+                      share=1.25).collect()
+    target = {r.doc_id: r.target for r in rows}
+    assert target[0] == pytest.approx(150_000)
+    assert {r.doc_id: r.taken for r in rows} == {0: 200_000, 1: 1_000_000}
+
+
 # Contamination
 
 
