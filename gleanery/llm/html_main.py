@@ -58,7 +58,8 @@ SCALE = 1000  # capacities are whole numbers
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|!--(.*?)(?:-->|\Z)|[!?][^>]*>)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none""", re.I)
+_ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
@@ -74,15 +75,30 @@ class Block:
         self.path = path
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether an element's attributes keep it from being seen."""
+    low = attributes.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for m in _ATTRIBUTES.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and not value.lower().startswith(("false", "until")):
+            return True
+        if name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and _UNSEEN.search(value):
+            return True
+    return False
+
+
 def _zone(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
     """Whether an element lies outside the article, and what its names add to the score."""
     if tag in OUTSIDE_TAGS or tag == "header" and not inside:
         return True, 0.0
     if not attributes or tag in ("html", "body"):
         return False, 0.0
-    if "hidden" in attributes or "display" in attributes:
-        if _HIDDEN.search(attributes):
-            return True, 0.0
+    if _hidden(attributes):
+        return True, 0.0
     if "=" not in attributes:
         return False, 0.0
     words = {

@@ -241,6 +241,22 @@ def test_boilerplate_is_left_out():
     ]
 
 
+@pytest.mark.parametrize("attributes, seen", [
+    ('style="overflow:hidden"', True), ("style='overflow-x : hidden; color: red'", True),
+    ('class="overflow-hidden"', True), ('data-hidden="1"', True), ("data-hidden", True),
+    ('title="the hidden one"', True), ('aria-hidden="false"', True), ('hidden="until-found"', True),
+    ('data-x="display:none"', True), ("hidden", False), ('class="x" hidden', False),
+    ('HIDDEN=""', False), ('aria-hidden="true"', False), ("aria-hidden=true", False),
+    ('style="display:none"', False), ('style="color:red; Display : none !important"', False),
+    ('style="visibility:hidden"', False),
+])
+def test_only_hidden_elements_are_left_out(attributes, seen):
+    text = "The long article goes on for many words, as articles do. It has a second sentence."
+    for tag in ("div", "article"):
+        page = f"<body><{tag} {attributes}><p>{text}</p><p>{text}</p></{tag}></body>"
+        assert html_main.main_text(page) == (f"{text}\n{text}" if seen else "")
+
+
 @pytest.mark.parametrize("page", [
     None, "", "<", "<p", "plain", "<p><p><p>", "</div>" * 500, "<div>" * 2_000 + "x",
     '<a title="1 > 0">x', "<!-- open", "<script>", "&amp", '<p class="' * 300, "<table><tr><td>1<td>2",
