@@ -20,7 +20,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: i
 
     About ``positives`` rows labelled 1 or more go to every bag and about ``others`` rows
     of the rest to each one. The rest are documents of any or no label, with a null label;
-    with ``only_labelled`` they are those labelled 0, and all labels are kept. The bounds
+    with ``only_labelled`` they are those labelled 0, all labels are kept, and ``weight`` is
+    how many labelled rows a drawn one stands for. The bounds
     hold on average: rows are drawn by a hash of their id. Where texts are so long that a
     bag of that many would exceed ``BAG_BYTES``, all bounds shrink alike. An id labelled
     twice has its highest label.
@@ -49,7 +50,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, positives: i
     known = rows.join(few, "id").select(
         F.explode(F.when(F.col("label") > 0, every).otherwise(one)).alias("bag"), "text", "label")
     if only_labelled:
-        return known
+        stands_for = F.when(F.col("label") > 0, max(1.0, counts[1] / positives)).otherwise(
+            max(1.0, (counts[0] - counts[1]) / rest))
+        return known.withColumn("weight", stands_for)
     free = fold.where(share_below(size[0], rest, F.lit(seed + 2), F.col("id"), F.col("text")))
     return known.union(free.select(F.explode(one).alias("bag"), "text",
                                    F.lit(None).cast("int").alias("label")))
@@ -95,6 +98,7 @@ def trained(sample: DataFrame, fit, schema: str) -> list:
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["text", "label"], ignore_index=True)
-        return fit(int(part["bag"].iloc[0]), part["text"].tolist(), part["label"])
+        weights = [part["weight"]] if "weight" in part else []
+        return fit(int(part["bag"].iloc[0]), part["text"].tolist(), part["label"], *weights)
 
     return sample.groupBy("bag").applyInPandas(one, schema).collect()

@@ -116,8 +116,10 @@ class OrdinalModel:
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray,
-                rounds: int = ROUNDS, rate: float = 0.05, ridge: float = 2e-4) -> OrdinalModel:
-    """Least penalised negative log-likelihood of the cumulative logit model.
+                rounds: int = ROUNDS, rate: float = 0.05, ridge: float = 2e-4,
+                stands_for: np.ndarray | None = None) -> OrdinalModel:
+    """Least penalised negative log-likelihood of the cumulative logit model, in which a row
+    counts as often as the number of ratings it stands for (1 if not given).
 
     Every threshold is a yes-or-no question "above this grade?" with the same weights; the
     thresholds stay in order as a first one and positive gaps.
@@ -134,12 +136,14 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray,
     place[used] = np.arange(len(used))
     features = place[features]
     many = len(grades) - 1
-    rates = np.array([np.clip(np.mean(level > k), 1e-3, 1 - 1e-3) for k in range(many)])
+    n = len(rows)
+    share = np.ones(n) if stands_for is None else np.asarray(stands_for, float)
+    share = share / share.sum()
+    rates = np.array([np.clip(share @ (level > k), 1e-3, 1 - 1e-3) for k in range(many)])
     first = -np.log(rates / (1 - rates))
     start = np.r_[first[0], np.log(np.expm1(np.maximum(np.diff(first), 1e-3)))]
     weights, shape = np.zeros(len(used) + 1), start
     adam = Adam(len(weights) + many, rate)
-    n = len(rows)
     owner = np.repeat(np.arange(n), np.diff(starts))
     for _ in range(rounds):
         line = np.bincount(owner, weights[features] * values, minlength=n)
@@ -151,10 +155,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray,
         slope = full * (1 - full)
         at = np.arange(n)
         chance = np.maximum(full[at, level] - full[at, level + 1], 1e-12)
-        d_line = -(slope[at, level] - slope[at, level + 1]) / chance / n
+        d_line = -(slope[at, level] - slope[at, level + 1]) / chance * share
         d_cut = np.zeros((n, many + 2))
-        d_cut[at, level] += slope[at, level] / chance / n
-        d_cut[at, level + 1] -= slope[at, level + 1] / chance / n
+        d_cut[at, level] += slope[at, level] / chance * share
+        d_cut[at, level + 1] -= slope[at, level + 1] / chance * share
         by_cut = d_cut[:, 1:-1].sum(axis=0)
         tail = np.cumsum(by_cut[::-1])[::-1]
         d_shape = np.r_[tail[0], tail[1:] / (1 + np.exp(-shape[1:]))]
@@ -169,9 +173,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], ratings: np.ndarray,
     return OrdinalModel(grades.tolist(), known, cuts.tolist())
 
 
-def _fit_bag(bag: int, texts: list[str], labels: pd.Series) -> pd.DataFrame:
+def _fit_bag(bag: int, texts: list[str], labels: pd.Series, stands_for: pd.Series) -> pd.DataFrame:
     weigher = Weigher()
-    model = fit_ordinal([weigher.row(t) for t in texts], labels.to_numpy(float))
+    model = fit_ordinal([weigher.row(t) for t in texts], labels.to_numpy(float),
+                        stands_for=stands_for.to_numpy(float))
     return pd.DataFrame([{"grades": model.grades, "features": list(model.weights),
                           "weights": list(model.weights.values()),
                           "thresholds": model.thresholds.tolist()}])
@@ -181,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, higher: int = HIGHER, lowest: int
           seed: int = SEED, doc_id: str = "doc_id", text: str = "text",
           label: str = "quality") -> OrdinalModel:
     """Fits whole-number ratings (0 the lowest grade) of the fold that is not held out, on
-    samples of the stated sizes. Without ratings the model gives every text grade 0."""
+    samples of the stated sizes. A drawn rating counts for those it stands for, so the chances
+    do not depend on the sizes. Without ratings the model gives every text grade 0."""
     sample = labelled_sample(docs, labels, label, higher, lowest, 1, seed, doc_id, text, True)
     rows = trained(sample, _fit_bag, "grades array<double>, features array<long>, "
                    "weights array<double>, thresholds array<double>")

@@ -88,6 +88,20 @@ def test_ordered_grades():
         assert above[:, k].mean() == pytest.approx((grades > k).mean(), abs=0.03)
 
 
+def test_chances_do_not_depend_on_the_sample(spark):
+    """Mean chances match the shares of the labels whether few or all ratings are drawn."""
+    draw = np.random.default_rng(6)
+    grades = draw.choice(3, 6000, p=[0.1, 0.6, 0.3])
+    rows = [(i, " ".join(draw.choice(["good", "bad"], 6, p=[0.2 + 0.3 * g, 0.8 - 0.3 * g])), int(g))
+            for i, g in enumerate(grades.tolist())]
+    made = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for bound in (300, 6000):
+        model = quality.train(made, made, bound, bound)
+        for grade in (1, 2):
+            found = np.mean([model.score(t, grade)[2] for _, t, _ in rows])
+            assert found == pytest.approx((grades >= grade).mean(), abs=0.05)
+
+
 def test_pipeline_against_its_parts(spark):
     docs = queries.table(spark, SF_DIR, "documents")
     labels = queries.table(spark, SF_DIR, "labels")
