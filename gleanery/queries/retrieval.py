@@ -18,6 +18,7 @@ DIMENSION = 64
 VECTOR_DIMENSION = 64
 CANDIDATES = [("hash-16", 16), ("hash-64", 64), ("hash-256", 256)]
 PLANES = topk.HashPlanes(VECTOR_DIMENSION, bits=4, tables=4)
+ROW_PLANES = topk.HashPlanes(VECTOR_DIMENSION, bits=4, tables=20)
 QUESTIONS = 100
 
 
@@ -111,10 +112,30 @@ def ann_topk(spark, sf):
     return _rounded(hits)
 
 
+def ann_topk_rows(spark, sf):
+    """Approximate search that asks every row whose id is divisible by 50."""
+    return _rounded(topk.approximate_topk(
+        _asked_rows(spark, sf), _vectors(spark, sf), 10, ROW_PLANES))
+
+
 def ann_recall(spark, sf):
     """How many of the exact neighbours the approximate search finds."""
-    exact = topk.cosine_topk(_centroids(spark, sf), _vectors(spark, sf), 10)
-    near = topk.approximate_topk(_centroids(spark, sf), _vectors(spark, sf), 10, PLANES)
+    return _recall(_centroids(spark, sf), _vectors(spark, sf), PLANES)
+
+
+def ann_recall_rows(spark, sf):
+    """The same of the rows whose id is divisible by 50."""
+    return _recall(_asked_rows(spark, sf), _vectors(spark, sf), ROW_PLANES)
+
+
+def _asked_rows(spark, sf):
+    return _vectors(spark, sf).where(F.col("chunk_id") % 50 == 0).withColumnRenamed(
+        "chunk_id", "question_id")
+
+
+def _recall(questions, stored, planes):
+    exact = topk.cosine_topk(questions, stored, 10)
+    near = topk.approximate_topk(questions, stored, 10, planes)
     found = near.select("question_id", "chunk_id", F.lit(1).alias("met"))
     return exact.join(found, ["question_id", "chunk_id"], "left").agg(
         F.count(F.lit(1)).alias("wanted"), F.count("met").alias("found"),
@@ -234,7 +255,9 @@ QUERIES = {
     "cosine_topk": cosine_topk,
     "cosine_topk_tiled": cosine_topk_tiled,
     "ann_topk": ann_topk,
+    "ann_topk_rows": ann_topk_rows,
     "ann_recall": ann_recall,
+    "ann_recall_rows": ann_recall_rows,
     "retrieval_metrics": retrieval_metrics,
     "model_leaderboard": model_leaderboard,
     "eval_set": eval_set,
@@ -295,6 +318,13 @@ near AS (
 ),
 near_scores AS (SELECT * FROM scores SEMI JOIN near USING (question_id, chunk_id))"""
 
+_ROWS_ASKED = f"""
+{_COMPONENTS[:_COMPONENTS.index("centroid AS")]}centroid AS (
+  SELECT vec_id AS label, i, x FROM components WHERE vec_id % 50 = 0
+),
+asked AS (SELECT vec_id AS label, i, x FROM unit WHERE vec_id % 50 = 0)"""
+_ROW_BUCKETS = _BUCKETS.replace("range(4) a(t)", f"range({ROW_PLANES.tables}) a(t)")
+
 _KEYWORDS = """array_to_string(list_filter(
     string_split(replace(chunk, chr(10), ' '), ' '), lambda w: length(w) > 5), ' ')"""
 
@@ -391,6 +421,16 @@ ORACLES = {
                round(count(a.chunk_id) / CAST(count(*) AS DOUBLE), 6) AS recall
         FROM exact e LEFT JOIN approximate a
           ON e.question_id = a.question_id AND e.chunk_id = a.chunk_id""",
+    "ann_topk_rows": f"""
+        WITH {_ROWS_ASKED}, {_PAIRS}, {_ROW_BUCKETS} {_TOP10.format(scores='near_scores')}""",
+    "ann_recall_rows": f"""
+        WITH {_ROWS_ASKED}, {_PAIRS}, {_ROW_BUCKETS},
+        exact AS ({_TOP10.format(scores='scores')}),
+        approximate AS ({_TOP10.format(scores='near_scores')})
+        SELECT count(*) AS wanted, count(a.chunk_id) AS found,
+               round(count(a.chunk_id) / CAST(count(*) AS DOUBLE), 6) AS recall
+        FROM exact e LEFT JOIN approximate a
+          ON e.question_id = a.question_id AND e.chunk_id = a.chunk_id""",
     "retrieval_metrics": f"""
         WITH {LEXICAL_SQL}, {_SAMPLED}, {", ".join(ctes for ctes, _ in _RANKED)}
         {" UNION ALL ".join(final for _, final in _RANKED)}""",

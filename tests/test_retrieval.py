@@ -109,6 +109,16 @@ def test_approximate_topk_is_exact_within_buckets(spark):
     assert values(got, "question_id", "chunk_id", "rank") == brute_force(q, c, 5, near)
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_of_the_rows(spark, size):
+    from gleanery.queries import retrieval
+
+    folder = f"/root/testdata/{size}"
+    asked = retrieval._asked_rows(spark, folder).count()
+    row = retrieval.ann_recall_rows(spark, folder).head()
+    assert row.wanted == 10 * asked > 0 and row.recall >= 0.9
+
+
 def test_bucket_bound():
     with pytest.raises(ValueError):
         topk.HashPlanes(8, bits=20, tables=4)
