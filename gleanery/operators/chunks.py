@@ -10,7 +10,6 @@ from gleanery.operators.keys import unseen_wide
 from gleanery.operators.running import hot_keys, running
 from gleanery.sources.tables import spread
 
-SLICE_CHARS = 4
 COPY_BLOCK = 100_000
 
 
@@ -45,16 +44,15 @@ def index_chunks(
     """Number chunk rows of any origin by text order within each key, from 0.
 
     Equal chunks of one key are counted before the exchange and stay one row until
-    their numbers are known, and a hot key is cut into slices by the first characters
-    of its chunks, so neither copies nor a hot key end up in one task.
+    their numbers are known, and the rows of a hot key are numbered by range partitions,
+    so neither copies nor a hot key end up in one task.
     """
     hot = hot_keys(chunks, [key]) if hot is None else hot
     counted = chunks.groupBy(key, F.col(chunk).alias("chunk")).agg(
         F.count(F.lit(1)).alias("copies")
     )
     numbered = running(
-        counted, [key], ["chunk"], F.substring("chunk", 1, SLICE_CHARS),
-        number="end", weight=F.col("copies"), hot=hot,
+        counted, [key], ["chunk"], number="end", weight=F.col("copies"), hot=hot
     )
     # In two steps, so that no array grows with the number of copies.
     blocks = numbered.select(

@@ -54,14 +54,13 @@ def carry_forward(
     updates: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
     fields: Sequence[str] = tuple(CONFIG_FIELDS),
 ) -> DataFrame:
     """A log of sparse updates to full versions: number them and fill unset fields.
 
     Version n holds, per field, the last value set up to the n-th update of the slot.
     """
-    filled = running(updates, keys, order, slice_by, number=VERSION, carry=fields)
+    filled = running(updates, keys, order, number=VERSION, carry=fields)
     return filled.withColumn(VERSION, F.col(VERSION).cast("int"))
 
 

@@ -77,9 +77,7 @@ def _updates(spark, sf):
 
 
 def _history(spark, sf):
-    return config.carry_forward(
-        _updates(spark, sf), ["user_id"], ["ts", "event_id"], _hour("ts")
-    )
+    return config.carry_forward(_updates(spark, sf), ["user_id"], ["ts", "event_id"])
 
 
 def config_carry_forward(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import schemas
 from gleanery.operators import config, promotion, rotation, sessions
-from gleanery.operators.running import hot_keys, running
+from gleanery.operators.running import Fold, hot_keys, prefix_scan, ranged, running
 from gleanery.plans import promotion as jobs
 from gleanery.sources import tables
 from tests.conftest import values
@@ -106,11 +106,40 @@ def test_running_equals_plain_windows_under_skew(spark):
         F.row_number().over(w).cast("long").alias("n"))
     expected = values(plain, "k", "t", "a", "b", "n")
     for sliced in [hot, hot.limit(0)]:
-        got = running(df, ["k"], ["t"], F.floor(F.col("t") / 50), number="n",
-                      carry=["a", "b"], hot=sliced)
+        got = running(df, ["k"], ["t"], number="n", carry=["a", "b"], hot=sliced, hot_rows=60)
         assert values(got, "k", "t", "a", "b", "n") == expected
 
 
+def test_prefix_scan_of_one_key_stays_below_the_stated_rows(spark):
+    rng = random.Random(8)
+    rows = [("k", f"same beginning {i:05}", rng.choice([None, rng.randrange(-99, 99)]))
+            for i in range(6000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, place string, v long")
+    folds = {how: Fold(F.col("v"), how) for how in ("sum", "min", "max", "xor", "last")}
+    placed = ranged(df, ["k"], ["place"], hot_rows=800)
+    sizes = placed.groupBy("_part").count()
+    assert sizes.agg(F.max("count")).head()[0] <= 800 and sizes.count() >= 8
+    got = prefix_scan(df, ["k"], ["place"], folds, hot_rows=800)
+    want, state = {}, dict.fromkeys(folds)
+    join = {"sum": int.__add__, "min": min, "max": max, "xor": int.__xor__, "last": lambda a, b: b}
+    for _, place, v in sorted(rows, key=lambda r: r[1]):
+        if v is not None:
+            state = {h: v if s is None else join[h](s, v) for h, s in state.items()}
+        want[place] = tuple(state[h] for h in folds)
+    assert {r["place"]: tuple(r[h] for h in folds) for r in got.collect()} == want
+
+
+def test_prefix_scan_of_nothing_and_of_null_places(spark):
+    df = spark.createDataFrame([], "k string, t int")
+    assert running(df, ["k"], ["t"], number="n").collect() == []
+    rows = spark.createDataFrame([(None, 2), (None, None), ("a", 1)], "k string, t int")
+    for hot_rows in (1, 100):
+        got = running(rows, ["k"], ["t"], number="n", hot_rows=hot_rows)
+        assert values(got, "k", "t", "n") == sorted(
+            [(None, None, 1), (None, 2, 2), ("a", 1, 1)], key=repr)
+
+
 def test_best_candidate_of_recent_results(spark):
     rows = [(f"m{m}", 0.9 if (b, m) == (0, 0) else 0.1 * m, T0 + dt.timedelta(b))
             for b in range(5) for m in range(3)]
