@@ -5,6 +5,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.operators.running import same_keys
 from gleanery.session import shared_root
 
 # ASCII letters in lower case, ASCII digits and all bytes of non-ASCII characters stay;
@@ -57,3 +58,30 @@ def share_below(total: int, bound: int, *seeded: Column) -> Column:
     edge = math.floor(share * 2**31)
     return F.shiftrightunsigned(F.xxhash64(*seeded), 33) < F.lit(edge)
 
+
+
+HOT_ROWS = 2_000
+BROADCAST_KEYS = 20_000
+
+
+def attach(rows: DataFrame, lookup: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS,
+           broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Left join of ``rows`` with ``lookup`` (one row per key) that no hot key slows down.
+
+    The keys of more than ``hot_rows`` rows, or the ``broadcast_keys`` largest of them, are
+    looked up in place, by a broadcast of their lookup rows; all other rows are joined by
+    key. Beyond that many hot keys one is left with less than a ``broadcast_keys``-th of the
+    rows. ``rows`` is read twice and should be kept, its keys may be null.
+    """
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = kept(counts.where(F.col("_rows") > hot_rows))
+    found = hot.count()
+    if not found:
+        return rows.join(lookup, keys, "left")
+    if found > broadcast_keys:
+        hot = kept(hot.orderBy(F.desc("_rows"), *keys).limit(broadcast_keys))
+    few = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    same = same_keys(keys, "_hot_")
+    wanted = F.broadcast(lookup.join(few, same, "left_semi"))
+    there = rows.join(few, same, "left_semi").join(wanted, keys, "left")
+    return rows.join(few, same, "left_anti").join(lookup, keys, "left").unionByName(there)

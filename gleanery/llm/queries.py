@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm import (
-    decontam, html_main, licenses, mixing, pii, quality, simhash, tokens, topk, toxicity,
+    bpe, decontam, html_main, licenses, mixing, pii, prefix_trie, quality, simhash,
+    tokens, topk, toxicity,
 )
 
 
@@ -19,6 +20,12 @@ def token_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -64,11 +71,24 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), word_model)
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_personal_data, op3_license_scan, op4_token_counts, op5_main_text,
         op6_exact_topk, op7_quality, op8_source_mix, op9_contamination, op10_near_duplicates,
+        op11_prefix_trie, op13_bpe_round_trip,
     )
 }
 
