@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import (
     bpe, decontam, html_main, licenses, mixing, pii, prefix_trie, quality, simhash,
-    tokens, topk, toxicity,
+    tokens, topk, toxicity, turn_repair,
 )
 
 
@@ -75,6 +75,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_texts(table(spark, sf_dir, "documents"), word_model)
     return coded.select(
@@ -88,7 +92,7 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_personal_data, op3_license_scan, op4_token_counts, op5_main_text,
         op6_exact_topk, op7_quality, op8_source_mix, op9_contamination, op10_near_duplicates,
-        op11_prefix_trie, op13_bpe_round_trip,
+        op11_prefix_trie, op12_turn_repair, op13_bpe_round_trip,
     )
 }
 
