@@ -6,7 +6,7 @@ all executors share and read again by the next one.
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import decontam, minhash, mixing, pii, toxicity
+from gleanery.llm import decontam, mixing, pii, simhash, toxicity
 from gleanery.session import scratch_path
 
 
@@ -17,8 +17,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word Jaccard similarity 0.8 or more."""
-    return minhash.drop_near_copies(docs)
+    """One document of each group whose fingerprints of three-word shingles are linked by
+    differences of two bits at most."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
