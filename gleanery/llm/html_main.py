@@ -4,6 +4,16 @@ A page becomes a list of text blocks. A linear classifier gives each block a cos
 being content or boilerplate; the costs are the capacities of its edges to the two
 terminals. Blocks that follow each other or hang close together in the document tree
 are tied by smoothness edges. The minimum cut labels all blocks of a page at once.
+
+Only elements whose kind settles it (forms, menus, footers, scripts, what is hidden) lie
+outside whatever surrounds them. Names in class, id and role are evidence of a bounded
+weight: more where a name is the whole token, little where it is part of one that also says
+what a wrapper has or lacks, and next to none on elements that hold the page's principal
+article or most of its text. What they leave open, a heading of two words or a list among
+paragraphs, a long sentence among links, the edges decide.
+
+Tags are read in one pass; both kinds of quotes are paired, and a tag that is never closed
+ends before the next one begins. A null or empty page has no text.
 """
 
 import html
@@ -23,15 +33,17 @@ BLOCK_TAGS = frozenset(
     "menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead "
     "tr ul".split()
 )
+# What stands inside is no text of the page. The second kind is left alone if it never ends.
 RAW_TAGS = frozenset(
-    "script style noscript template textarea title iframe object svg math canvas audio video "
-    "noembed noframes".split()
+    "script style noscript template textarea title iframe noembed noframes".split()
 )
+EMBEDDED_TAGS = frozenset("object svg math canvas audio video".split())
 VOID_TAGS = frozenset("hr".split())
 OUTSIDE_TAGS = frozenset(
     "nav aside footer form head menu button select dialog search fieldset option optgroup".split()
 )
-# Words in class, id and role that mark parts that are not the article.
+PRINCIPAL_TAGS = frozenset(["article", "main"])
+# Words in class, id and role that speak of parts that are not the article.
 OUTSIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment "
     "comments cookie cookies consent complementary contentinfo discussion disqus dialog footer gdpr "
@@ -43,6 +55,11 @@ HEADER_WORDS = frozenset(["header", "topbar"])
 INSIDE_WORDS = frozenset(
     "article content entry main post story text body prose".split()
 )
+# Beside these, a word tells what a wrapper has, lacks or encloses.
+STATE_WORDS = frozenset(
+    "no has have with without status open closed enabled disabled allow is on off left right wrap "
+    "wrapper layout page results site single template type format category tag".split()
+)
 SAME_CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]),
     "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
@@ -53,26 +70,52 @@ WEIGHTS = {
     "bias": -0.6, "article": 3.0, "outside": -8.0, "named_inside": 0.8, "paragraph": 1.2,
     "heading": 0.6, "item": -0.4, "words": 0.6, "sentence": 0.5, "links": -3.5,
 }
-ADJACENT, SIBLING = 0.8, 0.5
+# What an element's names add: a whole token, part of one, part of one that tells a state; the
+# least they add up to along the path; and the share that counts on wrappers of the article.
+NAMED, NAMED_PART, NAMED_STATE, NAMED_LEAST, WRAPPER = -5.0, -3.0, -1.0, -6.0, 0.1
+# Smoothness: neighbours, less by their distance in the tree; blocks of one parent; blocks
+# between which a name or an article begins or ends are tied less.
+ADJACENT, SIBLING, ACROSS = 1.6, 1.0, 0.25
 SCALE = 1000  # capacities are whole numbers
 
-_TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|!--(.*?)(?:-->|\Z)|[!?][^>]*>)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_QUOTED = re.compile(
+    r"""(?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|"[^"<>]*+<[^">]*+"|'[^'<>]*+<[^'>]*+')*+>""")
+_RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW_TAGS | EMBEDDED_TAGS}
+_NAMES = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SENTENCE = re.compile(r"[.!?…](?:\s|$)")
 
 
+class Element:
+    """An element of the tree; sizes and names are settled when the page has been read."""
+
+    __slots__ = ("tag", "parent", "depth", "outside", "inside", "principal", "words", "cost",
+                 "helps", "size")
+
+    def __init__(self, tag: str, parent: "Element | None"):
+        self.tag = tag
+        self.parent = parent
+        self.depth = parent.depth + 1 if parent else 0
+        self.outside = bool(parent and parent.outside)
+        self.inside = tag in PRINCIPAL_TAGS or bool(parent and parent.inside)
+        self.principal = False
+        self.words = self.cost = 0.0
+        self.helps = 0.0
+        self.size = 0
+
+
 class Block:
     """Text of one block and what the classifier and the edges need to know of it."""
 
-    __slots__ = ("text", "score", "path")
+    __slots__ = ("text", "linked", "place")
 
-    def __init__(self, text: str, score: float, path: tuple[int, ...]):
+    def __init__(self, text: str, linked: int, place: Element):
         self.text = text
-        self.score = score
-        self.path = path
+        self.linked = linked
+        self.place = place
 
 
 def _hidden(attributes: str) -> bool:
@@ -91,23 +134,19 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _zone(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
-    """Whether an element lies outside the article, and what its names add to the score."""
-    if tag in OUTSIDE_TAGS or tag == "header" and not inside:
-        return True, 0.0
-    if not attributes or tag in ("html", "body"):
-        return False, 0.0
-    if _hidden(attributes):
-        return True, 0.0
-    if "=" not in attributes:
-        return False, 0.0
-    words = {
-        w.lower() for m in _NAMES.finditer(attributes)
-        for w in _PARTS.findall(m[1] or m[2] or m[3] or "")
-    }
-    if words & OUTSIDE_WORDS or not inside and words & HEADER_WORDS:
-        return True, 0.0
-    return False, WEIGHTS["named_inside"] if words & INSIDE_WORDS else 0.0
+def _named(attributes: str, inside: bool) -> tuple[float, float]:
+    """What the names in the attributes say against an element, and for it."""
+    against = helps = 0.0
+    bad = OUTSIDE_WORDS if inside else OUTSIDE_WORDS | HEADER_WORDS
+    for m in _NAMES.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _PARTS.findall(token)]
+            if not bad.isdisjoint(words):
+                state = not STATE_WORDS.isdisjoint(words) or not INSIDE_WORDS.isdisjoint(words)
+                against += (NAMED if len(words) == 1 else NAMED_STATE if state else NAMED_PART)
+            elif not INSIDE_WORDS.isdisjoint(words):
+                helps = WEIGHTS["named_inside"]
+    return max(against, NAMED), helps
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -116,9 +155,11 @@ def blocks_of(page: str) -> list[Block]:
     pieces: list[str] = []
     linked = 0
     in_link = False
-    # (tag, number, inside the article, outside of it, named score)
-    stack: list[tuple[str, int, bool, bool, float]] = [("", 0, False, False, 0.0)]
-    numbers = 0
+    root = Element("", None)
+    elements = [root]
+    stack = [root]
+    open_tags: dict[str, int] = {}
+    never: set[str] = set()  # ends that the rest of the page does not hold
     at, length = 0, len(page)
 
     def flush() -> None:
@@ -127,10 +168,8 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                tag, _, inside, outside, named = stack[-1]
-                found.append(Block(
-                    text, _score(text, tag, inside, outside, named, linked),
-                    tuple(s[1] for s in stack)))
+                found.append(Block(text, linked, stack[-1]))
+                stack[-1].size += len(text)
         linked = 0
 
     def add(text: str) -> None:
@@ -141,29 +180,61 @@ def blocks_of(page: str) -> list[Block]:
         if in_link:
             linked += len(text)
 
+    def close(i: int) -> None:
+        for element in stack[i:]:
+            open_tags[element.tag] -= 1
+        del stack[i:]
+
+    def end_of(mark: str, start: int) -> int:
+        """Place of a mark from a start on, or -1; a mark that is missing is sought once."""
+        if mark in never:
+            return -1
+        place = page.find(mark, start)
+        if place < 0:
+            never.add(mark)
+        return place
+
     while at < length:
-        m = _TAG.search(page, at)
-        if m is None:
+        start = end_of("<", at)
+        if start < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = m[2]
-        if name is None:
+        if start > at:
+            add(page[at:start])
+        at = start + 1
+        if page.startswith("!--", at):
+            end = end_of("-->", at + 3)
+            at = end + 3 if end >= 0 else length
             continue
-        tag, closing, attributes = name.lower(), m[1], m[3]
-        quotes = attributes.count('"')
-        if quotes % 2:  # a mark inside a quoted value; the tag goes on after it
-            end = page.find('"', at)
-            end = page.find(">", end) if end >= 0 else -1
-            if end >= 0:
-                attributes += page[at - 1 : end]
+        if at < length and page[at] in "!?":
+            end = end_of(">", at)
+            if end < 0:
+                add("<")
+            else:
                 at = end + 1
-        if tag in RAW_TAGS:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else length
+            continue
+        closing = page.startswith("/", at)
+        m = _NAME.match(page, at + closing)
+        if m is None:
+            add("<")
+            continue
+        tag = m[0].lower()
+        whole = _QUOTED.match(page, m.end())
+        if whole:
+            attributes, at = page[m.end() : whole.end() - 1], whole.end()
+        else:  # an open quote or no end: up to the next mark of either kind
+            end, after = end_of(">", m.end()), end_of("<", m.end())
+            end = min([e for e in (end, after) if e >= 0], default=length)
+            attributes, at = page[m.end() : end], end + (page[end : end + 1] == ">")
+        if tag in RAW_TAGS or tag in EMBEDDED_TAGS:
+            if not closing and not attributes.endswith("/") and tag not in never:
+                end = _RAW_ENDS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW_TAGS:
+                    at = length
+                else:
+                    never.add(tag)
             continue
         if tag == "a":
             in_link = not closing
@@ -173,48 +244,93 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_tags.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
             continue
-        if tag not in ("td", "th", "tr", "option") and stack[-1][0] == "p":
-            stack.pop()
-        if stack[-1][0] in SAME_CLOSES.get(tag, ()):
-            stack.pop()
-            if tag == "tr" and stack[-1][0] == "tr":
-                stack.pop()
+        if tag not in ("td", "th", "tr", "option") and stack[-1].tag == "p":
+            close(len(stack) - 1)
+        if stack[-1].tag in SAME_CLOSES.get(tag, ()):
+            close(len(stack) - 1)
+            if tag == "tr" and stack[-1].tag == "tr":
+                close(len(stack) - 1)
         if tag in VOID_TAGS:
             continue
-        _, _, inside, outside, named = stack[-1]
-        inside = inside or tag in ("article", "main")
-        if not outside:
-            outside, more = _zone(tag, attributes, inside)
-            named = max(named, more)
-        numbers += 1
-        stack.append((tag, numbers, inside, outside, named))
+        element = Element(tag, stack[-1])
+        if not element.outside and tag not in ("html", "body"):
+            element.outside = (
+                tag in OUTSIDE_TAGS or tag == "header" and not element.inside
+                or bool(attributes) and _hidden(attributes))
+            if "=" in attributes:
+                element.words, element.helps = _named(attributes, element.inside)
+        elements.append(element)
+        stack.append(element)
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
+    _weigh(elements)
     return found
 
 
-def _score(text: str, tag: str, inside: bool, outside: bool, named: float, linked: int) -> float:
+def _weigh(elements: list[Element]) -> None:
+    """Sums text over the tree, finds the principal article and settles what names add."""
+    for element in reversed(elements):
+        if element.parent and not element.outside:
+            element.parent.size += element.size
+    for element in elements[1:]:
+        element.cost = element.parent.cost + element.words
+    articles = [e for e in elements
+                if e.tag in PRINCIPAL_TAGS and not e.outside and e.cost > NAMED_PART]
+    # The largest article; of nested ones the innermost that holds most of the outer one's text.
+    article = max(articles, key=lambda e: (e.size, -e.depth), default=None)
+    for element in articles:
+        if article and element.depth > article.depth and 2 * element.size > article.size and (
+                _within(element, article)):
+            article = element
+    at = article
+    while at:
+        at.principal = True
+        at = at.parent
+    most = (article or elements[0]).size / 2
+    for element in elements:
+        parent = element.parent
+        if parent is None:
+            continue
+        element.helps = max(element.helps, parent.helps)
+        wraps = element.principal or element.size > most and (
+            article is None or _within(element, article))
+        own = element.words * (WRAPPER if wraps else 1.0)
+        element.cost = max(NAMED_LEAST, parent.cost + own)
+
+
+def _within(element: Element, other: Element) -> bool:
+    while element and element.depth > other.depth:
+        element = element.parent
+    return element is other
+
+
+def score(block: Block) -> float:
     """Log-odds that a block is part of the article."""
-    w = WEIGHTS
-    score = w["bias"] + named + w["links"] * min(1.0, linked / len(text))
-    if outside:
-        return score + w["outside"]
-    if inside:
-        score += w["article"]
+    w, place, text = WEIGHTS, block.place, block.text
+    total = w["bias"] + place.helps + w["links"] * min(1.0, block.linked / len(text))
+    if place.outside:
+        return total + w["outside"]
+    tag = place.tag
+    evidence = w["words"] * (math.log2(1 + text.count(" ")) - 2)
+    if place.inside:
+        evidence += w["article"]
     if tag in ("p", "pre", "blockquote"):
-        score += w["paragraph"]
+        evidence += w["paragraph"]
     elif len(tag) == 2 and tag[0] == "h":
-        score += w["heading"]
+        evidence += w["heading"]
     elif tag in ("li", "td", "th", "dt", "dd"):
-        score += w["item"]
-    score += w["words"] * (math.log2(1 + text.count(" ")) - 2)
+        evidence += w["item"]
     if _SENTENCE.search(text):
-        score += w["sentence"]
-    return max(-9.0, min(9.0, score))
+        evidence += w["sentence"]
+    # In a part that names speak against, text that looks like an article's says less.
+    doubt = 1 + place.cost / NAMED_LEAST
+    return max(-9.0, min(9.0, total + place.cost + evidence / doubt))
 
 
 def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
@@ -222,17 +338,20 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
     edges = []
     last: dict[int, int] = {}
     for j, block in enumerate(blocks):
-        path = block.path
+        place = block.place
         if j:
-            before = blocks[j - 1].path
-            common = 0
-            for x, y in zip(before, path):
-                if x != y:
-                    break
-                common += 1
-            apart = len(before) + len(path) - 2 * common
-            edges.append((j - 1, j, int(SCALE * ADJACENT / (1 + apart))))
-        parent = path[-2] if len(path) > 1 else path[-1]
+            a, b, apart, bounds = blocks[j - 1].place, place, 0, False
+            while a is not b:  # up to the element both hang below
+                if a.depth >= b.depth:
+                    bounds |= _bounds(a)
+                    a = a.parent
+                else:
+                    bounds |= _bounds(b)
+                    b = b.parent
+                apart += 1
+            tie = ADJACENT / (1 + apart / 2) * (ACROSS if bounds else 1.0)
+            edges.append((j - 1, j, int(SCALE * tie)))
+        parent = id(place.parent or place)
         i = last.get(parent)
         if i is not None:
             edges.append((i, j, int(SCALE * SIBLING)))
@@ -240,6 +359,13 @@ def edges_of(blocks: list[Block]) -> list[tuple[int, int, int]]:
     return edges
 
 
+def _bounds(element: Element) -> bool:
+    """Whether a part of another kind begins with the element."""
+    parent = element.parent
+    return (element.tag in PRINCIPAL_TAGS or element.words <= NAMED_PART
+            or element.outside != parent.outside)
+
+
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Sides of a minimum cut: true where a node stays with the source.
 
@@ -341,7 +467,7 @@ def _max_flow(nodes: list[int], scores: list[int], around: list[dict[int, int]])
 def main_text(page: str | None) -> str:
     """Blocks of the article, one per line; empty if a page has none."""
     blocks = blocks_of(page) if page else []
-    kept = minimum_cut([int(b.score * SCALE) for b in blocks], edges_of(blocks))
+    kept = minimum_cut([int(score(b) * SCALE) for b in blocks], edges_of(blocks))
     return "\n".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 

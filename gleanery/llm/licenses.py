@@ -2,8 +2,8 @@
 
 A rule is a regular expression over a text's words, with the words it cannot do without
 (its keywords), a label, a weight and a place in the order. Only rules whose keywords are all
-among a text's words are tried. Where detections overlap, one that lies inside another of
-the same or a higher priority is suppressed.
+among a text's words are tried. Where detections overlap, the one of the highest priority
+stands, of one rule's the longest, and all that lie in it, contain or cross it are suppressed.
 """
 
 import math
@@ -115,6 +115,132 @@ NOTICES = [
 ]
 
 
+# Sentences of license texts, headers and agreements: label, pattern, keywords, weight.
+BODIES = [
+    ("agpl", r"your modified version must prominently offer all users interacting with it remotely",
+     "prominently interacting remotely", 0.95),
+    ("lgpl", r"this library is free software you can redistribute it and or modify it under the "
+     r"terms of the gnu (?:lesser|library) general public licen[cs]e", "library redistribute gnu", 0.95),
+    ("lgpl", r"contains no derivative of any portion of the library but is designed to work with the "
+     r"library", "derivative library", 0.9),
+    ("gpl", r"is free software you can redistribute it and or modify it under the terms of the gnu "
+     r"general public licen[cs]e", "redistribute gnu", 0.95),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e", "received gnu", 0.95),
+    ("gpl", r"designed to take away your freedom to share and change", "freedom share", 0.9),
+    ("gpl", r"when we speak of free software we are referring to freedom not price",
+     "referring freedom price", 0.9),
+    ("gpl-2", r"copy and distribute verbatim copies of the program s source code", "verbatim program", 0.9),
+    ("gpl-3", r"no covered work shall be deemed part of an effective technological measure",
+     "technological measure", 0.95),
+    ("gpl-3", r"to propagate a work means to do anything with it", "propagate", 0.9),
+    ("gnu", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document",
+     "verbatim permitted", 0.9),
+    ("gfdl", r"copy distribute and or modify this document under the terms of the gnu free documentation",
+     "gnu documentation", 0.95),
+    ("gfdl", r"no invariant sections no front cover texts", "invariant cover", 0.95),
+    ("apache-2.0", r"software distributed under the licen[cs]e is distributed on an as is basis",
+     "distributed basis", 0.9),
+    ("apache-2.0", r"you may not use this file except in compliance with the licen[cs]e",
+     "file except compliance", 0.9),
+    ("apache-2.0", r"grants to you a perpetual worldwide non exclusive no charge royalty free "
+     r"irrevocable (?:copyright|patent)?", "perpetual irrevocable", 0.9),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation",
+     "includes apache", 0.9),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public licen[cs]e",
+     "form mozilla", 0.95),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file", "mpl distributed", 0.95),
+    ("mpl-1.1", r"contents of this file are subject to the mozilla public licen[cs]e version 1 1",
+     "contents mozilla", 0.95),
+    ("epl", r"program is provided under the terms of this eclipse public licen[cs]e",
+     "eclipse provided", 0.95),
+    ("epl", r"constitutes recipient s acceptance of this agreement", "recipient acceptance", 0.8),
+    ("cddl", r"subject to the terms of the common development and distribution licen[cs]e",
+     "development distribution subject", 0.95),
+    ("bsd", r"redistributions of source code must retain the above copyright notice",
+     "redistributions retain", 0.9),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice",
+     "redistributions reproduce", 0.9),
+    ("bsd-3", r"neither the name of (?:\S+ ){1,14}may be used to endorse or promote products",
+     "neither endorse promote", 0.95),
+    ("bsd-4", r"all advertising materials mentioning features or use of this software",
+     "advertising mentioning", 0.95),
+    ("warranty", r"in no event shall (?:\S+ ){1,16}be liable for any", "event liable", 0.6),
+    ("warranty", r"implied warranties of merchantability", "merchantability", 0.6),
+    ("mit", r"this permission notice shall be included in all copies or substantial portions",
+     "permission substantial portions", 0.95),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied",
+     "software provided warranty express", 0.85),
+    ("x11", r"except as contained in this notice the names? of (?:\S+ ){1,10}shall not be used",
+     "contained notice shall", 0.9),
+    ("isc", r"permission to use copy modify and distribute this software (?:\S+ ){0,4}for any purpose "
+     r"with or without fee", "permission purpose fee", 0.95),
+    ("zlib", r"the origin of this (?:software|source code) must not be misrepresented",
+     "origin misrepresented", 0.95),
+    ("zlib", r"altered source versions must be plainly marked as such", "altered plainly", 0.95),
+    ("bsl", r"any person or organization obtaining a copy of the software and accompanying "
+     r"documentation covered by this licen[cs]e", "organization accompanying", 0.95),
+    ("unlicense", r"this is free and unencumbered software released into the public domain",
+     "unencumbered", 0.95),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software",
+     "anyone publish compile sell", 0.95),
+    ("wtfpl", r"you just do what the fuck you want to", "just fuck", 0.95),
+    ("beerware", r"you think this stuff is worth it you can buy (?:me|us) a beer", "worth beer", 0.95),
+    ("json", r"the software shall be used for good not evil", "good evil", 0.95),
+    ("cc", r"creative commons corporation is not a law firm", "creative commons corporation", 0.9),
+    ("cc", r"this (?:work|article|content|site|book|image) is licen[cs]ed under a creative commons",
+     "creative commons", 0.9),
+    ("cc", r"bound by the terms and conditions of this creative commons", "bound creative", 0.9),
+    ("cc", r"terms of this creative commons public licen[cs]e", "creative commons public", 0.9),
+    ("cc-by", r"open access article (?:\S+ ){0,6}under the terms of the creative commons attribution",
+     "open access attribution", 0.95),
+    ("cc0", r"to the extent possible under law (?:\S+ ){1,10}waived all copyright", "extent waived", 0.95),
+    ("cc0", r"no copyright this work has been identified as", "identified", 0.7),
+    ("ofl", r"this font software is licen[cs]ed under the sil open font", "font sil", 0.95),
+    ("ofl", r"cannot be released under any other type of licen[cs]e", "released type", 0.8),
+    ("artistic", r"state the conditions under which a package may be copied", "conditions package", 0.95),
+    ("ms-pl", r"if you use the software you accept this licen[cs]e", "accept software", 0.7),
+    ("sspl", r"make the functionality of the program (?:\S+ ){0,6}available to third parties as a service",
+     "functionality service", 0.95),
+    ("busl", r"right to copy modify create derivative works redistribute and make non production use",
+     "derivative production", 0.95),
+    ("elastic", r"may not provide the software to third parties as a hosted or managed service",
+     "hosted managed", 0.95),
+    ("commons-clause", r"does not grant to you the right to sell the software", "grant sell", 0.95),
+    ("polyform", r"polyform (?:noncommercial|small business|strict|shield|perimeter|internal use)",
+     "polyform", 0.95),
+    ("blueoak", r"blue oak model licen[cs]e", "blue oak", 0.95),
+    ("openrail", r"you agree not to use the model or derivatives of the model", "model derivatives", 0.95),
+    ("llama", r"llama (?:\d )*community licen[cs]e agreement", "llama community", 0.95),
+    ("odbl", r"database is made available under the open database licen[cs]e", "database available", 0.95),
+    ("psf", r"psf hereby grants licensee a nonexclusive royalty free", "psf licensee", 0.95),
+    ("openssl", r"includes software developed by the openssl project", "openssl developed", 0.95),
+    ("ijg", r"based in part on the work of the independent jpeg group", "independent jpeg", 0.95),
+    ("unicode", r"obtaining a copy of (?:the )?(?:unicode )?data files", "unicode files", 0.9),
+    ("ogl", r"contains public sector information licen[cs]ed under the open government",
+     "sector government", 0.95),
+    ("ogl", r"open government licen[cs]e(?: v?\d(?: \d)?)?", "open government", 0.85),
+    ("crown", r"crown copyright", "crown copyright", 0.8),
+    ("eula", r"end user licen[cs]e agreement", "end user agreement", 0.9),
+    ("eula", r"(?:installing|copying|downloading|using) (?:\S+ ){0,8}you agree to be bound by",
+     "agree bound", 0.8),
+    ("eula", r"reverse engineer decompile or disassemble", "reverse decompile", 0.9),
+    ("eula", r"the software is licen[cs]ed not sold", "software sold", 0.9),
+    ("eula", r"you may not (?:sell )?rent lease (?:or )?(?:lend|loan|sublicense)", "rent lease", 0.85),
+    ("proprietary", r"confidential and proprietary information", "confidential information", 0.8),
+    ("proprietary", r"contains (?:valuable )?trade secrets", "trade secrets", 0.8),
+    ("proprietary", r"for internal use only", "internal", 0.5),
+    ("reserved", r"no part of this (?:publication|book|work|document|site) may be reproduced",
+     "part reproduced", 0.9),
+    ("reserved", r"stored in a retrieval system or transmitted in any form or by any means",
+     "retrieval transmitted", 0.9),
+    ("reserved", r"without (?:the )?(?:express )?(?:prior )?written (?:permission|consent) of",
+     "without written", 0.7),
+    ("noncommercial", r"for (?:personal|private|educational)(?: and| or)? non ?commercial use(?: only)?",
+     "use", 0.7),
+    ("permission", r"(?:used|reprinted|reproduced) (?:by|with) (?:kind )?permission", "permission", 0.6),
+]
+
+
 @dataclass(frozen=True)
 class Rule:
     """A signature; ``priority`` is its place in the order, the first one the highest."""
@@ -150,7 +276,7 @@ def default_rules() -> list[Rule]:
                     f"{label}-{version.replace(' ', '.')}",
                     f"{pattern}(?: version)? v?{version[:-2]}", keywords, weight))
             plain.append(_rule(label, pattern, keywords, weight))
-    notices = [_rule(*n) for n in NOTICES]
+    notices = [_rule(*n) for n in BODIES + NOTICES]
     base = [_rule(label, phrase, phrase, 0.5, True) for phrase, label in BASE_PHRASES.items()]
     return versioned + notices + plain + base
 
@@ -211,15 +337,10 @@ class Scanner:
 
     @staticmethod
     def _resolved(hits: list) -> list:
-        """Hits by place, without those that lie inside a longer one, or in an equal one or
-        across the border of one of a higher priority."""
-        outer = []
-        for hit in sorted(hits, key=lambda h: (h[0], -h[1], h[2])):
-            # Earlier hits start no later; one that ends no sooner contains this one.
-            if not outer or hit[1] > outer[-1][1]:
-                outer.append(hit)
+        """Hits by place: in the order of their priority, and longer ones first, each hit is
+        shown that neither lies in, contains nor crosses one shown before it."""
         shown: list = []
-        for hit in sorted(outer, key=lambda h: (h[2], h[0])):
+        for hit in sorted(hits, key=lambda h: (h[2], h[0] - h[1], h[0])):
             at = bisect_left(shown, hit)
             if (at == 0 or shown[at - 1][1] <= hit[0]) and (
                     at == len(shown) or shown[at][0] >= hit[1]):

@@ -170,6 +170,53 @@ def test_contained_detections_are_suppressed():
     assert ungated.scan("a Foo, baz")["labels"] == "own"
 
 
+def test_priority_against_brute_force():
+    """Of random rules, exactly those hits are shown that no better shown one overlaps."""
+    draw = random.Random(12)
+    names = "one two three four five".split()
+    for _ in range(300):
+        rules = []
+        for i in range(draw.randint(1, 6)):
+            phrase = " ".join(draw.choices(names, k=draw.randint(1, 3)))
+            rules.append(licenses._rule(f"r{i}", phrase, phrase, 0.5))
+        text = " ".join(draw.choices(names, k=12))
+        hits = []
+        for i, rule in enumerate(rules):
+            words, phrase = text.split(), rule.pattern.pattern.decode()[6:-5].split()
+            at = 0
+            while at + len(phrase) <= len(words):
+                if words[at : at + len(phrase)] == phrase:
+                    hits.append((i, at, at + len(phrase)))
+                    at += len(phrase)
+                else:
+                    at += 1
+        shown = []
+        for hit in sorted(hits, key=lambda h: (h[0], h[1])):
+            if all(hit[2] <= s[1] or hit[1] >= s[2] for s in shown):
+                shown.append(hit)
+        found = licenses.Scanner(rules).scan(text)["detections"]
+        assert [(d["label"], d["first"], d["last"]) for d in found] == [
+            (f"r{i}", a, b - 1) for i, a, b in sorted(shown, key=lambda h: h[1])]
+
+
+BODIES = {
+    "gpl": "This program is free software; you can redistribute it and/or modify it under the terms "
+           "of the GNU General Public License as published by the Free Software Foundation",
+    "apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed "
+                  'under the License is distributed on an "AS IS" BASIS',
+    "bsd-3": "Neither the name of the copyright holder nor the names of its contributors may be used "
+             "to endorse or promote products derived from this software",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "zlib": "The origin of this software must not be misrepresented; you must not claim",
+    "eula": "You may not reverse engineer, decompile, or disassemble the Software",
+}
+
+
+@pytest.mark.parametrize("label", BODIES)
+def test_license_bodies(label):
+    assert label in licenses.Scanner().scan(f"Preface. {BODIES[label]}.")["labels"].split(",")
+
+
 def library_counts(texts):
     sentencepiece = pytest.importorskip("sentencepiece")
     model = sentencepiece.SentencePieceProcessor(model_file=queries.token_model())
@@ -265,6 +312,115 @@ def test_broken_pages(page):
     assert isinstance(html_main.main_text(page), str)
 
 
+LONG = "The long article goes on for many words, as articles do. It has a second sentence."
+COMMENTS = ('<div class="comments"><article class="comment"><p>I liked this one a lot, it was '
+            'very good. Thanks for it all.</p></article></div>')
+SIDE = ('<nav><a href=x>Home</a></nav><div class="sidebar"><p>Some other sentence that is here '
+        'for you to read now.</p></div>')
+
+
+@pytest.mark.parametrize("wrapper", [
+    '<article class="post comment-status-open">%s</article>',
+    '<div class="content-sidebar-wrap"><article>%s</article></div>',
+    '<div class="site-content no-sidebar"><article>%s</article></div>',
+    '<article class="post has-share-buttons">%s</article>',
+    '<div class="entry-content related-posts-enabled">%s</div>',
+    '<article><div class="entry-content related-posts-enabled">%s</div></article>',
+    '<div class="search-results"><article>%s</article></div>',
+    "<div><p title='a > b'>" + LONG + "</p>%s</div>",
+])
+def test_names_of_wrappers_delete_no_article(wrapper):
+    body = f"<p>{LONG}</p>" * 4
+    want = [LONG] * (5 if "title" in wrapper else 4)
+    assert html_main.main_text(f"<body>{wrapper % body}</body>").split("\n") == want
+    article_only = html_main.main_text(f"<body>{wrapper % body}{COMMENTS}</body>").split("\n")
+    assert article_only == want
+    if "<article" in wrapper:
+        page = f"<body>{SIDE}{wrapper % body}{COMMENTS}</body>"
+        assert html_main.main_text(page).split("\n") == want
+
+
+def test_quotes_of_both_kinds_and_broken_tags():
+    text = html_main.main_text
+    page = (f"<article><p title='a > b' data-x=\"it's < 5\">{LONG}</p><p class=x' >{LONG}</p>"
+            f"<svg><p>{LONG}</p><p class=\"open>{LONG}</p></article>")
+    assert text(page).split("\n") == [LONG] * 4
+    assert text(f"<article><p>{LONG}</p><p>a <b c 5 > 4, and 3 < 4 </p></article>").endswith("3 < 4")
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<a ", '<p class="', "<svg>", "<!a", "<x '", '<a "<',
+                                   "<a x='>", "</p><div></q>"])
+def test_parsing_is_linear(piece):
+    import time
+
+    def seconds(n):
+        start = time.process_time()
+        html_main.main_text(piece * n)
+        return time.process_time() - start
+
+    seconds(2_000)
+    assert seconds(40_000) < 30 * max(seconds(4_000), 0.005)
+
+
+def mixed_pages(seed, count=150):
+    """Pages whose short or odd blocks are told apart by where they stand, with the truth."""
+    draw = random.Random(seed)
+
+    def sentence(low, high):
+        words = ["".join(draw.choices("abcdeion", k=draw.randint(2, 8)))
+                 for _ in range(draw.randint(low, high))]
+        return " ".join(words).capitalize()
+
+    for _ in range(count):
+        parts, truth = [], []
+
+        def put(html_text, text, content):
+            parts.append(html_text)
+            truth.append((text, content))
+
+        def boilerplate():
+            for _ in range(draw.randint(4, 8)):
+                text = sentence(2, 4)
+                put(f"<li><a href='/x'>{text}</a></li>", text, False)
+                if draw.random() < 0.3:  # a teaser among the links
+                    text = sentence(12, 16) + "."
+                    put(f"<li>{text}</li>", text, False)
+
+        parts.append("<body><div><ul>")
+        boilerplate()
+        parts.append("</ul></div><div>")
+        for _ in range(draw.randint(4, 9)):
+            text = sentence(20, 60) + ". " + sentence(4, 9) + "."
+            put(f"<p>{text}</p>", text, True)
+            if draw.random() < 0.6:  # a short heading, a caption, a list of few words
+                text = sentence(1, 2)
+                put(draw.choice(["<h3>%s</h3>", "<figcaption>%s</figcaption>", "<div>%s</div>"]) % text,
+                    text, True)
+        parts.append("</div><div><ul>")
+        boilerplate()
+        parts.append("</ul></div></body>")
+        yield "".join(parts), truth
+
+
+def test_the_cut_decides_and_helps():
+    flipped, results = 0, []
+    for page, truth in mixed_pages(7):
+        blocks = html_main.blocks_of(page)
+        assert [b.text for b in blocks] == [t for t, _ in truth]
+        scores = [int(html_main.score(b) * html_main.SCALE) for b in blocks]
+        signs = [s > 0 for s in scores]
+        cut = html_main.minimum_cut(scores, html_main.edges_of(blocks))
+        flipped += sum(a != b for a, b in zip(signs, cut))
+        results += zip(signs, cut, [c for _, c in truth])
+
+    def f1(which):
+        hits = sum(r[which] and r[2] for r in results)
+        return 2 * hits / (sum(r[which] for r in results) + sum(r[2] for r in results))
+
+    assert flipped > 100
+    assert f1(1) > f1(0) + 0.05 and f1(1) > 0.9, (flipped, f1(0), f1(1))
+
+
 def test_pages_with_nulls(spark):
     rows = spark.createDataFrame([(None, None, None, 1), (1, "u", "", 2), (1, "u", "", 2)],
                                  "page_id long, url string, html string, text int")
