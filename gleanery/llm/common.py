@@ -60,6 +60,25 @@ def share_below(total: int, bound: int, *seeded: Column) -> Column:
 
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before each as it takes to be no column's."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    """One string for a row's id, which may be null, and the hash of its text."""
+    identity = F.when(F.col(doc_id).isNull(), "").otherwise(
+        F.concat(F.lit("="), F.col(doc_id).cast("string")))
+    return F.concat(F.xxhash64(F.coalesce(text, F.lit(""))).cast("string"), identity)
+
+
 HOT_ROWS = 2_000
 BROADCAST_KEYS = 20_000
 

@@ -1,9 +1,13 @@
-"""Connected components by alternating large and small stars."""
+"""Connected components by alternating large and small stars.
+
+A hub's least neighbour is found by partial minima and handed back in place where the hub
+has many links, so no task takes all links of a node.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept
+from gleanery.llm.common import attach, kept
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,7 +21,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     return (
-        both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        attach(both, least, ["u"]).where("v > u")
+        .select(F.col("v").alias("u"), F.col("m").alias("v"))
     )
 
 
@@ -26,7 +31,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        down.join(least, "u")
+        attach(down, least, ["u"])
         .select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                 F.col("m").alias("v"))
         .distinct()

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import kept
+from gleanery.llm.common import kept, row_key, unused
+from gleanery.operators.keys import broadcast_if_few
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -253,8 +254,8 @@ def _quotas(sizes: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
 
 def mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
           most: float = MOST, seed: int = SEED) -> DataFrame:
-    """``doc_id, text_hash, size, source_size, target, taken`` of rows that hold
-    ``doc_id, source, size, text_hash``. Every row is kept; ``taken`` is 0, or the size
+    """``doc_id, text_hash, row, size, source_size, target, taken`` of rows that hold
+    ``doc_id, source, size, text_hash, row``. Every row is kept; ``taken`` is 0, or the size
     once or more."""
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 33)
     rows = rows.withColumn("key", key)
@@ -287,15 +288,17 @@ def mixed(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
         "more", (F.row_number().over(inside) + F.col("before") <= F.col("quota")).cast("long"))
     plainly = placed.where("NOT (quota > 0 AND quota < n)").withColumn(
         "more", (F.col("quota") > 0).cast("long"))
-    columns = ["doc_id", "text_hash", "size", "source_size", "target",
+    columns = ["doc_id", "text_hash", "row", "size", "source_size", "target",
                (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken")]
     return partly.select(*columns).union(plainly.select(*columns))
 
 
-def _narrow(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+def _narrow(docs: DataFrame, doc_id: str, text: str, source: str,
+            row: Column | None = None) -> DataFrame:
     return kept(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
         words(text).alias("size"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"),
+        (F.lit(None).cast("string") if row is None else row).alias("row"),
     ))
 
 
@@ -307,25 +310,35 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     A null source is a source of its own, the last. The same rows and seed give the same
     result; rows alike in id, source and text are interchangeable.
     """
-    return mixed(_narrow(docs, doc_id, text, source), weights, share, most, seed).drop("text_hash")
+    rows = _narrow(docs, doc_id, text, source)
+    return mixed(rows, weights, share, most, seed).drop("text_hash", "row")
 
 
 def take_mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
              weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
              seed: int = SEED) -> DataFrame:
-    """The documents the mix takes, with all columns and ``copies``, how often.
+    """The documents the mix takes, with all columns and ``copies``, how often; a column
+    ``copies`` of the caller's is replaced.
 
-    Rows alike in id and text come out as one, with their copies added.
+    Rows alike in id and text come out as one, with their copies added. Decisions on few
+    rows are broadcast, so texts are not shuffled; many are joined.
     """
-    keys = ["_gl_id", "_gl_text"]
-    rows = _narrow(docs, doc_id, text, source)
-    decided = (
+    rows = _narrow(docs, doc_id, text, source, row_key(doc_id, text))
+    decided = kept(
         mixed(rows, weights, share, most, seed).where("taken > 0")
-        .groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_text"))
+        .groupBy("row")
         .agg(F.sum(F.col("taken") / F.col("size")).cast("long").alias("copies"))
     )
-    wide = docs.drop("copies").select(
-        "*", F.col(doc_id).alias(keys[0]),
-        F.xxhash64(F.coalesce(text, F.lit(""))).alias(keys[1]))
-    met = F.col(keys[0]).eqNullSafe(F.col("k_id")) & (F.col(keys[1]) == F.col("k_text"))
-    return wide.join(decided, met).dropDuplicates(keys).drop(*keys, "k_id", "k_text")
+    wide = docs.drop("copies")
+    key, met = unused(wide, "row", "met")
+    decided = decided.withColumnRenamed("row", met)
+    joined = wide.withColumn(key, row_key(doc_id, text)).join(
+        broadcast_if_few(decided), F.col(key) == F.col(met))
+    repeated = kept(rows.groupBy("row").count().where("count > 1").select(
+        F.col("row").alias(met)))
+    if not repeated.isEmpty():
+        again = broadcast_if_few(repeated)
+        alike = joined.drop(met).join(again, F.col(key) == F.col(met), "left_semi")
+        joined = joined.drop(met).join(again, F.col(key) == F.col(met), "left_anti").unionByName(
+            alike.dropDuplicates([key]))
+    return joined.select(*wide.columns, "copies")

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from gleanery.llm.common import kept, spaced_words
+from gleanery.llm.common import attach, kept, row_key, spaced_words, unused
 from gleanery.llm.components import components
+from gleanery.operators.keys import broadcast_if_few
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -173,12 +174,11 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     ``prints`` has ``fp`` and ``least`` (the smallest id that has the fingerprint).
     """
-    linked = components(fingerprint_links(prints, radius))
-    rooted = prints.join(linked, prints.fp == linked.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
-    )
+    linked = components(fingerprint_links(prints, radius)).withColumnRenamed("node", "fp")
+    rooted = kept(prints.join(linked, "fp", "left").select(
+        "fp", "least", F.coalesce("component", "fp").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id")
+    return attach(rooted, kept(ids), ["root"]).select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -191,8 +191,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = kept(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(text).alias("fp")))
     prints = kept(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    groups = near_groups(prints, radius)
-    return marked.join(groups, "fp").select(
+    groups = kept(near_groups(prints, radius))
+    return attach(marked, groups, ["fp"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -201,22 +201,26 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
                          radius: int = RADIUS) -> DataFrame:
     """The documents with one of each group: the least id, then the least text hash.
 
-    All columns stay. Null ids come after others; of repeated rows one stays.
+    All columns stay, whatever their names. Null ids come after others; of rows alike in id
+    and text one stays. Keys of few rows to leave out are broadcast, so texts are not
+    shuffled; many are joined.
     """
-    keys = ["_gl_id", "_gl_text"]
-    identity = [F.col(doc_id).alias(keys[0]), F.xxhash64(F.coalesce(text, F.lit(""))).alias(keys[1])]
-    marked = kept(docs.select(*identity, fingerprint(text).alias("fp")))
-    prints = kept(marked.groupBy("fp").agg(F.min(keys[0]).alias("least")))
-    linked = components(fingerprint_links(prints, radius))
-    first = (
-        marked.groupBy("fp").agg(F.min(F.struct(F.col(keys[0]).isNull(), *keys)).alias("first"))
-        .join(linked, F.col("fp") == F.col("node"), "left")
-        .groupBy(F.coalesce("component", "fp").alias("root"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col(f"first.{keys[0]}").alias("_gl_kept_id"),
-                F.col(f"first.{keys[1]}").alias("_gl_kept_text"))
-    )
-    wide = docs.select("*", *identity)
-    same = F.col(keys[0]).eqNullSafe(F.col("_gl_kept_id")) & (
-        F.col(keys[1]) == F.col("_gl_kept_text"))
-    return wide.join(first, same, "left_semi").dropDuplicates(keys).drop(*keys)
+    key = row_key(doc_id, text)
+    marked = kept(docs.select(
+        F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text"),
+        key.alias("key"), fingerprint(text).alias("fp")))
+    order = F.struct(F.col("id").isNull(), "id", "text", "key")
+    prints = kept(marked.groupBy("fp").agg(F.min(order).alias("least")))
+    first = near_groups(prints, radius).select("fp", F.col("component_id.key").alias("first"))
+    keys = marked.groupBy("fp", "key").agg(F.count(F.lit(1)).alias("rows"))
+    grouped = kept(attach(kept(keys), kept(first), ["fp"]))
+    gone = broadcast_if_few(kept(grouped.where("key <> first").select(F.col("key").alias("gone"))))
+    twice = kept(grouped.where("key = first AND rows > 1").select(F.col("key").alias("twice")))
+    left = docs.join(gone, key == F.col("gone"), "left_anti")
+    if twice.isEmpty():
+        return left
+    alike = key == F.col("twice")
+    [name] = unused(docs, "key")
+    once = left.join(broadcast_if_few(twice), alike, "left_semi").withColumn(name, key)
+    return left.join(broadcast_if_few(twice), alike, "left_anti").unionByName(
+        once.dropDuplicates([name]).drop(name))

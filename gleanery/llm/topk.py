@@ -188,7 +188,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     Scores are inner products of components in units of 1/1024, rounded down; ties go to
     the smaller id. A vector is no candidate of a query of the same id or of another
     length. Vectors that are null or hold null or non-finite components, and rows without
-    an id, take no part. Scores beyond 64 bits come out as the nearest that fits.
+    an id, take no part. Scores beyond 64 bits come out as the nearest that fits. Query rows
+    of one id ask once, with the least of their vectors; a repeated row of ``vectors`` is as
+    many candidates.
     """
 
     def rows(df: DataFrame) -> DataFrame:
@@ -200,7 +202,8 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     spark = vectors.sparkSession
     candidates = rows(vectors)
     results = []
-    for block in _blocks_of(rows(queries), block_bytes):
+    asked = rows(queries).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    for block in _blocks_of(asked, block_bytes):
         parts = {}
         for batch in block.combine_chunks().to_batches():
             for ids, matrix in _by_length(batch.column(0), batch.column(1)):

@@ -1,10 +1,11 @@
 """Classifiers on held-out rows and on made-up cases, and the pipeline against its parts."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
-import zlib
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleanery.llm import decontam, quality, queries, simhash, toxicity
@@ -126,6 +127,14 @@ def test_pipeline_against_its_parts(spark):
 
 
 def test_stages_keep_the_columns(spark):
-    docs = queries.table(spark, SF_DIR, "documents").selectExpr("*", "1 AS score", "'x' AS fp", "2 AS u")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF_DIR).columns == docs.columns
+    """Columns whose names the stages use themselves stay as they are, the last adds copies."""
+    names = ["score", "fp", "u", "key", "k_id", "k_text", "_gl_id", "row", "first", "gone", "met"]
+    docs = queries.table(spark, SF_DIR, "documents").select(
+        "*", *[F.lit(n).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        wanted = docs.columns + (["copies"] if name == "mixing" else [])
+        found = stage(spark, docs, SF_DIR)
+        assert found.columns == wanted
+        assert found.where(" OR ".join(f"{n} <> '{n}'" for n in names)).isEmpty()
+        empty = stage(spark, docs.where("false"), SF_DIR)
+        assert empty.columns == wanted and empty.collect() == []

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanery.llm import components, decontam, minhash, mixing, queries, simhash, topk
+from gleanery.llm import components, decontam, mixing, queries, simhash, topk
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, fp string, copies int"
@@ -123,44 +123,47 @@ def test_no_documents(spark):
     assert mixing.take_mix(none).collect() == []
 
 
-def five_words(text):
-    words = text.lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-
-
-def test_pipeline_drops_near_copies(spark, monkeypatch):
-    """Copies of similarity 0.8 and more go, others stay, also where a bucket has many tiles."""
-    monkeypatch.setattr(minhash, "TILE_ROWS", 3)
+def test_hot_groups_and_clashing_names(spark):
+    """Large groups of copies, hubs of links and columns that operators use themselves."""
     draw = random.Random(4)
-    texts = {}
-    for _ in range(40):
-        words = [f"w{draw.randrange(4000)}" for _ in range(300)]
-        for copy in range(8):
-            changed = list(words)
-            for _ in range(copy * 2):
-                changed[draw.randrange(300)] = "other"
-            texts[len(texts)] = " ".join(changed)
-    texts |= {len(texts) + i: t for i, t in enumerate(["", " ", "one two", "One  two", "two one"])}
-    sets = {i: five_words(t) for i, t in texts.items()}
-    label = {i: i for i in texts}
-    pairs = 0
-    for i, j in itertools.combinations(texts, 2):
-        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and label[i] != label[j]:
-            pairs += len(sets[i] & sets[j]) < len(sets[i] | sets[j])
-            low, high = sorted((label[i], label[j]))
-            label = {k: low if v == high else v for k, v in label.items()}
-    assert pairs > 100
-    rows = [(i, t, "s") for i, t in texts.items()]
-    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
-    left = sorted(r.doc_id for r in stage(spark, docs(spark, rows), SF_DIR).collect())
-    assert left == sorted(set(label.values()))
-    assert len(simhash.drop_near_duplicates(docs(spark, rows)).collect()) > len(left)
-    assert stage(spark, docs(spark, []), SF_DIR).collect() == []
+    words = [f"w{draw.randrange(4000)}" for _ in range(3000)]
+    texts = [" ".join(words)] * 2500
+    texts += [" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(0, 3000, 300)]
+    texts += ["", " ", "one two", "One  two", "two one", "x" * 50_000]
+    rows = [(i, t, "s", 1, "k", 2, 3.0) for i, t in [*enumerate(texts), *[(7, texts[7])] * 3]]
+    frame = spark.createDataFrame(
+        rows, "doc_id long, text string, source string, copies int, key string, row long, u double")
+    prints = [simhash.simhash(t) & (2**64 - 1) for t in texts]
+    wanted = slow_groups(sorted(set(prints)), 2)
+    group = dict(zip(sorted(set(prints)), wanted))
+    first = {}
+    for i, fp in enumerate(prints):
+        first.setdefault(group[fp], i)
+    left = simhash.drop_near_duplicates(frame)
+    assert left.columns == frame.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(first.values())
+    taken = mixing.take_mix(frame)
+    assert sorted(taken.columns) == sorted(frame.columns)
+    found = {r.doc_id: r.copies for r in taken.collect()}
+    sizes = {r.doc_id: r.taken // max(r["size"], 1) for r in
+             mixing.mix(frame).where("taken > 0 AND doc_id <> 7").collect()}
+    assert {i: n for i, n in found.items() if i != 7} == sizes
+    assert taken.count() == len(found)
 
 
 # Exact search
 
 
+def test_repeated_query_rows_ask_once(spark):
+    rows = [(i, [float(i % 7), float(i % 5)]) for i in range(30)] + [(3, [1.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(3, [3.0, 3.0]), (3, [1.0, 1.0]), (3, [3.0, 3.0])], vectors.schema)
+    once = spark.createDataFrame([(3, [1.0, 1.0])], vectors.schema)
+    found = topk.exact_topk(vectors, asked, 4).orderBy("rank").collect()
+    assert found == topk.exact_topk(vectors, once, 4).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == [1, 2, 3, 4] and len({r.vec_id for r in found}) == 4
+
+
 def slow_topk(vectors, queries_, k):
     found = []
     for q, x in queries_:
