@@ -36,9 +36,9 @@ SELECTIVITY = 10  # a cut at one of 2 ** SELECTIVITY places
 SHORTEST = 256
 EDGE = 12  # words at a chunk's start that stay apart
 RIM = 160  # code points at its end whose words do
-WORDS_KEPT = 300_000  # words whose tokens a task remembers
+WORDS_KEPT = 160_000  # words whose tokens a task remembers
 SHARED_BYTES = 64 << 20  # of encoded chunks that are broadcast; beyond it they are joined
-BATCH_CHARS = 32 << 20  # of results that a task hands on at a time
+BATCH_CHARS = 8 << 20  # of results that a task hands on at a time
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
@@ -412,7 +412,7 @@ def _in_table(table):
         if hash not in places:
             return None
         row = table.value.slice(places[hash], 1)
-        if len(unpacked) > 2000:
+        if len(unpacked) > 500:
             unpacked.clear()
         unpacked[hash] = unpack(code, *[row[c][0].as_py() for c in ("starts", "counts", "ids")])
         return unpacked[hash]
