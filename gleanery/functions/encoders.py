@@ -78,7 +78,8 @@ def hash_candidate(name: str, dimension: int) -> Candidate:
 
 @dataclass(frozen=True)
 class CheckedFactory:
-    """An encoder that gets ``ENCODER_ROWS`` texts at a time and must keep to its width."""
+    """An encoder that gets ``ENCODER_ROWS`` texts at a time, must keep to its width and give
+    finite numbers."""
 
     candidate: Candidate
 
@@ -92,6 +93,8 @@ class CheckedFactory:
                 vectors = np.asarray(encoder(some), dtype=np.float32)
                 if vectors.shape != (len(some), width):
                     raise ValueError(f"{name} gave {vectors.shape}, not {width} wide")
+                if not np.isfinite(vectors).all():
+                    raise ValueError(f"{name} gave a component that is not finite")
                 parts.append(vectors)
             return np.concatenate(parts)
 

@@ -13,9 +13,10 @@ def hit_rate(rank: Column, k: int) -> Column:
     return F.avg(F.when(rank <= k, 1.0).otherwise(0.0))
 
 
-def mean_reciprocal_rank(rank: Column, k: int) -> Column:
-    """Mean of 1/rank, counting only ranks within k."""
-    return F.avg(F.when(rank <= k, 1.0 / rank).otherwise(0.0))
+def mean_reciprocal_rank(rank: Column, k: int | None = None) -> Column:
+    """Mean of 1/rank, counting only ranks within k, if it is given."""
+    counts = rank.isNotNull() if k is None else rank <= k
+    return F.avg(F.when(counts, 1.0 / rank).otherwise(0.0))
 
 
 def metric_columns(rank: Column, k_values: Sequence[int]) -> list[Column]:

@@ -43,17 +43,20 @@ class TopK:
         self.ids: np.ndarray | None = None
 
     def offer(self, similarity: np.ndarray, ids: np.ndarray) -> None:
-        """Take in a (rows x questions) block of similarities and the ids of its rows."""
+        """Take in a (rows x questions) block of similarities and the ids of its rows.
+
+        NaN and minus infinity mark what is no candidate.
+        """
         rows = len(ids)
         if rows == 0 or self.questions == 0:
             return
         similarity = np.round(similarity, DECIMALS)
+        similarity[np.isnan(similarity)] = -np.inf
         floor = self.floor
         if rows > self.k:
             floor = np.maximum(
                 floor, np.partition(similarity, rows - self.k, axis=0)[rows - self.k]
             )
-        # Minus infinity marks what is no candidate.
         hit_rows, hit_questions = np.nonzero((similarity >= floor) & (similarity > -np.inf))
         question = np.concatenate([self.question, hit_questions])
         score = np.concatenate([self.similarity, similarity[hit_rows, hit_questions]])

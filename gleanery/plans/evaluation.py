@@ -1,7 +1,9 @@
 """Evaluation of embedding candidates in one pass over the chunks, and of judge replies."""
 
+import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleanery import fixed_values as fixed
 from gleanery import schemas, session
@@ -18,7 +20,9 @@ from gleanery.functions.encoders import Candidate, checked, embed, unit_rows
 from gleanery.operators import judging, metrics, topk
 from gleanery.sources import tables
 
-QUESTION_TEXT_BYTES = 64 << 20
+QUESTION_BYTES = 64 << 20
+FAN_IN = 32
+COUNTS = "model string, ahead binary, error string"
 
 
 def evaluate_candidates(
@@ -26,18 +30,20 @@ def evaluate_candidates(
     chunks: DataFrame,
     candidates: Sequence[Candidate],
     k_values: Sequence[int] = tuple(fixed.K_VALUES),
-    question_bytes: int = QUESTION_TEXT_BYTES,
+    question_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
     """Metrics per candidate from ``questions (question_id, question, correct_chunk_id)``
     and ``chunks (chunk_id, chunk)``.
 
-    While the question vectors of all candidates fit ``question_bytes``, every
-    candidate encodes and ranks in the same pass over the chunk text and no chunk
-    vector leaves its task. Beyond that, the candidates are searched one after the
-    other. A candidate whose encoder fails in any task, or gives vectors of another width
-    than it states, is left out of the result; :func:`evaluate_with_failures` names it.
+    A question's rank is one more than the number of chunks ahead of its labelled one, so
+    tasks return a number per question, never chunks. Questions go in blocks of which text
+    and vectors fit ``question_bytes``; all candidates encode the chunk text in one pass per
+    block, and no chunk vector leaves its task. A candidate whose encoder fails in any task,
+    or gives vectors of another width than it states or that are not finite, is left out of
+    the result; :func:`evaluate_with_failures` names it.
     """
-    return evaluate_with_failures(questions, chunks, candidates, k_values, question_bytes)[0]
+    return evaluate_with_failures(questions, chunks, candidates, k_values, question_bytes)[0].drop(
+        "mrr")
 
 
 def evaluate_with_failures(
@@ -45,35 +51,26 @@ def evaluate_with_failures(
     chunks: DataFrame,
     candidates: Sequence[Candidate],
     k_values: Sequence[int] = tuple(fixed.K_VALUES),
-    question_bytes: int = QUESTION_TEXT_BYTES,
+    question_bytes: int = QUESTION_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
-    """:func:`evaluate_candidates`, and ``(model, error)`` of the candidates that failed."""
+    """:func:`evaluate_candidates` with the reciprocal rank over all chunks (``mrr``), and
+    ``(model, error)`` of the candidates that failed."""
     session.shared_root(questions.sparkSession)
     # Sampling questions reads the whole corpus, so their rows are kept once they exist.
     questions = questions.select("question_id", "question", "correct_chunk_id").checkpoint()
-    ranked = rank_candidates(questions, chunks, candidates, max(k_values), question_bytes)
+    ranked = label_ranks(questions, chunks, candidates, question_bytes)
+    failures = ranked.where(F.col("error").isNotNull()).groupBy("model").agg(
+        F.min("error").alias("error")).checkpoint()
     models = F.array(*[F.lit(c.name) for c in candidates])
-    labelled = questions.select(
-        "question_id", "correct_chunk_id", F.explode(models).alias("model")
-    )
-    per_question = (
-        ranked.join(questions.select("question_id", "correct_chunk_id"), "question_id")
-        .groupBy("model", "question_id")
-        .agg(
-            F.min(F.when(F.col("chunk_id") == F.col("correct_chunk_id"), F.col("rank"))).alias(
-                "rank"
-            ),
-            F.max("error").alias("error"),
-        )
-    )
+    labelled = questions.select("question_id", F.explode(models).alias("model"))
+    found = ranked.where(F.col("error").isNull()).select("model", "question_id", "rank")
     scored = (
-        labelled.join(per_question, ["model", "question_id"], "left")
+        labelled.join(found, ["model", "question_id"], "left")
         .groupBy("model")
-        .agg(*metrics.metric_columns(F.col("rank"), k_values), F.max("error").alias("error"))
-        .checkpoint()
+        .agg(*metrics.metric_columns(F.col("rank"), k_values),
+             metrics.mean_reciprocal_rank(F.col("rank")).alias("mrr"))
+        .join(F.broadcast(failures), "model", "left_anti")
     )
-    failures = scored.where(F.col("error").isNotNull()).select("model", "error")
-    scored = scored.where(F.col("error").isNull()).drop("error")
     described = F.create_map(
         *[
             part
@@ -93,141 +90,166 @@ def evaluate_with_failures(
     return described_scores, failures
 
 
-def rank_candidates(
+def label_ranks(
     questions: DataFrame,
     chunks: DataFrame,
     candidates: Sequence[Candidate],
-    k: int,
-    question_bytes: int = QUESTION_TEXT_BYTES,
+    question_bytes: int = QUESTION_BYTES,
 ) -> DataFrame:
-    """``(model, question_id, chunk_id, similarity, error, rank)`` for every candidate."""
-    asked = questions.select("question_id", "question")
+    """``(model, question_id, rank, error)``: the place of every question's labelled chunk
+    among all chunks, by similarity, then id; null where there is no such chunk. A failed
+    candidate has rows without a question that carry its error.
+    """
     text = chunks.select("chunk_id", "chunk")
-    size = asked.agg(
+    size = questions.agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.octet_length("question")), F.lit(0)).alias("text"),
     ).head()
-    vectors = size["n"] * 8 * sum(c.dimension for c in candidates)
-    if size["text"] + vectors <= question_bytes:
-        hits = _one_pass(asked, text, candidates, k)
-    else:
-        hits = _apart(asked, text, candidates, k)
-    return topk.rank_hits(hits, ["model", "question_id"], "chunk_id", k)
-
-
-def _hits_schema(asked: DataFrame, text: DataFrame) -> T.StructType:
-    return T.StructType([
-        T.StructField("model", T.StringType()),
-        T.StructField("question_id", asked.schema["question_id"].dataType),
-        T.StructField("chunk_id", text.schema["chunk_id"].dataType),
-        T.StructField("similarity", T.DoubleType()),
-        T.StructField("error", T.StringType()),
-    ])
+    width = 8 * sum(c.dimension + 2 for c in candidates)
+    blocks = max(1, math.ceil((size["text"] + size["n"] * width) / question_bytes))
+    parts = []
+    for b in range(blocks):
+        block = questions
+        if blocks > 1:
+            block = questions.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == b)
+            if block.isEmpty():
+                continue
+        parts.append(_block_ranks(block, text, candidates).checkpoint())
+    return reduce(DataFrame.unionByName, parts)
 
 
-def _one_pass(
-    asked: DataFrame, text: DataFrame, candidates: Sequence[Candidate], k: int
-) -> DataFrame:
-    """All candidates in one pass over the chunk text.
+@dataclass(frozen=True)
+class Asked:
+    """A candidate's question vectors, and its similarity of each to the labelled chunk (NaN
+    where there is none)."""
 
-    The questions are encoded once per candidate, on the executors, and their measured
-    vectors are broadcast; tasks encode chunks only.
-    """
-    schema = _hits_schema(asked, text)
-    wanted: dict[str, tuple] = {}
+    units: np.ndarray
+    label: np.ndarray
+
+    def ahead(self, vectors: np.ndarray, chunk_ids: np.ndarray, correct: np.ndarray) -> np.ndarray:
+        """How many of the chunks come before each question's labelled one."""
+        count = np.zeros(len(self.units), np.int64)
+        step = max(1, topk.SCORE_CELLS // max(1, len(self.units)))
+        for at in range(0, len(chunk_ids), step):
+            ids = chunk_ids[at : at + step]
+            similarity = np.round(
+                unit_rows(vectors[at : at + step]) @ self.units.T, topk.DECIMALS)
+            before = similarity > self.label
+            # The labelled chunk itself, and equals: their sums may differ in the last digit.
+            row, question = np.nonzero(np.abs(similarity - self.label) < 2 * 10.0 ** -topk.DECIMALS)
+            before[row, question] = ids[row] < correct[question]
+            count += before.sum(axis=0)
+        return count
+
+
+def _block_ranks(
+    block: DataFrame, text: DataFrame, candidates: Sequence[Candidate]
+) -> DataFrame:
+    """Ranks for a block of questions, whose vectors are broadcast, in one pass over the text."""
+    spark = block.sparkSession
+    kind = block.schema["question_id"].dataType
+    schema = T.StructType([
+        T.StructField("model", T.StringType()), T.StructField("question_id", kind),
+        T.StructField("rank", T.LongType()), T.StructField("error", T.StringType()),
+    ])
+    block = block.orderBy("question_id").checkpoint()
+    wanted = block.select(F.col("correct_chunk_id").alias("chunk_id")).distinct()
+    labels = text.join(F.broadcast(wanted), "chunk_id", "left_semi").checkpoint()
+    table = block.select("question_id", "correct_chunk_id").toArrow()
+    correct = table["correct_chunk_id"].to_numpy()
+    asked: dict[str, Asked] = {}
     failed = []
     for candidate in candidates:
         encode = embed(checked(candidate))
         try:
-            table = asked.select("question_id", encode("question").alias("v")).toArrow()
+            vectors = _encoded(block.select("question_id", encode("question").alias("v")), candidate)
+            known = labels.select("chunk_id", encode("chunk").alias("v")).toArrow()
         except PythonException as problem:  # the encoder's own error must not end the others
-            failed.append(_failed(asked, text, candidate, problem))
+            failed.append((candidate.name, None, None, _last_line(problem)))
             continue
-        vectors = topk.vector_matrix(table["v"].combine_chunks(), candidate.dimension)
-        ids = table["question_id"].combine_chunks()
-        wanted[candidate.name] = ids, unit_rows(vectors)
-    shared = asked.sparkSession.sparkContext.broadcast(wanted)
-    chosen = [c for c in candidates if c.name in wanted]
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[str, tuple] = {}
-        failed: dict[str, str] = {}
+        place = {c: i for i, c in enumerate(known["chunk_id"].to_pylist())}
+        there = np.array([c in place for c in correct], bool)
+        units, label = unit_rows(vectors), np.full(len(correct), np.nan)
+        if there.any():
+            rows = unit_rows(topk.vector_matrix(
+                known["v"].combine_chunks(), candidate.dimension))[[place[c] for c in correct[there]]]
+            label[there] = np.round(np.einsum("ij,ij->i", units[there], rows), topk.DECIMALS)
+        asked[candidate.name] = Asked(units, label)
+    shared = spark.sparkContext.broadcast((asked, correct))
+    chosen = [c for c in candidates if c.name in asked]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, correct = shared.value
+        encoders: dict[str, Callable] = {}
+        ahead = {c.name: np.zeros(len(correct), np.int64) for c in chosen}
+        errors: dict[str, str] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             chunk_ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1).to_pylist()
             for candidate in chosen:
-                ids, questions = shared.value[candidate.name]
-                if candidate.name in failed or not len(ids):
+                name = candidate.name
+                if name in errors:
                     continue
                 try:
-                    if candidate.name not in states:
-                        states[candidate.name] = checked(candidate)(), topk.TopK(len(ids), k)
-                    encode, best = states[candidate.name]
-                    vectors = encode(texts).astype(np.float64)
-                    topk.score_blocks(best, vectors, chunk_ids, questions)
+                    if name not in encoders:
+                        encoders[name] = checked(candidate)()
+                    vectors = encoders[name](texts).astype(np.float64)
+                    ahead[name] += asked[name].ahead(vectors, chunk_ids, correct)
                 except Exception as problem:  # reported in the result, for this candidate
-                    failed[candidate.name] = f"{type(problem).__name__}: {problem}"
-        for candidate in chosen:
-            name = candidate.name
-            ids, _ = shared.value[name]
-            if name in failed:
-                # Ranked above every hit, so that the error outlives the cut at k.
-                place = np.arange(len(ids))
-                found, similarity = [None] * len(place), np.full(len(place), np.inf)
-            elif name in states:
-                place, found, similarity = states[name][1].rows()
-            else:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([name] * len(place), pa.string()),
-                    ids.take(pa.array(place)),
-                    pa.array(found, to_arrow_type(schema["chunk_id"].dataType)),
-                    pa.array(similarity, pa.float64()),
-                    pa.array([failed.get(name)] * len(place), pa.string()),
-                ],
-                names=schema.names,
-            )
+                    errors[name] = f"{type(problem).__name__}: {problem}"
+        yield _counts([(n, ahead[n].tobytes(), errors.get(n)) for n in ahead])
 
-    return reduce(DataFrame.unionByName, failed, text.mapInArrow(search, schema))
+    counts = text.mapInArrow(count, COUNTS).repartition(FAN_IN).mapInArrow(_summed, COUNTS)
+    # FAN_IN rows per candidate are left, of one number per question each.
+    sums: dict[str, np.ndarray] = {}
+    for row in counts.toArrow().to_pylist():
+        if row["error"]:
+            failed.append((row["model"], None, None, row["error"]))
+        else:
+            sums[row["model"]] = sums.get(row["model"], 0) + np.frombuffer(row["ahead"], np.int64)
+    tables_ = [_no_ranks(schema)]
+    for name, state in asked.items():
+        there = ~np.isnan(state.label)
+        rank = 1 + sums.get(name, np.zeros(len(correct), np.int64))
+        n = len(correct)
+        tables_.append(pa.table(
+            [pa.array([name] * n, pa.string()), table["question_id"],
+             pa.array(rank, pa.int64(), mask=~there), pa.nulls(n, pa.string())],
+            schema=to_arrow_schema(schema)))
+    tables_.append(pa.Table.from_pylist(
+        [dict(zip(schema.names, row)) for row in failed], to_arrow_schema(schema)))
+    return spark.createDataFrame(pa.concat_tables(tables_), schema)
 
 
-def _apart(
-    asked: DataFrame, text: DataFrame, candidates: Sequence[Candidate], k: int
-) -> DataFrame:
-    """One search per candidate, each written to the shared folder before the next begins."""
-    parts = []
-    for candidate in candidates:
-        encode = embed(checked(candidate))
-        try:
-            hits = topk.cosine_topk(
-                asked.select("question_id", encode("question").alias("embedding")),
-                text.select("chunk_id", encode("chunk").alias("embedding")),
-                k,
-            )
-            none = F.lit(None).cast("string").alias("error")
-            part = hits.select(
-                F.lit(candidate.name).alias("model"), "question_id", "chunk_id", "similarity", none
-            ).checkpoint()
-        except PythonException as problem:  # the encoder's own error must not end the others
-            part = _failed(asked, text, candidate, problem)
-        parts.append(part)
-    return reduce(DataFrame.unionByName, parts)
+def _no_ranks(schema: T.StructType) -> pa.Table:
+    return to_arrow_schema(schema).empty_table()
 
 
-def _failed(
-    asked: DataFrame, text: DataFrame, candidate: Candidate, problem: PythonException
-) -> DataFrame:
-    """A row per question that carries the error of a candidate."""
-    return asked.select(
-        F.lit(candidate.name).alias("model"),
-        "question_id",
-        F.lit(None).cast(text.schema["chunk_id"].dataType).alias("chunk_id"),
-        F.lit(float("inf")).alias("similarity"),
-        F.lit(_last_line(problem)).alias("error"),
-    )
+def _encoded(rows: DataFrame, candidate: Candidate) -> np.ndarray:
+    return topk.vector_matrix(rows.toArrow()["v"].combine_chunks(), candidate.dimension)
+
+
+def _counts(rows: list[tuple]) -> pa.RecordBatch:
+    model, ahead, error = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(model, pa.string()), pa.array(ahead, pa.binary()), pa.array(error, pa.string())],
+        names=["model", "ahead", "error"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per model with the sum of its counts; one for its first error."""
+    sums: dict[str, np.ndarray] = {}
+    errors: dict[str, str] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["error"]:
+                errors.setdefault(row["model"], row["error"])
+            numbers = np.frombuffer(row["ahead"], np.int64)
+            sums[row["model"]] = sums.get(row["model"], 0) + numbers
+    yield _counts([(n, total.tobytes(), None) for n, total in sums.items()]
+                  + [(n, b"", e) for n, e in errors.items()])
 
 
 def _last_line(problem: PythonException) -> str:
@@ -269,7 +291,7 @@ def evaluate_embedding_tables(
     if failures is not None:
         tables.ensure_table(spark, failures, schemas.FAILURES)
         tables.append(failed.withColumn("evaluated_at", F.current_timestamp()), failures)
-    stamped = scored.withColumn("evaluated_at", F.current_timestamp()).checkpoint()
+    stamped = scored.drop("mrr").withColumn("evaluated_at", F.current_timestamp()).checkpoint()
     tables.ensure_table(spark, results, schemas.EMBEDDING_RESULTS)
     tables.append(stamped, results)
     return metrics.leaderboard(stamped)

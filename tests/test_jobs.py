@@ -177,7 +177,7 @@ def test_models_do_not_mix(spark, database):
         answering.answer_questions(spark, asked, index_name, terms, [one])
 
 
-@pytest.mark.parametrize("question_bytes", [1 << 20, 1])
+@pytest.mark.parametrize("question_bytes", [1 << 20, 2000])
 def test_failing_candidates_are_named(spark, question_bytes):
     questions = spark.createDataFrame(
         [(i, "a b", f"c{i % 2}") for i in range(3)],

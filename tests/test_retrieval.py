@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from gleanery.functions.encoders import Candidate, HashEncoder, embed, hash_cand
 from gleanery.operators import judging, metrics, sampling, topk
 from gleanery.plans.answering import grounded_prompts
 from gleanery.plans.embedding import embed_table
+from gleanery.plans import evaluation
 from gleanery.plans.evaluation import evaluate_candidates
 from gleanery.sources import tables
 from tests.conftest import values
@@ -172,11 +174,11 @@ def questions_and_chunks(spark):
     return questions, chunks
 
 
-def test_evaluation_one_pass_equals_apart(spark):
+def test_evaluation_in_one_block_equals_many(spark):
     questions, chunks = questions_and_chunks(spark)
     candidates = [hash_candidate("small", 4), hash_candidate("large", 512)]
     together = evaluate_candidates(questions, chunks, candidates)
-    apart = evaluate_candidates(questions, chunks, candidates, question_bytes=1)
+    apart = evaluate_candidates(questions, chunks, candidates, question_bytes=20_000)
     columns = ["model", "model_path", "embedding_dim", "num_eval_pairs", "hit_rate_at_5",
                "mrr_at_5", "hit_rate_at_10", "mrr_at_10"]
     rows = values(together, *columns)
@@ -187,6 +189,64 @@ def test_evaluation_one_pass_equals_apart(spark):
     assert dict((r[0], r[4]) for r in rows)["large"] > 0.8
 
 
+def test_ranks_of_labels_by_brute_force(spark):
+    """Ranks among all chunks, with equal chunks, unknown labels and questions without words."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(12)]
+    texts = {f"c{i:03}": " ".join(rng.choices(words, k=3)) for i in range(120)}
+    asked = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 4))),
+              rng.choice([*texts, "none", None])) for i in range(60)]
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, chunk string")
+    questions = spark.createDataFrame(
+        asked, "question_id int, question string, correct_chunk_id string")
+    candidate = hash_candidate("h", 8)
+    encoder = HashEncoder(8)
+    ids = sorted(texts)
+    stored = np.float32(encoder([texts[c] for c in ids])).astype(float)
+    stored = stored / np.maximum(np.linalg.norm(stored, axis=1, keepdims=True), 1e-30)
+    want = {}
+    for q, question, label in asked:
+        v = np.float32(encoder([question])).astype(float)[0]
+        similarity = np.round(stored @ (v / max(np.linalg.norm(v), 1e-30)), 8)
+        order = sorted(range(len(ids)), key=lambda i: (-similarity[i], ids[i]))
+        want[q] = [ids[i] for i in order].index(label) + 1 if label in texts else None
+    for size in (1 << 20, 3000):
+        got = evaluation.label_ranks(questions, chunks.repartition(5), [candidate], size)
+        assert {r["question_id"]: r["rank"] for r in got.collect()} == want
+    scores, failures = evaluation.evaluate_with_failures(questions, chunks, [candidate])
+    ranks = [r for r in want.values() if r]
+    assert failures.count() == 0
+    assert scores.head()["mrr"] == pytest.approx(sum(1 / r for r in ranks) / len(asked))
+
+
+@pytest.mark.parametrize("question_bytes", [1 << 20, 2000])
+def test_a_vector_that_is_not_finite_is_a_named_failure(spark, question_bytes):
+    def factory():
+        def encode(texts):
+            vectors = HashEncoder(8)(texts)
+            return np.where([["w58 " in t] for t in texts], np.nan, vectors)
+
+        return encode
+
+    questions, chunks = questions_and_chunks(spark)
+    both = [Candidate("bad", "p", 8, factory), hash_candidate("good", 8)]
+    scores, failures = evaluation.evaluate_with_failures(
+        questions, chunks, both, question_bytes=question_bytes)
+    assert values(scores, "model") == [("good",)]
+    ((name, error),) = values(failures, "model", "error")
+    assert name == "bad" and "not finite" in error
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_topk_passes_over_nan(size):
+    best = topk.TopK(1, 3)
+    similarity = np.array([[0.4], [np.nan], [0.9], [0.1], [0.5]])
+    ids = np.array([10, 11, 12, 13, 14])
+    for at in range(0, 5, size):
+        best.offer(similarity[at : at + size].copy(), ids[at : at + size])
+    assert list(best.rows()[1]) == [12, 14, 10]
+
+
 def test_failing_candidate_is_left_out(spark):
     def broken():
         def encode(texts):
@@ -199,7 +259,7 @@ def test_failing_candidate_is_left_out(spark):
     questions, chunks = questions_and_chunks(spark)
     both = [Candidate("bad", "p", 8, broken), hash_candidate("good", 8)]
     assert values(evaluate_candidates(questions, chunks, both), "model") == [("good",)]
-    apart = evaluate_candidates(questions, chunks, both, question_bytes=1)
+    apart = evaluate_candidates(questions, chunks, both, question_bytes=2000)
     assert values(apart, "model") == [("good",)]
     none = evaluate_candidates(questions, chunks, [Candidate("bad", "p", 8, broken)])
     assert none.count() == 0
