@@ -6,23 +6,24 @@ from pyspark.sql import functions as F
 from gleanery import fixed_values as fixed
 
 
-def parse_scores(reply: Column) -> Column:
-    """Struct of the criteria. A reply that is not one whole JSON object gives nulls, and so
-    does a score that is no number from 1 to 5."""
+def read_scores(reply: Column) -> Column:
+    """Struct of the criteria as a reply states them; null unless it is one whole JSON object."""
     fields = ", ".join(f"{c} double" for c in fixed.CRITERIA)
     whole = F.when(F.trim(reply).rlike(r"^\{[^{}]*\}$"), F.trim(reply))
-    read = F.from_json(whole, fields)
-    return F.struct(*[F.when(read[c].between(1, 5), read[c]).alias(c) for c in fixed.CRITERIA])
+    return F.from_json(whole, fields)
 
 
 def judge_scores(replies: DataFrame, by: str = "model", reply: str = "reply") -> DataFrame:
     """Average per criterion over the non-null scores, and the mean of those averages.
 
-    A model without any readable score has null averages and a composite of 0.
+    A score that is no number from 1 to 5 is null. A model without any readable score has
+    null averages and a composite of 0. Every reply is parsed once: the parsed struct is a
+    generated row, which no later expression takes apart again.
     """
-    scored = replies.select(by, parse_scores(F.col(reply)).alias("s"))
-    averages = scored.groupBy(by).agg(
-        *[F.avg(f"s.{c}").alias(f"avg_{c}") for c in fixed.CRITERIA]
+    read = replies.select(by, F.explode(F.array(read_scores(F.col(reply)))).alias("s"))
+    averages = read.groupBy(by).agg(
+        *[F.avg(F.when(F.col(f"s.{c}").between(1, 5), F.col(f"s.{c}"))).alias(f"avg_{c}")
+          for c in fixed.CRITERIA]
     )
     return averages.withColumn("composite_score", composite([f"avg_{c}" for c in fixed.CRITERIA]))
 

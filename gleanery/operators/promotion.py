@@ -25,7 +25,15 @@ def recent_results(
 
 
 def latest_batch(history: DataFrame, slot: Sequence[str] = ()) -> DataFrame:
-    """All rows that share the newest evaluation time (per slot)."""
+    """All rows that share the newest evaluation time (per slot).
+
+    Per slot the history is read once: tasks hand on only what is newest among their rows.
+    """
+    if slot:
+        place = Window.partitionBy(*slot).orderBy(F.desc("evaluated_at"))
+        ranked = history.where(F.col("evaluated_at").isNotNull()).withColumn(
+            "_place", F.rank().over(place))
+        return ranked.where(F.col("_place") == 1).drop("_place")
     newest = history.groupBy(*slot).agg(F.max("evaluated_at").alias("evaluated_at"))
     return history.join(newest, [*slot, "evaluated_at"], "left_semi")
 
