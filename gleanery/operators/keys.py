@@ -82,14 +82,17 @@ def new_per_key(
 def absent_rows(
     target: DataFrame, source: DataFrame, key: str, order: Sequence[Column] | None = None
 ) -> DataFrame:
-    """Source rows an insert-only merge would add.
+    """Source rows an insert-only merge adds: the new rows, one per key.
 
-    These are the new rows per key, and every row with a null key: a null matches
-    nothing, so a merge inserts it.
+    Rows without a key are rejected, :func:`keyless` has them: a null matches nothing, so
+    they would come in again with every run.
     """
-    return new_per_key(target, source, key, order).unionByName(
-        source.where(F.col(key).isNull())
-    )
+    return new_per_key(target, source, key, order)
+
+
+def keyless(source: DataFrame, key: str) -> DataFrame:
+    """Rows that a merge or a snapshot rejects, as they have no key."""
+    return source.where(F.col(key).isNull())
 
 
 def merge_insert_only(
@@ -148,11 +151,18 @@ def content_hash(df: DataFrame, key: str) -> DataFrame:
     """Key and a 64-bit digest of all other columns.
 
     Rows are hashed where they are read, so payloads (texts, vectors) are not joined.
+    """
+    return with_digest(df, key).select(key, F.col("_digest").alias("digest"))
+
+
+def with_digest(df: DataFrame, key: str) -> DataFrame:
+    """The rows with a 64-bit ``_digest`` of all columns but the key.
+
     The hash function passes over nulls, so null flags are hashed along; structs, maps and
     nested arrays are hashed as JSON that spells nulls out.
     """
     parts = []
-    for field in df.schema:
+    for field in sorted(df.schema, key=lambda f: f.name):
         if field.name == key:
             continue
         value, kind = F.col(field.name), field.dataType
@@ -163,21 +173,40 @@ def content_hash(df: DataFrame, key: str) -> DataFrame:
         parts += [value, value.isNull()]
         if inner is not None:
             parts.append(F.transform(field.name, lambda x: x.isNull()))
-    return df.select(key, F.xxhash64(*parts).alias("digest"))
+    return df.withColumn("_digest", F.xxhash64(*parts))
+
+
+def snapshot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """One row per key: the digest of the row that stands for it, the least, and how many rows
+    have the key. Rows without a key are left out."""
+    return content_hash(rows, key).where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min("digest").alias("digest"), F.count(F.lit(1)).alias("rows"))
+
+
+def rejected_rows(source: DataFrame, key: str) -> DataFrame:
+    """One row: how many source rows have no key, and how many repeat one (``repeated``)."""
+    keyed = F.col(key).isNotNull()
+    times = source.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    return times.agg(
+        F.coalesce(F.sum(F.when(~keyed, F.col("rows"))), F.lit(0)).alias("keyless"),
+        F.coalesce(F.sum(F.when(keyed, F.col("rows") - 1)), F.lit(0)).alias("repeated"))
 
 
 def snapshot_diff(index: DataFrame, source: DataFrame, key: str) -> DataFrame:
-    """Changes that bring ``index`` to ``source``: key and ``change`` (insert, update, delete)."""
-    old = content_hash(index.select(*source.columns), key).select(
-        F.col(key), F.col("digest").alias("old_digest"), F.lit(True).alias("in_index")
-    )
-    new = content_hash(source, key).select(
-        F.col(key), F.col("digest").alias("new_digest"), F.lit(True).alias("in_source")
+    """Changes that bring ``index`` to ``source``: key and ``change`` (insert, update, delete).
+
+    Source rows without a key are rejected, and of rows that share a key the one with the
+    least digest counts (:func:`rejected_rows` counts both), so a second run after the
+    changes finds none. A key that the index repeats is an update.
+    """
+    old = snapshot_keys(index.select(*source.columns), key).select(
+        F.col(key), F.col("digest").alias("old_digest"), F.col("rows").alias("old_rows")
     )
+    new = snapshot_keys(source, key).select(F.col(key), F.col("digest").alias("new_digest"))
     change = (
-        F.when(F.col("in_index").isNull(), "insert")
-        .when(F.col("in_source").isNull(), "delete")
-        .when(F.col("old_digest") != F.col("new_digest"), "update")
+        F.when(F.col("old_digest").isNull(), "insert")
+        .when(F.col("new_digest").isNull(), "delete")
+        .when((F.col("old_digest") != F.col("new_digest")) | (F.col("old_rows") > 1), "update")
     )
     return (
         old.join(new, key, "full_outer")
@@ -192,14 +221,16 @@ def apply_changes(
     """Index after the changes; payloads are fetched for changed keys only.
 
     The changed keys are written to the shared folder and counted: few ones are
-    broadcast, so neither table is shuffled for them.
+    broadcast, so neither table is shuffled for them. Index rows without a key go.
     """
     session.shared_root(changes.sparkSession)
     changes = changes.checkpoint()
     changed = broadcast_if_few(changes.select(key))
     written = broadcast_if_few(changes.where(F.col("change") != "delete").select(key))
-    kept = index.join(changed, key, "left_anti")
-    return kept.unionByName(source.join(written, key, "left_semi").select(*index.columns))
+    kept = index.where(F.col(key).isNotNull()).join(changed, key, "left_anti")
+    fresh = with_digest(source.join(written, key, "left_semi").select(*index.columns), key)
+    once = first_per_key(fresh, [key], [F.asc("_digest")]).drop("_digest")
+    return kept.unionByName(once)
 
 
 def split_by_dimension(

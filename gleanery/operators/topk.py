@@ -7,6 +7,7 @@ ranking is an ordinary window over those rows.
 """
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, reduce
@@ -23,21 +24,25 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gleanery import session
 from gleanery.functions.encoders import unit_rows
 from gleanery.functions.vectors import all_finite
+from gleanery.sources.tables import estimated_bytes
 
 # Similarities are compared after rounding, so equal vectors tie whatever the summation order.
 DECIMALS = 9
 QUESTION_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
+# Winners that the tasks of one pass may hand on. Beyond it a pass before finds a floor for
+# every question; the rows are the same either way.
+PASS_WINNERS = 50_000_000
 MAX_BUCKETS = 1 << 20
 
 
 class TopK:
     """Running k best (similarity descending, id ascending) for a block of questions."""
 
-    def __init__(self, questions: int, k: int):
+    def __init__(self, questions: int, k: int, floor: np.ndarray | None = None):
         self.k = k
         self.questions = questions
-        self.floor = np.full(questions, -np.inf)
+        self.floor = np.full(questions, -np.inf) if floor is None else floor.copy()
         self.question = np.empty(0, dtype=np.int64)
         self.similarity = np.empty(0)
         self.ids: np.ndarray | None = None
@@ -71,7 +76,8 @@ class TopK:
         self.question, order = question[keep], order[keep]
         self.similarity, self.ids = score[order], found[order]
         full = place[keep] == self.k - 1
-        self.floor[self.question[full]] = self.similarity[full]
+        at = self.question[full]
+        self.floor[at] = np.maximum(self.floor[at], self.similarity[full])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.empty(0, dtype=object) if self.ids is None else self.ids
@@ -113,6 +119,7 @@ def cosine_topk(
     vector: str = "embedding",
     block_bytes: int = QUESTION_BLOCK_BYTES,
     planes: "HashPlanes | None" = None,
+    pass_winners: int = PASS_WINNERS,
 ) -> DataFrame:
     """Exact top-k: ``(question_id, chunk_id, similarity, rank)``.
 
@@ -120,7 +127,10 @@ def cosine_topk(
     fit ``block_bytes`` are broadcast as a matrix, one after the other, and the corpus is
     read in place for each, with no shuffle of vectors. With several blocks the winners
     of each are written before the next one begins.
-    The corpus keeps the splits it is read in; a task hands on k rows per question. Ids are
+    The corpus keeps the splits it is read in; a task hands on k rows per question. Where
+    that would be more than ``pass_winners`` rows in all, a first pass takes the best row
+    of every task: the k-th best of those is a floor that k rows reach, and the second pass
+    hands on only rows that reach it, some k per question however many tasks there are. Ids are
     keys: one row per id on either side. Vectors that are null or hold a null, NaN or
     infinite component are left out, :func:`unusable` counts them. With ``planes`` only rows
     in a question's buckets are candidates, see :func:`approximate_topk`.
@@ -143,8 +153,10 @@ def cosine_topk(
             part = asked.where(F.pmod(F.xxhash64(question_id), F.lit(blocks)) == b)
             if part.isEmpty():
                 continue
+        rows = math.ceil(size["n"] / blocks)
+        two_passes = splits_of(stored) * rows * k > pass_winners
         hits, shared = _broadcast_search(
-            part, stored, k, question_id, chunk_id, vector, planes)
+            part, stored, k, question_id, chunk_id, vector, planes, two_passes)
         ranked = rank_hits(hits, [question_id], chunk_id, k)
         if blocks > 1:
             ranked = ranked.checkpoint()
@@ -166,7 +178,18 @@ def _hit_schema(questions: DataFrame, corpus: DataFrame, question_id: str, chunk
     ])
 
 
-def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector, planes):
+def splits_of(corpus: DataFrame) -> int:
+    """About how many tasks a scan takes, from Spark's own estimate of its size."""
+    split = corpus.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)b?", split.lower()).groups()
+    size = int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    return max(cores, math.ceil(estimated_bytes(corpus) / max(1, size)))
+
+
+def _broadcast_search(
+    questions, corpus, k, question_id, chunk_id, vector, planes, two_passes=False
+):
     """Hits per task for a block of questions, and the broadcast block."""
     table = questions.toArrow().combine_chunks()
     dimension = len(table[vector][0])
@@ -183,9 +206,9 @@ def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector, plane
     )
     schema = _hit_schema(questions, corpus, question_id, chunk_id)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(batches, k: int, floors) -> Iterator[pa.RecordBatch]:
         asked, unit_questions, buckets = shared.value
-        best = TopK(len(unit_questions), k)
+        best = TopK(len(unit_questions), k, floors.value if floors else None)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             vectors = vector_matrix(batch.column(1), dimension)
@@ -196,7 +219,17 @@ def _broadcast_search(questions, corpus, k, question_id, chunk_id, vector, plane
         place, ids, similarity = best.rows()
         yield _hit_batch(asked.take(pa.array(place)), ids, similarity, schema)
 
-    return corpus.mapInArrow(search, schema), shared
+    floors = None
+    if two_passes:
+        heads = corpus.mapInArrow(lambda batches: search(batches, 1, None), schema)
+        reached = rank_hits(heads, [question_id], chunk_id, k).where(F.col("rank") == k)
+        # One number per question of the block.
+        known = reached.select(question_id, "similarity").toArrow()
+        place = {q: i for i, q in enumerate(table[question_id].to_pylist())}
+        floor = np.full(len(place), -np.inf)
+        floor[[place[q] for q in known[question_id].to_pylist()]] = known["similarity"].to_numpy()
+        floors = questions.sparkSession.sparkContext.broadcast(floor)
+    return corpus.mapInArrow(lambda batches: search(batches, k, floors), schema), shared
 
 
 def _one_chunk(column: pa.ChunkedArray) -> pa.Array:

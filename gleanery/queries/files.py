@@ -11,7 +11,9 @@ from gleanery.queries.common import stream_table, table
 from gleanery.sources import tables
 from gleanery.sources.csv import dump_csv, dump_tables, list_csv, read_csv
 from gleanery.streaming.ingest import read_store, start_dedup_ingest
-from gleanery.streaming.sync import compact_index, read_index, start_index_sync
+from gleanery.streaming.sync import (
+    compact_index, read_index, read_state_index, start_index_sync, start_state_sync,
+)
 
 # Table and its key, for the dump of every table without arrays.
 DATABASE = {
@@ -129,6 +131,19 @@ def stream_index_sync(spark, sf):
     return index.select("user_id", "event_id", "value")
 
 
+def stream_state_index(spark, sf):
+    """The same index from the stream's own state, every change arriving twice."""
+    stream = stream_table(spark, sf, "events")
+    changes = stream.select(
+        "user_id", "event_id", (F.col("event_type") == "error").alias("deleted"), "value"
+    )
+    checkpoint = session.scratch_path(spark, "state-index")
+    for _ in range(2):
+        start_state_sync(
+            changes.unionByName(changes), "user_id", "event_id", checkpoint).awaitTermination()
+    return read_state_index(spark, checkpoint, "user_id").select("user_id", "event_id", "value")
+
+
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "table_roundtrip": table_roundtrip,
@@ -136,8 +151,15 @@ QUERIES = {
     "stream_dedup_ingest": stream_dedup_ingest,
     "stream_new_documents": stream_new_documents,
     "stream_index_sync": stream_index_sync,
+    "stream_state_index": stream_state_index,
 }
 
+_NEWEST_SQL = """
+    SELECT user_id, event_id, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place
+      FROM events
+    ) WHERE place = 1 AND event_type <> 'error'"""
+
 ORACLES = {
     "csv_roundtrip": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS row_count,"
@@ -156,9 +178,6 @@ ORACLES = {
     "stream_new_documents": """
         SELECT doc_id, lang, n_chars FROM documents
         WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
-    "stream_index_sync": """
-        SELECT user_id, event_id, value FROM (
-          SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place
-          FROM events
-        ) WHERE place = 1 AND event_type <> 'error'""",
+    "stream_index_sync": _NEWEST_SQL,
+    "stream_state_index": _NEWEST_SQL,
 }

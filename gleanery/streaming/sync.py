@@ -1,4 +1,9 @@
-"""Triggered synchronisation of a derived index from a stream of changed rows."""
+"""Triggered synchronisation of a derived index from a stream of changed rows.
+
+Two forms: a log of newest changes that is ranked when it is read and folded from time to
+time, and an index that lives in the state store of its own stream, which holds one row per
+key at any time.
+"""
 
 from functools import reduce
 from hashlib import md5
@@ -35,6 +40,50 @@ def start_index_sync(
     )
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def start_state_sync(
+    changes: DataFrame, key: str, version: str, checkpoint: str, provider: str = ROCKS
+) -> StreamingQuery:
+    """Keep the newest change of every key, deletions included, in the stream's state.
+
+    A change row is as for :func:`start_index_sync`. The state's value is the greatest row by
+    version, so late and repeated changes leave it as it is; of equal versions a deletion
+    wins, then the greater payload, whose columns must have an order (no maps). Rows without
+    a key are left out. A restart from the checkpoint goes on where it stopped; a micro-batch
+    touches the state of its own keys alone.
+    """
+    spark = changes.sparkSession
+    payload = [c for c in changes.columns if c not in (key, version, "deleted")]
+    newest = (
+        changes.where(F.col(key).isNotNull()).groupBy(key)
+        .agg(F.max(F.struct(version, "deleted", *payload)).alias("newest"))
+    )
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, provider)
+    try:
+        return (
+            newest.writeStream.outputMode("update").format("noop")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def read_state_index(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """The index as the last completed micro-batch left it: a scan of the state, one row per
+    key, nothing ranked or shuffled."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(f"key.{key}", "value.max.*").where(~F.col("deleted"))
+
+
 def read_index(
     spark: SparkSession, log: str, schema: T.StructType, key: str, version: str
 ) -> DataFrame:

@@ -8,7 +8,9 @@ from gleanery import session
 from gleanery.operators.keys import unseen
 from gleanery.sources import csv, tables
 from gleanery.streaming.ingest import read_store, start_dedup_ingest
-from gleanery.streaming.sync import read_index, start_index_sync
+from gleanery.streaming.sync import (
+    read_index, read_state_index, start_index_sync, start_state_sync,
+)
 from tests.conftest import values
 
 
@@ -95,6 +97,34 @@ def test_scratch_folder_follows_the_session(spark):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
+def test_state_index(spark, tmp_path):
+    """Newest versions, late and repeated ones, deletions, and restarts from the checkpoint."""
+    schema = "k string, v long, deleted boolean, t string, e array<float>"
+    folder, checkpoint = f"{tmp_path}/changes", f"{tmp_path}/state"
+    newest = {}
+    batches = [
+        [("a", 1, False, "a1", [1.0]), ("b", 1, False, "b1", None), ("a", 2, False, "a2", [2.0]),
+         ("c", 5, True, None, None), (None, 1, False, "lost", None)],
+        [("a", 1, False, "late", [9.0]), ("b", 2, True, None, None), ("a", 2, False, "a2", [2.0]),
+         ("d", 1, False, "d1", [])],
+        [("b", 3, False, "b3", [3.0]), ("d", 2, True, "x", None), ("d", 1, False, "d1", [])],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(schema).parquet(folder)
+        start_state_sync(stream, "k", "v", checkpoint).awaitTermination()
+        for k, v, deleted, t, e in rows:
+            if k and v > newest.get(k, (0,))[0]:
+                newest[k] = v, deleted, t, e
+        index = read_state_index(spark, checkpoint, "k")
+        assert values(index, "k", "v", "t", "e") == sorted(
+            [(k, v, t, e) for k, (v, deleted, t, e) in newest.items() if not deleted], key=repr)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Window", "Exchange", "Aggregate", "Sort"))
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) in (
+        None, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+
+
 def test_scan_reads_only_named_columns(spark):
     df = tables.scan(spark, "/root/testdata/sf0.001/documents.parquet", "doc_id")
     plan = df.where(F.col("doc_id") > 5)._jdf.queryExecution().executedPlan().toString()

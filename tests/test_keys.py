@@ -67,9 +67,9 @@ def test_insert_only_merge(spark):
     source = spark.createDataFrame(
         [("a", 9), ("b", 3), ("b", 2), (None, 7), (None, 7)], "k string, v int")
     merged = keys.merge_insert_only(target, source, "k")
-    assert values(merged, "k", "v") == [("a", 1), ("b", 2), (None, 7), (None, 7)]
-    again = keys.merge_insert_only(merged, source.where("k is not null"), "k")
-    assert again.count() == merged.count()
+    assert values(merged, "k", "v") == [("a", 1), ("b", 2)]
+    assert keys.merge_insert_only(merged, source, "k").count() == merged.count()
+    assert keys.keyless(source, "k").count() == 2
 
 
 def test_first_per_key_limits_before_the_exchange(spark):
@@ -125,6 +125,24 @@ def test_snapshot_diff_all_kinds(spark):
     assert keys.snapshot_diff(after, source, "k").count() == 0
 
 
+def test_snapshots_settle_with_null_and_repeated_keys(spark):
+    columns = "k int, t string"
+    index = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "x"), (6, "six")], columns)
+    source = spark.createDataFrame(
+        [(1, "a"), (2, "c"), (2, "b"), (2, "b"), (None, "y"), (None, "z"), (5, "e"), (5, "d")],
+        columns)
+    assert keys.rejected_rows(source, "k").head().asDict() == {"keyless": 2, "repeated": 3}
+    assert keys.rejected_rows(source.limit(0), "k").head().asDict() == {"keyless": 0, "repeated": 0}
+    changes = keys.snapshot_diff(index, source, "k")
+    found = dict(values(changes, "k", "change"))
+    assert found[1] == "update" and found[5] == "insert" and found[6] == "delete"
+    after = keys.apply_changes(index, source, changes, "k")
+    assert [k for (k,) in values(after, "k")] == [1, 2, 5]
+    assert dict(values(after, "k", "t"))[2] in ("b", "c")
+    turned = source.select("t", "k").repartition(5)
+    assert keys.snapshot_diff(after, turned, "k").count() == 0
+
+
 def test_split_by_dimension(spark):
     df = spark.createDataFrame(
         [(1, [1.0, 2.0]), (2, [1.0]), (3, None), (4, [1.0, None])], "k int, v array<float>")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -189,6 +190,27 @@ def test_evaluation_in_one_block_equals_many(spark):
     assert dict((r[0], r[4]) for r in rows)["large"] > 0.8
 
 
+def test_rows_that_leave_a_task_do_not_grow_with_splits(spark):
+    """With floors of a first pass the winners are some k per question, not k per task."""
+    rng = np.random.default_rng(3)
+    corpus = spark.createDataFrame(
+        [(i, v) for i, v in enumerate(rng.normal(size=(1280, 8)).tolist())],
+        "chunk_id long, embedding array<double>")
+    asked = corpus.where("chunk_id < 20").withColumnRenamed("chunk_id", "question_id")
+    want = values(topk.cosine_topk(asked, corpus, 5), "question_id", "chunk_id", "similarity", "rank")
+    counts = {}
+    for parts in (8, 64):
+        split = corpus.repartition(parts)
+        got = topk.cosine_topk(asked, split, 5, pass_winners=0)
+        assert values(got, "question_id", "chunk_id", "similarity", "rank") == want
+        names = "question_id", "chunk_id", "embedding", None
+        one, _ = topk._broadcast_search(asked, split, 5, *names)
+        two, _ = topk._broadcast_search(asked, split, 5, *names, two_passes=True)
+        counts[parts] = one.count(), two.count()
+    assert counts[8][0] == 8 * 20 * 5 and counts[64][0] == 64 * 20 * 5
+    assert max(c for _, c in counts.values()) <= 2 * 20 * 5
+
+
 def test_ranks_of_labels_by_brute_force(spark):
     """Ranks among all chunks, with equal chunks, unknown labels and questions without words."""
     rng = random.Random(21)
@@ -295,6 +317,20 @@ def test_sampling(spark):
     assert pairs.columns == schemas.EVAL_QUESTIONS.names
 
 
+@pytest.mark.parametrize("n", [1, 37, 1500, 2990, 3000, 3001])
+def test_large_samples_are_the_same_rows(spark, n):
+    rows = spark.createDataFrame([(f"c{i // 2}", i) for i in range(3000)], "k string, v int")
+    want = values(sampling.seeded_sample(rows, "k", n), "k")
+    drawn = sampling.seeded_sample(rows, "k", n, one_task_rows=0)
+    assert values(drawn, "k") == want and drawn.count() == min(n, 3000)
+    if n == 1500:
+        plan = sampling.seeded_sample(
+            rows.dropDuplicates(["k"]), "k", 750, one_task_rows=50
+        )._jdf.queryExecution().optimizedPlan().toString()
+        limits = re.findall(r"GlobalLimit (\d+)", plan)
+        assert all(int(x) <= 50 for x in limits)
+
+
 def test_grounded_prompt(spark):
     candidate = hash_candidate("h", 64)
     chunks = spark.createDataFrame(
