@@ -6,9 +6,9 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from gleanery import session
-from gleanery.operators.keys import unseen
+from gleanery.operators.keys import keyed_update, unseen
 from gleanery.queries.common import stream_table, table
-from gleanery.sources import tables
+from gleanery.sources import parted, tables
 from gleanery.sources.csv import dump_csv, dump_tables, list_csv, read_csv
 from gleanery.streaming.ingest import read_store, start_dedup_ingest
 from gleanery.streaming.sync import (
@@ -79,6 +79,23 @@ def table_roundtrip(spark, sf):
     return rows
 
 
+def touched_update(spark, sf):
+    """Balances in a table of hash parts, raised for the customers of one nation."""
+    name = f"scratch_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE SCHEMA {name} LOCATION '{session.scratch_path(spark, 'parts')}'")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    parted.ensure_parted(spark, f"{name}.customers", rows.schema, "c_custkey", 8)
+    parted.parted_append(rows, f"{name}.customers")
+    raised = rows.where("c_nationkey = 3").select("c_custkey")
+    parted.update_touched(
+        spark, f"{name}.customers", raised,
+        lambda held: keyed_update(
+            held, raised, ["c_custkey"], {"c_acctbal": F.col("t.c_acctbal") + 100}))
+    found = parted.parted_scan(spark, f"{name}.customers").checkpoint()
+    spark.sql(f"DROP SCHEMA {name} CASCADE")
+    return found
+
+
 def csv_load(spark, sf):
     """Customers through CSV with inferred types; another file type beside it is left out."""
     folder = session.scratch_path(spark, "csv-load")
@@ -147,6 +164,7 @@ def stream_state_index(spark, sf):
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "table_roundtrip": table_roundtrip,
+    "touched_update": touched_update,
     "csv_load": csv_load,
     "stream_dedup_ingest": stream_dedup_ingest,
     "stream_new_documents": stream_new_documents,
@@ -169,6 +187,10 @@ ORACLES = {
     "table_roundtrip": """
         SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 0
         UNION ALL VALUES (100, 'Atlantis'), (101, NULL)""",
+    "touched_update": """
+        SELECT c_custkey, c_nationkey,
+               c_acctbal + CASE WHEN c_nationkey = 3 THEN 100 ELSE 0 END AS c_acctbal
+        FROM customer""",
     "csv_load": "SELECT * FROM customer",
     "stream_dedup_ingest": """
         SELECT event_id, ts, user_id, event_type, value, props FROM (

@@ -1,12 +1,15 @@
+import os
 import random
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery import schemas
 from gleanery.operators import keys
+from gleanery.plans import rotation as rotation_jobs
 from gleanery.plans.ingest import IngestTables, ingest, search_report
-from gleanery.sources import tables
+from gleanery.sources import parted, tables
 from gleanery.sources.articles import parse_articles, read_article_files
 from tests.conftest import values
 
@@ -110,6 +113,86 @@ def test_set_flag_and_swap(spark, database):
     assert tables.restore(spark, name) and spark.table(name).count() == 2
 
 
+def part_times(spark, name):
+    """Newest change of every part folder's files."""
+    location = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").head()
+    root = location["data_type"].removeprefix("file:")
+    return {
+        folder: sorted(f for f in os.listdir(f"{root}/{folder}") if f.endswith(".parquet"))
+        for folder in os.listdir(root) if folder.startswith("_part=")
+    }
+
+
+def raise_by(spark, keys_, amount):
+    updates = spark.createDataFrame([(k, amount) for k in keys_], "k string, more int")
+    return updates, lambda rows: keys.keyed_update(
+        rows, updates, ["k"], {"v": F.col("t.v") + F.col("u.more")})
+
+
+def test_one_updated_key_rewrites_one_part(spark, database):
+    name = f"{database}.parts"
+    schema = "k string, v int"
+    rows = [(f"k{i}", i) for i in range(400)] + [(None, -1), ("k5", 6)]
+    df = spark.createDataFrame(rows, schema)
+    parted.ensure_parted(spark, name, df.schema, "k", 16)
+    parted.parted_append(df, name)
+    assert values(parted.parted_scan(spark, name), "k", "v") == sorted(rows, key=repr)
+    before = part_times(spark, name)
+    assert len(before) == 16
+    updates, change = raise_by(spark, ["k5"], 1000)
+    (part,) = parted.update_touched(spark, name, updates, change)
+    after = part_times(spark, name)
+    assert [f for f in before if before[f] != after[f]] == [f"_part={part}"]
+    want = [(k, v + 1000 if k == "k5" else v) for k, v in rows]
+    assert values(parted.parted_scan(spark, name), "k", "v") == sorted(want, key=repr)
+    assert parted.update_touched(spark, name, updates.limit(0), change) == []
+    gone = spark.createDataFrame([("k7",)], "k string")
+    parted.update_touched(spark, name, gone, lambda held: held.where("false"))
+    assert values(parted.parted_scan(spark, name).where("k = 'k7'"), "k") == []
+
+
+def test_a_crash_between_parts_leaves_old_or_new_rows(spark, database, monkeypatch):
+    name = f"{database}.parts"
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(100)], "k string, v int")
+    parted.ensure_parted(spark, name, df.schema, "k", 4)
+    parted.parted_append(df, name)
+    updates, change = raise_by(spark, ["k1", "k2", "k3"], 1000)
+
+    def crash(*_):
+        raise KeyboardInterrupt
+
+    def broken(rows):
+        raise RuntimeError("while the new rows are made")
+
+    with pytest.raises(RuntimeError):
+        parted.update_touched(spark, name, updates, broken)
+    assert values(parted.parted_scan(spark, name), "k", "v") == values(df, "k", "v")
+    restore = parted.restore_parts
+    calls = []
+    monkeypatch.setattr(parted, "restore_parts", lambda *a: calls.append(1) if not calls else crash())
+    with pytest.raises(KeyboardInterrupt):
+        parted.update_touched(spark, name, updates, change)
+    monkeypatch.setattr(parted, "restore_parts", restore)
+    # The worst moment: a touched part is gone and its new rows are not there yet.
+    (row,) = updates.where("k = 'k1'").select(parted.part_of("k", 4).alias("p")).collect()
+    spark.sql(f"ALTER TABLE {name} DROP PARTITION (_part = {row['p']})")
+    want = sorted((f"k{i}", i + 1000 * (i in (1, 2, 3))) for i in range(100))
+    assert values(parted.parted_scan(spark, name), "k", "v") == want
+    assert not parted.restore_parts(spark, name)
+
+
+def test_term_jobs_on_a_table_in_parts(spark, database):
+    name = f"{database}.terms"
+    assert rotation_jobs.seed_terms(spark, name, ["a", "b", "c"], parts=4)
+    assert not rotation_jobs.seed_terms(spark, name, ["a"], parts=4)
+    rotation_jobs.add_terms(spark, name, ["c", "d"])
+    rotation_jobs.set_active(spark, name, ["b"], False)
+    planned = rotation_jobs.plan_runs(spark, name, 2, 30, F.lit("2026-01-01").cast("date"))
+    rotation_jobs.record_runs(spark, name, planned)
+    found = dict(values(parted.parted_scan(spark, name), "term", "run_count"))
+    assert found == {"a": 1, "b": 0, "c": 1, "d": 0}
+
+
 def test_snapshot_diff_all_kinds(spark):
     index = spark.createDataFrame(
         [(1, "a", [1.0]), (2, "b", None), (3, None, [3.0]), (4, "d", [4.0])],
