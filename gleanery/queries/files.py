@@ -10,6 +10,7 @@ from gleanery.operators.keys import keyed_update, unseen
 from gleanery.queries.common import stream_table, table
 from gleanery.sources import parted, tables
 from gleanery.sources.csv import dump_csv, dump_tables, list_csv, read_csv
+from gleanery.sources.csv_split import read_csv_split
 from gleanery.streaming.ingest import read_store, start_dedup_ingest
 from gleanery.streaming.sync import (
     compact_index, read_index, read_state_index, start_index_sync, start_state_sync,
@@ -106,6 +107,14 @@ def csv_load(spark, sf):
     return rows.withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
+def csv_split_read(spark, sf):
+    """Documents, whose texts hold line feeds, through CSV that is split between tasks."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    path = dump_csv(docs, session.scratch_path(spark, "csv-split"), "documents")
+    rows = read_csv_split(spark, path, docs.schema)
+    return rows.withColumn("text", F.md5(F.col("text").cast("binary")))
+
+
 def stream_dedup_ingest(spark, sf):
     """First event of every user, read as a stream; a second run adds nothing."""
     store = session.scratch_path(spark, "ingest-store")
@@ -166,6 +175,7 @@ QUERIES = {
     "table_roundtrip": table_roundtrip,
     "touched_update": touched_update,
     "csv_load": csv_load,
+    "csv_split_read": csv_split_read,
     "stream_dedup_ingest": stream_dedup_ingest,
     "stream_new_documents": stream_new_documents,
     "stream_index_sync": stream_index_sync,
@@ -192,6 +202,7 @@ ORACLES = {
                c_acctbal + CASE WHEN c_nationkey = 3 THEN 100 ELSE 0 END AS c_acctbal
         FROM customer""",
     "csv_load": "SELECT * FROM customer",
+    "csv_split_read": "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents",
     "stream_dedup_ingest": """
         SELECT event_id, ts, user_id, event_type, value, props FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place

@@ -5,12 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from gleanery.sources.csv_split import FORMATS, read_csv_split
+
 SUFFIX = ".csv"
-# Time stamps keep their microseconds.
-FORMATS = {
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-}
 
 
 def read_csv(
@@ -23,7 +20,8 @@ def read_csv(
 
     Without a schema the types are inferred, which reads the files twice; give one
     for large loads. ``multi_line`` allows line feeds inside quotes, at the price that
-    a file is no longer split between tasks; turn it off for files known to have none.
+    a file is no longer split between tasks; turn it off for files known to have none, or
+    use ``csv_split.read_csv_split``, which splits files all the same.
     """
     reader = (
         spark.read.option("header", True)
@@ -57,12 +55,19 @@ def load_csv_folder(
     schemas: dict[str, T.StructType] | None = None,
     multi_line: bool = True,
 ) -> list[str]:
-    """Create or replace one table per CSV in ``folder``, named after the file."""
+    """Create or replace one table per CSV in ``folder``, named after the file.
+
+    Files whose schema is given are split between tasks, also with line feeds in quotes.
+    """
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {database}")
     created = []
     for table, path in list_csv(spark, folder).items():
         name = f"{database}.{table}"
-        df = read_csv(spark, path, (schemas or {}).get(table), multi_line)
+        schema = (schemas or {}).get(table)
+        if schema is not None and multi_line:
+            df = read_csv_split(spark, path, schema)
+        else:
+            df = read_csv(spark, path, schema, multi_line)
         df.write.format("parquet").mode("overwrite").saveAsTable(name)
         created.append(name)
     return created

@@ -75,7 +75,14 @@ def update_touched(
     if not touched:
         return []
     rows = spark.table(name).where(F.col(PART).isin(touched))
-    changed = change(rows.drop(PART)).withColumn(PART, part_of(key, parts))
+    replace_parts(spark, name, touched, change(rows.drop(PART)))
+    return touched
+
+
+def replace_parts(spark: SparkSession, name: str, touched: list[int], rows: DataFrame) -> None:
+    """The parts hold ``rows`` from now on, all of which belong to them."""
+    key, parts = _property(spark, name, KEY), int(_property(spark, name, PARTS))
+    changed = rows.withColumn(PART, part_of(key, parts))
     side = f"{name}__changed"
     spark.sql(f"DROP TABLE IF EXISTS {side}")
     (changed.select(*spark.table(name).columns).repartitionByRange(PART, key)
@@ -84,7 +91,6 @@ def update_touched(
     spark.sql(f"ALTER TABLE {side} SET TBLPROPERTIES ('{TOUCHED}' = '{listed}')")
     spark.sql(f"ALTER TABLE {side} RENAME TO {name}__redo")
     restore_parts(spark, name)
-    return touched
 
 
 def restore_parts(spark: SparkSession, name: str) -> bool:

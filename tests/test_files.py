@@ -1,12 +1,15 @@
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleanery import session
 from gleanery.operators.keys import unseen
-from gleanery.sources import csv, tables
+from gleanery.sources import csv, csv_split, tables
+from gleanery.streaming import filters, ingest
 from gleanery.streaming.ingest import read_store, start_dedup_ingest
 from gleanery.streaming.sync import (
     read_index, read_state_index, start_index_sync, start_state_sync,
@@ -97,6 +100,75 @@ def test_scratch_folder_follows_the_session(spark):
     assert session.scratch_path(spark, "x") != session.scratch_path(spark, "x")
 
 
+@pytest.mark.parametrize("split", ["200", "3k", "64m"])
+def test_quoted_line_feeds_in_split_files(spark, tmp_path, split):
+    """Rows equal those of the read that takes a file whole, wherever the splits fall."""
+    rng = random.Random(int(split[0]))
+    schema = "a int, t string, u string"
+    rows = []
+    for i in range(700):
+        t = rng.choice(['plain', 'line\nfeed', 'a "quoted" word', '"', '"\n"', "\n\n", " pad ", "",
+                        None, "x" * 500, 'long ' * 50 + '\n' + '"y", ' * 40, "cr\r\nlf", "é\n😀"])
+        rows.append((i, t, rng.choice(["z", "", None, '",\n"'])))
+    df = spark.createDataFrame(rows, schema)
+    path = csv.dump_csv(df.repartition(2), str(tmp_path), "t")
+    want = values(csv.read_csv(spark, path, df.schema), "a", "t", "u")
+    before = {c: spark.conf.get(c) for c in
+              ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = csv_split.read_csv_split(spark, path, df.schema)
+        tasks = spark.read.text(path).rdd.getNumPartitions()
+        assert values(got, "a", "t", "u") == want
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert tasks > 10 or split == "64m"
+
+
+def test_filters_hold_what_was_put_in():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 20_000):
+        inside = rng.integers(-2**63, 2**63 - 1, n)
+        packed = filters.bloom(inside).tobytes()
+        assert filters.may_hold(packed, inside).all()
+        other = rng.integers(-2**63, 2**63 - 1, 20_000)
+        assert filters.may_hold(packed, other).mean() < 0.01
+
+
+@pytest.mark.parametrize("shard_keys", [filters.SHARD_KEYS, 20])
+def test_a_batch_opens_only_folders_its_filters_name(spark, tmp_path, monkeypatch, shard_keys):
+    monkeypatch.setattr(filters, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(filters, "GROUP_KEYS", shard_keys)
+    schema = "k string, v int"
+    store, source = f"{tmp_path}/store", f"{tmp_path}/source"
+    for start in (0, 100, 200):
+        rows = [(f"k{i}", i) for i in range(start, start + 100)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        start_dedup_ingest(stream, store, "k", f"{tmp_path}/run{start}").awaitTermination()
+    assert len(filters.folders_of(spark, store)) == 3
+    assert filters.folders_of(spark, f"{store}/{filters.FILTERS}") == filters.folders_of(spark, store)
+    asked = spark.createDataFrame(
+        [(f"k{i}", -i) for i in [*range(150, 160), *range(900, 905)]], schema)
+    maybe, places = ingest._maybe(asked, store, "k", None)
+    (holder,) = [p for p in filters.folders_of(spark, store)
+                 if spark.read.parquet(f"{store}/{p}").where("k = 'k150'").count()]
+    assert places == [holder]
+    assert values(ingest.unstored(asked, store, "k"), "k", "v") == [
+        (f"k{i}", -i) for i in range(900, 905)]
+    none = spark.createDataFrame([("z1", 1)], schema)
+    assert ingest._maybe(none, store, "k", None)[1] == [] and ingest.unstored(
+        none, store, "k").count() == 1
+    # A folder that lost its filter is opened; the rows are the same.
+    filters.drop_filter(spark, store, places[0])
+    assert holder in ingest._maybe(none, store, "k", None)[1]
+    assert values(ingest.unstored(asked, store, "k"), "k") == [(f"k{i}",) for i in range(900, 905)]
+    rows = read_store(spark, store, spark.createDataFrame([], schema).schema)
+    assert rows.count() == 300
+
+
 def test_state_index(spark, tmp_path):
     """Newest versions, late and repeated ones, deletions, and restarts from the checkpoint."""
     schema = "k string, v long, deleted boolean, t string, e array<float>"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleanery import schemas
 from gleanery.operators import keys
 from gleanery.plans import rotation as rotation_jobs
+from gleanery.plans.parted_index import sync_parts
 from gleanery.plans.ingest import IngestTables, ingest, search_report
 from gleanery.sources import parted, tables
 from gleanery.sources.articles import parse_articles, read_article_files
@@ -181,6 +182,41 @@ def test_a_crash_between_parts_leaves_old_or_new_rows(spark, database, monkeypat
     assert not parted.restore_parts(spark, name)
 
 
+def test_a_one_row_change_rewrites_one_part(spark, database):
+    name, schema = f"{database}.index", "k int, t string, v array<float>"
+
+    def sync(rows):
+        return sync_parts(spark, spark.createDataFrame(rows, schema), name, "k", parts=32)
+
+    def held():
+        return sorted(values(parted.parted_scan(spark, name), "k", "t"))
+
+    rows = {i: (i, f"t{i}", [float(i)]) for i in range(500)}
+    first = sync([*rows.values(), (None, "x", None), (7, "again", None)])
+    assert first["insert"] == 500 and first["keyless"] == 1 and first["repeated"] == 1
+    assert len(first["parts"]) == 32 and [k for k, _ in held()] == list(range(500))
+    rows[7] = next((k, t, None) for k, t in held() if k == 7)
+    sync(list(rows.values()))
+    before = part_times(spark, name)
+    assert sync(list(rows.values())) == {
+        "insert": 0, "update": 0, "delete": 0, "keyless": 0, "repeated": 0, "parts": []}
+    rows[33] = (33, "changed", None)
+    counts = sync(list(rows.values()))
+    after = part_times(spark, name)
+    assert counts["update"] == 1 and counts["insert"] == counts["delete"] == 0
+    assert [f for f in before if before[f] != after[f]] == [f"_part={p}" for p in counts["parts"]]
+    assert len(counts["parts"]) == 1 and (33, "changed") in held()
+    # Digests of a run that stopped before it wrote them: the part is done again.
+    tables.swap(spark.table(f"{name}__digests").withColumn(
+        "rows", F.when(F.col("part") == counts["parts"][0], 0).otherwise(F.col("rows"))),
+        f"{name}__digests")
+    again = sync(list(rows.values()))
+    assert again["parts"] == counts["parts"] and again["update"] == 0
+    gone = sync([r for k, r in rows.items() if k >= 400])
+    assert gone["delete"] == 400 and [k for k, _ in held()] == list(range(400, 500))
+    assert sync([])["delete"] == 100 and held() == []
+
+
 def test_term_jobs_on_a_table_in_parts(spark, database):
     name = f"{database}.terms"
     assert rotation_jobs.seed_terms(spark, name, ["a", "b", "c"], parts=4)
