@@ -7,6 +7,7 @@ from gleanery.llm import (
     bpe, decontam, html_main, licenses, mixing, pii, prefix_trie, quality, simhash,
     tokens, topk, toxicity, turn_repair,
 )
+from gleanery.llm.conversation_sql import PREFIX_TRIE_SQL, TURN_REPAIR_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,8 @@ _WORDS_SQL = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 # The other operators are beyond SQL: trained models, hashes it lacks, vocabularies, cuts of
 # graphs, and patterns with conditions on their surroundings. They are tested by brute force.
 ORACLES = {
+    "op11_prefix_trie": PREFIX_TRIE_SQL,
+    "op12_turn_repair": TURN_REPAIR_SQL,
     "op6_exact_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
