@@ -187,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, higher: int = HIGHER, lowest: int
           label: str = "quality") -> OrdinalModel:
     """Fits whole-number ratings (0 the lowest grade) of the fold that is not held out, on
     samples of the stated sizes. A drawn rating counts for those it stands for, so the chances
-    do not depend on the sizes. Without ratings the model gives every text grade 0."""
+    do not depend on the sizes. Ratings that are null or below 0 are left out. Without ratings
+    the model gives every text grade 0."""
     sample = labelled_sample(docs, labels, label, higher, lowest, 1, seed, doc_id, text, True)
     rows = trained(sample, _fit_bag, "grades array<double>, features array<long>, "
                    "weights array<double>, thresholds array<double>")

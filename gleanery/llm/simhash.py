@@ -214,13 +214,13 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     first = near_groups(prints, radius).select("fp", F.col("component_id.key").alias("first"))
     keys = marked.groupBy("fp", "key").agg(F.count(F.lit(1)).alias("rows"))
     grouped = kept(attach(kept(keys), kept(first), ["fp"]))
-    gone = broadcast_if_few(kept(grouped.where("key <> first").select(F.col("key").alias("gone"))))
-    twice = kept(grouped.where("key = first AND rows > 1").select(F.col("key").alias("twice")))
-    left = docs.join(gone, key == F.col("gone"), "left_anti")
+    out, again, name = unused(docs, "gone", "twice", "key")
+    gone = kept(grouped.where("key <> first").select(F.col("key").alias(out)))
+    twice = kept(grouped.where("key = first AND rows > 1").select(F.col("key").alias(again)))
+    left = docs.join(broadcast_if_few(gone), key == F.col(out), "left_anti")
     if twice.isEmpty():
         return left
-    alike = key == F.col("twice")
-    [name] = unused(docs, "key")
+    alike = key == F.col(again)
     once = left.join(broadcast_if_few(twice), alike, "left_semi").withColumn(name, key)
     return left.join(broadcast_if_few(twice), alike, "left_anti").unionByName(
         once.dropDuplicates([name]).drop(name))

@@ -1,6 +1,8 @@
 """Classifiers on held-out rows and on made-up cases, and the pipeline against its parts."""
 
+import math
 import os
+import re
 import zlib
 
 import numpy as np
@@ -36,6 +38,122 @@ def test_toxicity_on_the_held_out_fold(spark):
     assert auc(*zip(*told)) > 0.9
 
 
+def plain_toxicity(model, text):
+    """The score from the weights, word by word, without the operator's own helpers."""
+    found = set()
+    for word in re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode()):
+        marked = b"^" + word + b"$"
+        pieces = {marked} | {marked[:n] for n in (4, 5, 6, 7)}
+        pieces |= {marked[i : i + n] for n in (5, 6) for i in range(len(marked) - n + 1)}
+        found |= {zlib.crc32(p) % (1 << 20) for p in pieces}
+    total = model.bias + sum(model.table.get(f, 0.0) for f in found)
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+
+def test_toxicity_query_against_plain_scoring(spark):
+    docs, labels = (queries.table(spark, SF_DIR, n) for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = {r.doc_id: r for r in queries.op1_toxicity(spark, SF_DIR).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(rows) == set(texts) and len(model.table) > 0
+    for i, text in texts.items():
+        assert rows[i].score == pytest.approx(plain_toxicity(model, text), abs=1e-9)
+    long = "Some words and MORE words. " * 40_000
+    odd = spark.createDataFrame([(1, long), (1, long), (1, "x"), (2, None)], "doc_id long, text string")
+    scores = [r.score for r in toxicity.scored(odd, model).collect()]
+    assert scores == pytest.approx([plain_toxicity(model, t) for t in (long, long, "x", None)])
+
+
+def test_the_risk_is_as_low_as_a_grid_finds():
+    """One feature and a bias: no point of a fine grid has a lower non-negative risk."""
+    draw = np.random.default_rng(4)
+    truth = draw.random(1500) < 0.25
+    confirmed = truth & (draw.random(1500) < 0.5)
+    has = np.where(truth, draw.random(1500) < 0.8, draw.random(1500) < 0.1)
+    rows = [np.array([3] if h else [], np.int64) for h in has]
+    prior = 0.2
+    fitted = toxicity.fit_nnpu(rows, confirmed, prior, width=8, rounds=2000, rate=0.02, ridge=0.0,
+                               sparsity=0.0)
+    assert fitted.features.tolist() == [3]
+
+    def risk(weight, bias):
+        score = weight * has + bias
+        loss_p, loss_n = np.logaddexp(0, -score), np.logaddexp(0, score)
+        negative = loss_n[~confirmed].mean() - prior * loss_n[confirmed].mean()
+        return prior * loss_p[confirmed].mean() + max(0.0, negative)
+
+    grid = min(risk(w, b) for w in np.linspace(-8, 12, 161) for b in np.linspace(-8, 4, 97))
+    assert risk(fitted.weights[0], fitted.bias) <= grid + 0.005
+
+
+def plain_quality(model, text):
+    pieces = re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n+", text or "")
+    values = {}
+    if pieces:
+        n, room = len(pieces), quality.WIDTH - 64
+        for p in pieces:
+            kind = "a" if p.isalpha() else "0" if p.isdigit() else "/" if p.isspace() else "#"
+            for name in (p.lower(), f"shape {kind}{min(len(p), 9)}"):
+                f = 64 + zlib.crc32(name.encode()) % room
+                values[f] = values.get(f, 0) + 1
+        values = {f: math.log1p(100 * c / n) for f, c in values.items()}
+        marks = sum(not p.isalnum() and not p.isspace() for p in pieces)
+        for f in (min(7, n.bit_length() // 2), 8 + min(7, int(16 * marks / n)),
+                  16 + min(7, int(8 * len(set(pieces)) / n)),
+                  24 + min(7, int(64 * text.count("\n") / n))):
+            values[f] = 1.0
+    place = sum(model.weights.get(f, 0.0) * v for f, v in values.items())
+    above = [1 / (1 + math.exp(-max(-30, min(30, place - t)))) for t in model.thresholds]
+    expected = model.grades[0] + sum(
+        (b - a) * x for a, b, x in zip(model.grades, model.grades[1:], above))
+    return place, expected, above[-1]
+
+
+def test_quality_query_against_plain_scoring(spark):
+    docs, labels = (queries.table(spark, SF_DIR, n) for n in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = {r.doc_id: r for r in queries.op7_quality(spark, SF_DIR).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(rows) == set(texts) and len(model.grades) == 2
+    for i, text in texts.items():
+        found = rows[i].score, rows[i].expected_grade, rows[i].tail_probability
+        assert found == pytest.approx(plain_quality(model, text), abs=1e-9)
+    long = "Some words, and 12 more.\n" * 40_000
+    odd = spark.createDataFrame([(1, long), (1, long), (1, "x"), (2, None)], "doc_id long, text string")
+    scores = [r.score for r in quality.rated(odd, model).collect()]
+    assert scores == pytest.approx([plain_quality(model, t)[0] for t in (long, long, "x", None)])
+
+
+def test_ordinal_fit_against_a_slow_optimiser():
+    """The penalised likelihood is as high as coordinate descent by small steps makes it."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(800, 2))
+    grades = np.digitize(x @ [1.5, -0.7] + draw.logistic(size=800), [-0.5, 1.0]).astype(float)
+    rows = [(np.array([70, 90]), v) for v in x]
+    model = quality.fit_ordinal(rows, grades, rounds=1500, ridge=1e-3)
+
+    def loss(w, cuts):
+        above = 1 / (1 + np.exp(-((x @ w)[:, None] - cuts)))
+        full = np.concatenate([np.ones((800, 1)), above, np.zeros((800, 1))], axis=1)
+        at = np.arange(800), grades.astype(int)
+        chance = np.maximum(full[at] - full[at[0], at[1] + 1], 1e-12)
+        return -np.log(chance).mean() + 0.5e-3 * (w @ w)
+
+    best, step = np.array([0.0, 0.0, -0.5, 0.5]), 0.5
+    while step > 1e-4:
+        moved = False
+        for i in range(4):
+            for sign in (1, -1):
+                trial = best.copy()
+                trial[i] += sign * step
+                if trial[2] < trial[3] and loss(trial[:2], trial[2:]) < loss(best[:2], best[2:]):
+                    best, moved = trial, True
+        step = step if moved else step / 2
+    weights = np.array([model.weights.get(70, 0.0), model.weights.get(90, 0.0)])
+    assert loss(weights, model.thresholds) <= loss(best[:2], best[2:]) + 1e-3
+    assert weights == pytest.approx(best[:2], abs=0.05)
+
+
 def test_positive_unlabelled_risk_finds_the_positives():
     draw = np.random.default_rng(0)
     truth = draw.random(3000) < 0.2
