@@ -7,7 +7,7 @@ all executors share and read again by the next one.
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm import decontam, mixing, pii, simhash, toxicity
-from gleanery.session import scratch_path
+from gleanery.session import discard, scratch_path
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,14 +45,19 @@ STAGES = [
     ("mixing", mixed),
 ]
 
-# Training a classifier and fingerprints of hashed shingles are beyond SQL.
+# Training a classifier and fingerprints of hashed shingles are beyond SQL; the tests compare
+# the run with plain code, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = scratch_path(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:  # the stage's rows are complete, those it was made of are not needed
+            discard(spark, before)
+        before = path
     return docs
