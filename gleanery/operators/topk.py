@@ -30,6 +30,9 @@ from gleanery.sources.tables import estimated_bytes
 DECIMALS = 9
 QUESTION_BLOCK_BYTES = 64 << 20
 SCORE_CELLS = 4_000_000
+ROUGH_CELLS = 1 << 20  # of a tile of rough similarities, which stays in the cache
+ROW_CELLS, PAIR_CELLS = 1 << 19, 1 << 20
+MERGED_HITS = 200_000
 # Winners that the tasks of one pass may hand on. Beyond it a pass before finds a floor for
 # every question; the rows are the same either way.
 PASS_WINNERS = 50_000_000
@@ -43,8 +46,8 @@ class TopK:
         self.k = k
         self.questions = questions
         self.floor = np.full(questions, -np.inf) if floor is None else floor.copy()
-        self.question = np.empty(0, dtype=np.int64)
-        self.similarity = np.empty(0)
+        self.seen = 0
+        self.similarity = np.full((questions, k), -np.inf)
         self.ids: np.ndarray | None = None
 
     def offer(self, similarity: np.ndarray, ids: np.ndarray) -> None:
@@ -58,30 +61,127 @@ class TopK:
         similarity = np.round(similarity, DECIMALS)
         similarity[np.isnan(similarity)] = -np.inf
         floor = self.floor
-        if rows > self.k:
+        if rows > max(self.k, self.seen):
             floor = np.maximum(
                 floor, np.partition(similarity, rows - self.k, axis=0)[rows - self.k]
             )
         hit_rows, hit_questions = np.nonzero((similarity >= floor) & (similarity > -np.inf))
-        question = np.concatenate([self.question, hit_questions])
-        score = np.concatenate([self.similarity, similarity[hit_rows, hit_questions]])
-        found = ids[hit_rows]
-        found = found if self.ids is None else np.concatenate([self.ids, found])
-        _, by_id = np.unique(found, return_inverse=True)
-        order = np.lexsort((by_id, -score, question))
+        self._merge(hit_questions, similarity[hit_rows, hit_questions], ids[hit_rows])
+        self.seen += rows
+
+    def score(
+        self, units: np.ndarray, rows: np.ndarray, ids: np.ndarray,
+        lists: np.ndarray | None = None, wanted: np.ndarray | None = None,
+    ) -> None:
+        """Offer unit rows to the unit vectors of the questions.
+
+        A product in single precision finds the pairs that may reach a question's floor; its
+        error is bounded, and only those pairs are scored in full. It is made in tiles of a
+        bounded size, so memory depends on neither the questions nor the rows. With ``wanted``
+        (questions x lists) a row is a candidate of the questions that want its list.
+        """
+        if len(ids) == 0 or self.questions == 0:
+            return
+        margin = (units.shape[1] + 8) * 2.0**-23 + 10.0**-DECIMALS
+        rough_rows = rows.astype(np.float32)
+        step = max(1, ROUGH_CELLS // len(rows))
+        found, waiting = [], 0
+        for low in range(0, self.questions, step):
+            some = slice(low, low + step)
+            rough = units[some].astype(np.float32) @ rough_rows.T
+            if wanted is not None:
+                rough[~wanted[some][:, lists]] = -np.inf
+            floor = self.floor[some] - margin
+            if len(rows) > self.seen:
+                floor = np.maximum(floor, _reached(rough, self.k) - 2 * margin)
+            # The lowest number, so that what is no candidate never reaches the floor.
+            floor = np.maximum(floor, -2).astype(np.float32)
+            hits = np.flatnonzero(rough >= np.nextafter(floor, np.float32(-np.inf))[:, None])
+            question, row = np.divmod(hits, len(rows))
+            found.append((question + low, row))
+            waiting += len(hits)
+            if waiting > MERGED_HITS:
+                self._score_pairs(units, rows, ids, found)
+                found, waiting = [], 0
+        self._score_pairs(units, rows, ids, found)
+        self.seen += len(rows)
+
+    def _score_pairs(self, units, rows, ids, found) -> None:
+        if not found:
+            return
+        question, row = (np.concatenate(numbers) for numbers in zip(*found))
+        similarity = pair_similarities(units, rows, question, row)
+        kept = similarity >= self.floor[question]
+        self._merge(question[kept], similarity[kept], ids[row[kept]])
+
+    def _merge(self, question: np.ndarray, similarity: np.ndarray, ids: np.ndarray) -> None:
+        """The k best of the pairs and of what their questions have; others are not touched."""
+        if not len(question):
+            return
+        if self.ids is None:
+            self.ids = np.empty(self.similarity.shape, ids.dtype)
+        who, question = np.unique(question, return_inverse=True)
+        held, column = np.nonzero(self.similarity[who] > -np.inf)
+        question = np.concatenate([held, question])
+        similarity = np.concatenate([self.similarity[who[held], column], similarity])
+        ids = np.concatenate([self.ids[who[held], column], ids])
+        by_id = ids if ids.dtype.kind in "iu" else np.unique(ids, return_inverse=True)[1]
+        order = np.lexsort((by_id, -similarity, question))
         question = question[order]
-        first = np.searchsorted(question, question, side="left")
-        place = np.arange(len(question)) - first
+        place = np.arange(len(question)) - np.searchsorted(question, question, side="left")
         keep = place < self.k
-        self.question, order = question[keep], order[keep]
-        self.similarity, self.ids = score[order], found[order]
-        full = place[keep] == self.k - 1
-        at = self.question[full]
-        self.floor[at] = np.maximum(self.floor[at], self.similarity[full])
+        question, place, order = who[question[keep]], place[keep], order[keep]
+        self.similarity[question, place] = similarity[order]
+        self.ids[question, place] = ids[order]
+        full = place == self.k - 1
+        at = question[full]
+        self.floor[at] = np.maximum(self.floor[at], self.similarity[at, self.k - 1])
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids = np.empty(0, dtype=object) if self.ids is None else self.ids
-        return self.question, ids, self.similarity
+        question, column = np.nonzero(self.similarity > -np.inf)
+        ids = np.empty(0, object) if self.ids is None else self.ids[question, column]
+        return question, ids, self.similarity[question, column]
+
+
+def _reached(rough: np.ndarray, k: int) -> np.ndarray:
+    """A similarity that k rows of a (questions x rows) block reach, per question: the k-th of
+    the best of groups of rows."""
+    rows = rough.shape[1]
+    if rows < k:
+        return np.full(len(rough), -np.inf)
+    groups = min(rows, 8 * k)
+    each = rows // groups
+    best = rough[:, : groups * each].reshape(len(rough), groups, each).max(axis=2)
+    return np.partition(best, groups - k, axis=1)[:, groups - k].astype(float)
+
+
+def pair_similarities(
+    units: np.ndarray, rows: np.ndarray, question: np.ndarray, row: np.ndarray
+) -> np.ndarray:
+    """Rounded similarities of pairs of unit vectors, some pairs at a time."""
+    similarity = np.empty(len(question))
+    step = max(1, PAIR_CELLS // max(1, units.shape[1]))
+    for low in range(0, len(question), step):
+        some = slice(low, low + step)
+        similarity[some] = np.einsum("ij,ij->i", units[question[some]], rows[row[some]])
+    return np.round(similarity, DECIMALS)
+
+
+def first_copies(vectors: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of the rows that are left when of equal rows the k smallest ids stay.
+
+    Equal rows are as near to everything, so no other of them is among the k best.
+    """
+    if vectors.size == 0 or len(ids) <= k:
+        return np.arange(len(ids))
+    row = np.ascontiguousarray(vectors)
+    keys = row.view(np.dtype((np.void, row.itemsize * row.shape[1]))).ravel()
+    _, copies, size = np.unique(keys, return_inverse=True, return_counts=True)
+    if size.max() <= k:
+        return np.arange(len(ids))
+    order = np.lexsort((np.unique(ids, return_inverse=True)[1], copies))
+    place = np.arange(len(ids)) - (np.cumsum(size) - size)[copies[order]]
+    return np.sort(order[place < k])
 
 
 def vector_matrix(column: pa.Array, dimension: int | None = None) -> np.ndarray:
@@ -95,13 +195,15 @@ def vector_matrix(column: pa.Array, dimension: int | None = None) -> np.ndarray:
 
 
 def score_blocks(
-    best: TopK, vectors: np.ndarray, ids: np.ndarray, unit_questions: np.ndarray
+    best: TopK, vectors: np.ndarray, ids: np.ndarray, unit_questions: np.ndarray,
+    lists: np.ndarray | None = None, wanted: np.ndarray | None = None,
 ) -> None:
-    """Offer all rows in blocks that keep the score matrix small."""
-    step = max(1, SCORE_CELLS // max(1, len(unit_questions)))
+    """Offer all rows, in blocks of a bounded size; :meth:`TopK.score` has the lists."""
+    step = max(1, ROW_CELLS // max(1, vectors.shape[1]))
     for low in range(0, len(ids), step):
-        block = unit_rows(vectors[low : low + step])
-        best.offer(block @ unit_questions.T, ids[low : low + step])
+        some = low + first_copies(vectors[low : low + step], ids[low : low + step], best.k)
+        best.score(unit_questions, unit_rows(vectors[some]), ids[some],
+                   None if lists is None else lists[some], wanted)
 
 
 def rank_hits(hits: DataFrame, groups: list[str], chunk_id: str, k: int) -> DataFrame:

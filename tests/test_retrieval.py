@@ -356,3 +356,32 @@ def test_embedding_job(spark, database):
     assert embed_table(spark, chunks, embedded, candidate, full=False) == 0
     assert spark.table(embedded).where(F.size("embedding") == 16).count() == 3
     assert embed_table(spark, chunks, embedded, hash_candidate("h", 32)) == 3
+
+
+@pytest.mark.parametrize("floors", [False, True])
+def test_work_per_question_does_not_grow_with_the_questions(monkeypatch, floors):
+    """Rows come in blocks as large for many questions as for few, and what a task sorts is some
+    k rows per question. Copies and ties by id are the rows of a plain ranking."""
+    rng = np.random.default_rng(5)
+    units = topk.unit_rows(rng.normal(size=(20_000, 8)))
+    stored = rng.normal(size=(6_000, 8))
+    stored[1_000:3_000] = stored[0]
+    stored[3_000:3_100] = 0
+    units[7], units[8] = topk.unit_rows(stored[:1])[0], 0
+    ids = rng.permutation(6_000)
+    some = np.arange(40)
+    near = np.round(units[some] @ topk.unit_rows(stored).T, topk.DECIMALS)
+    order = [np.lexsort((ids, -row))[:10] for row in near]
+    floor = None
+    if floors:
+        floor = np.full(len(units), -1.0)
+        floor[some] = [row[o[-1]] for row, o in zip(near, order)]
+    entries, sort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: entries.append(len(keys[0])) or sort(keys))
+    best = topk.TopK(len(units), 10, floor)
+    topk.score_blocks(best, stored, ids, units)
+    question, found, similarity = best.rows()
+    first = question < len(some)
+    assert np.array_equal(found[first].reshape(-1, 10), [ids[o] for o in order])
+    assert np.array_equal(similarity[first].reshape(-1, 10), [row[o] for row, o in zip(near, order)])
+    assert len(question) == 10 * len(units) and sum(entries) < 40 * len(units)
