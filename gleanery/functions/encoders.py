@@ -18,6 +18,8 @@ EncoderFactory = Callable[[], Encoder]
 
 VOCABULARY_ENTRIES = 1_000_000
 ENCODER_ROWS = 1024
+TEXT_BYTES = 1 << 22  # of texts that leave Arrow at a time, or one text
+PIECE_LETTERS = 1 << 21  # of text that is cut into words at a time, or one word
 
 
 @dataclass(frozen=True)
@@ -53,15 +55,48 @@ class HashEncoder:
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
+        """Words are counted some letters of text at a time, so memory is bounded."""
+        counts = np.zeros(len(texts) * self.dimension)
+        for first, pieces in _pieces(texts):
+            self._count(counts[first * self.dimension :], pieces)
+        return unit_rows(counts.reshape(len(texts), self.dimension))
+
+    def _count(self, counts: np.ndarray, texts: list[str]) -> None:
         """Words are cut and numbered by Arrow; only distinct words are hashed."""
-        lines = pc.fill_null(pa.array(texts, pa.string()), "")
+        lines = pc.fill_null(pa.array(texts, pa.large_string()), "")
         words = pc.split_pattern(pc.replace_substring(lines, "\n", " "), " ")
         coded = words.flatten().dictionary_encode()
         column = self._hashed(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         row = pc.list_parent_indices(words).to_numpy()
         cells = (row * self.dimension + column)[column >= 0]
-        counts = np.bincount(cells, minlength=len(texts) * self.dimension)
-        return unit_rows(counts.reshape(len(texts), self.dimension).astype(np.float64))
+        counts[: len(texts) * self.dimension] += np.bincount(
+            cells, minlength=len(texts) * self.dimension)
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Texts in turn, some at a time, with the number of the first; a long text comes alone and
+    in pieces that end where a word does."""
+    first, some, letters = 0, [], 0
+    for i, text in enumerate(texts):
+        size = len(text or "")
+        if some and letters + size > PIECE_LETTERS:
+            yield first, some
+            first, some, letters = i, [], 0
+        if size <= PIECE_LETTERS:
+            some.append(text)
+            letters += size
+            continue
+        at = 0
+        while at < size:
+            end = at + PIECE_LETTERS
+            if end < size:
+                ends = text.find(" ", end), text.find("\n", end)
+                end = min((e for e in ends if e >= 0), default=size)
+            yield i, [text[at:end]]
+            at = end
+        first = i + 1
+    if some:
+        yield first, some
 
 
 @dataclass(frozen=True)
@@ -126,6 +161,20 @@ def embed(factory: EncoderFactory) -> Callable[[Column], Column]:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = factory()
         for texts in batches:
-            yield list_column(np.asarray(encoder(texts.to_pylist()), dtype=np.float32))
+            parts = [
+                np.asarray(encoder(some.to_pylist()), dtype=np.float32) for some in _slices(texts)
+            ]
+            yield list_column(parts[0] if len(parts) == 1 else np.concatenate(parts))
 
     return encode
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts of some ``TEXT_BYTES`` at a time, a longer one alone; no texts are one slice."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts) or at == 0:
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + TEXT_BYTES, side="right")))
+        yield texts.slice(at, end - at)
+        at = end

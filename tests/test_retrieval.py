@@ -1,13 +1,15 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery import schemas
-from gleanery.functions import vectors
+from gleanery.functions import encoders, vectors
 from gleanery.functions.encoders import Candidate, HashEncoder, embed, hash_candidate
 from gleanery.operators import judging, metrics, sampling, topk
 from gleanery.plans.answering import grounded_prompts
@@ -385,3 +387,36 @@ def test_work_per_question_does_not_grow_with_the_questions(monkeypatch, floors)
     assert np.array_equal(found[first].reshape(-1, 10), [ids[o] for o in order])
     assert np.array_equal(similarity[first].reshape(-1, 10), [row[o] for row, o in zip(near, order)])
     assert len(question) == 10 * len(units) and sum(entries) < 40 * len(units)
+
+
+def test_texts_of_any_size_are_counted_some_letters_at_a_time(spark, monkeypatch):
+    """Memory is that of some texts, not of a batch, and pieces end where words do."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(500)] + ["", "\u00fc\u4e2d", "a\nb"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(3_000))) for _ in range(1_500)]
+    texts[3:5] = ["", None]
+    texts.append(" ".join(rng.choices(words, k=1_000_000)))
+    texts.append("x" * 100)
+    HashEncoder(8)(["warm up"])
+    tracemalloc.start()
+    whole = HashEncoder(8)(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 << 20
+    some = texts[:200] + ["y " * 300 + "z" * 400]
+    want = HashEncoder(8)(some)
+    assert np.array_equal(want[:200], whole[:200])
+    for text, row in zip(some[::20], want[::20]):
+        counts = np.zeros(8)
+        for word in (text or "").replace("\n", " ").split(" "):
+            if word:
+                counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 8] += 1
+        assert row == pytest.approx(counts / max(np.linalg.norm(counts), 1e-30))
+    monkeypatch.setattr(encoders, "PIECE_LETTERS", 50)
+    assert np.array_equal(HashEncoder(8)(some), want)
+    asked = []
+    monkeypatch.setattr(encoders, "TEXT_BYTES", 50)
+    for part in encoders._slices(pa.array(some)):
+        asked += [part.to_pylist()]
+    assert sum(asked, []) == some and len(asked) > 100
+    assert [len(part) for part in encoders._slices(pa.array([], pa.string()))] == [0]
