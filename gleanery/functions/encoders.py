@@ -17,6 +17,8 @@ Encoder = Callable[[list[str]], np.ndarray]
 EncoderFactory = Callable[[], Encoder]
 
 VOCABULARY_ENTRIES = 1_000_000
+# What remembered words may take in all, at WORD_BYTES a word besides its letters.
+VOCABULARY_BYTES, WORD_BYTES = 32 << 20, 160
 ENCODER_ROWS = 1024
 TEXT_BYTES = 1 << 22  # of texts that leave Arrow at a time, or one text
 PIECE_LETTERS = 1 << 21  # of text that is cut into words at a time, or one word
@@ -43,13 +45,16 @@ class HashEncoder:
         self.dimension = dimension
         # The empty word, found between two blanks, has no bucket.
         self._buckets: dict[str, int] = {"": -1}
+        self._bytes = 0
 
     def _hashed(self, words: list[str]) -> np.ndarray:
         known = self._buckets
-        if len(known) >= VOCABULARY_ENTRIES:
+        if len(known) >= VOCABULARY_ENTRIES or self._bytes >= VOCABULARY_BYTES:
             known = self._buckets = {"": -1}
+            self._bytes = 0
         for word in words:
             if word not in known:
+                self._bytes += WORD_BYTES + 4 * len(word)
                 digest = md5(word.encode("utf-8"), usedforsecurity=False).digest()
                 known[word] = int.from_bytes(digest[:4], "big") % self.dimension
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))

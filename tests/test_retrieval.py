@@ -420,3 +420,24 @@ def test_texts_of_any_size_are_counted_some_letters_at_a_time(spark, monkeypatch
         asked += [part.to_pylist()]
     assert sum(asked, []) == some and len(asked) > 100
     assert [len(part) for part in encoders._slices(pa.array([], pa.string()))] == [0]
+
+
+def test_remembered_words_take_a_bounded_room():
+    encoder = HashEncoder(8)
+    for part in range(12):
+        encoder([" ".join(f"{part}-{i}-{'x' * 100}" for i in range(100_000))])
+        assert sum(160 + 4 * len(word) for word in encoder._buckets) < 128 << 20
+    assert len(encoder([])) == 0
+
+
+def test_a_search_for_many_questions_holds_no_large_matrix():
+    """What one task of an answering search needs besides its vectors stays small."""
+    rng = np.random.default_rng(2)
+    units = topk.unit_rows(rng.normal(size=(400, 64)))
+    rows, ids = rng.normal(size=(10_000, 64)), np.array([f"c{i}" for i in range(10_000)], object)
+    tracemalloc.start()
+    best = topk.TopK(len(units), 5)
+    topk.score_blocks(best, rows, ids, units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(best.rows()[0]) == 2_000 and peak < 48 << 20
